@@ -131,7 +131,7 @@ def _visit(forest, level: int, slices: int, visits: int):
 FOUND = "q_uid long, uids array<long>, scores array<double>"
 
 
-def _rank(keep: int, n_leaves: int, block: int = 256):
+def _rank(keep: int, n_leaves: int, block: int = 64):
     def rank(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(vectors) and len(queries):
@@ -167,7 +167,7 @@ def neighbours(
     least_visits: int = 64,
     sample: int = 32_768,
     most_depth: int = 12,
-    region: int = 16_384,
+    region: int = 65_536,
     seed: int = 11,
 ) -> DataFrame:
     """The ``k`` nearest rows found for each query row of ``rows`` (``vec_id, embedding``), by largest inner
