@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
+from .html_text import extract
 from .mixing import mix
 from .neighbours import neighbours
 from .packing import pack
@@ -34,6 +35,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_read(spark, sf_dir, "documents"), length=50)
 
 
+def op4_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_read(spark, sf_dir, "pages"))
+
+
 def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_read(spark, sf_dir, "documents"), shards=24)
 
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_mix": op2_mix,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_extract": op4_extract,
     "op5_shard": op5_shard,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_toxicity": op7_toxicity,
