@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
 from .html_text import extract
+from .jaccard_join import jaccard_join
 from .mixing import mix
 from .neighbours import neighbours
 from .packing import pack
@@ -56,6 +57,10 @@ def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(_read(spark, sf_dir, "documents"), width=3, least=90)
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_read(spark, sf_dir, "documents"), length=400)
 
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_neighbours": op8_neighbours,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
