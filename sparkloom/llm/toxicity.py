@@ -255,10 +255,11 @@ def without_near_copies(texts: list[bytes]) -> np.ndarray:
     return np.array(kept, dtype=np.int64)
 
 
-def train(texts: list[bytes], labels: np.ndarray, epochs: int = 6, batch: int = 256, windows: int = 5000, rate: float = 0.03, seed: int = 5) -> Model:
+def train(texts: list[bytes], labels: np.ndarray, epochs: int = 6, batch: int = 256, windows: int = 5000, least_steps: int = 120, rate: float = 0.03, seed: int = 5) -> Model:
     """Fit on whole labelled documents, one of each group of near copies. Evidence comes from both halves of them; for training, each half sees
     that of the other, as new documents will. A document is represented by the window with most
-    evidence, clean ones also by those with most evidence of all and by random windows; there are ``windows`` of them at most."""
+    evidence, clean ones also by those with most evidence of all and by random windows; there are ``windows`` of them at most. Few
+    windows are gone through more often, until ``least_steps`` steps were made."""
     rng = np.random.default_rng(seed)
     kept = without_near_copies(texts)
     texts, labels = [texts[i] for i in kept], labels[kept]
@@ -287,8 +288,9 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 6, batch: int =
     index = index + np.where(half[text[chosen]], 0, n_forms)  # a row of the other half's evidence
     moment = {k: (np.zeros_like(x), np.zeros_like(x)) for k, x in model.network.p.items()}
     step = 0
-    for _ in range(epochs):
-        for part in np.array_split(rng.permutation(len(chosen)), max(1, len(chosen) // batch)):
+    parts = max(1, len(chosen) // min(batch, max(32, len(chosen) // 20)))
+    for _ in range(max(epochs, -(-least_steps // parts))):
+        for part in np.array_split(rng.permutation(len(chosen)), parts):
             step += 1
             for k, g in model.network.gradients(inputs, index[:, part], mask[:, part], y[part]).items():
                 m, v = moment[k]
