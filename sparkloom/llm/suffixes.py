@@ -110,27 +110,44 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     return buckets.induce(ordered)[1:]
 
 
-def common_prefixes(data: np.ndarray, sa: np.ndarray, length: int, whole: np.ndarray) -> np.ndarray:
-    """For each place of ``data`` (bytes), whether its ``length`` bytes are also those of the suffix before or
-    after it in ``sa``. ``whole`` tells which places have so many bytes before the next separator.
-    Prefixes are compared in words of eight bytes, and only as long as they agree."""
-    out = np.zeros(len(data), dtype=bool)
-    order = sa[whole[sa]]
-    a, b = order[:-1], order[1:]
-    if not len(a):
-        return out
-    wide = length >= 8
-    padded = np.concatenate((data, np.zeros(8, dtype=np.uint8)))
-    words = np.ndarray((len(data),), dtype="<u8", buffer=padded.data, strides=(1,)) if wide else padded
-    step = 8 if wide else 1
-    live = np.arange(len(a))
-    for k in [*range(0, length - step + 1, step), *([length - step] if length % step else [])]:
-        live = live[words[a[live] + k] == words[b[live] + k]]
-        if not len(live):
-            return out
-    out[a[live]] = True
-    out[b[live]] = True
-    return out
+#: Every so many places a common prefix is measured from its start; in between, from what the last one leaves.
+SAMPLE = 32
+
+
+def _extend(t: np.ndarray, a: np.ndarray, b: np.ndarray, known: np.ndarray, most: np.ndarray | int) -> np.ndarray:
+    """Common prefixes of the suffixes at ``a`` and ``b``, of which ``known`` symbols agree; counted up to ``most``. Four symbols
+    are compared at once, and pairs drop out where they differ."""
+    padded = np.concatenate((t, np.arange(2, 6, dtype=np.uint16)))
+    words = np.ndarray((len(padded) - 3,), dtype="<u8", buffer=padded.data, strides=(2,))
+    most = np.minimum(most, len(t) - np.maximum(a, b))
+    out = np.minimum(known, most)
+    live = np.flatnonzero(out < most)
+    last = len(t) - 1
+    while len(live):
+        x, y = a[live] + out[live], b[live] + out[live]
+        inside = np.maximum(x, y) <= last
+        differ = np.where(inside, words[np.minimum(x, last)] ^ words[np.minimum(y, last)], np.uint64(1))
+        equal = np.where(differ == 0, 4, np.where(differ & np.uint64(0xFFFF), 0, np.where(differ & np.uint64(0xFFFF0000), 1, np.where(differ & np.uint64(0xFFFF00000000), 2, 3))))
+        out[live] += equal
+        live = live[(equal == 4) & (out[live] < most[live])]
+    return np.minimum(out, most)
+
+
+def permuted_common_prefixes(t: np.ndarray, sa: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each place of ``t``: the suffix before its own in ``sa`` (-1 for the first), and how long a prefix both share, in the
+    order of places and not of suffixes. A place has at most one symbol less in common than the place before it, so prefixes are measured
+    in full at each SAMPLE-th place only; others begin with what is left of it. Counted up to ``length``."""
+    before = np.full(len(t), -1, dtype=np.int64)
+    before[sa[1:]] = sa[:-1]
+    shared = np.zeros(len(t), dtype=np.int64)
+    some = np.arange(0, len(t), SAMPLE)
+    some = some[before[some] >= 0]
+    full = np.zeros(len(t), dtype=np.int64)
+    full[some] = _extend(t, some, before[some], np.zeros(len(some), dtype=np.int64), length + SAMPLE)
+    place = np.flatnonzero(before >= 0)
+    known = np.maximum(0, full[place // SAMPLE * SAMPLE] - place % SAMPLE)
+    shared[place] = _extend(t, place, before[place], known, length)
+    return before, shared
 
 
 def repeated(texts: list[bytes], length: int) -> list[np.ndarray]:
@@ -145,5 +162,8 @@ def repeated(texts: list[bytes], length: int) -> list[np.ndarray]:
     valid[begin[long]] += 1
     np.add.at(valid, begin[long] + lengths[long] - length + 1, -1)
     valid = np.cumsum(valid[:-1]) > 0
-    flags = common_prefixes(data, suffix_array(t, length), length, valid)
+    before, shared = permuted_common_prefixes(t, suffix_array(t, length), length)
+    flags = np.zeros(len(t), dtype=bool)
+    found = np.flatnonzero((shared >= length) & valid)
+    flags[found] = flags[before[found]] = True
     return [flags[s : s + max(0, n - length + 1)] for s, n in zip(begin, lengths, strict=True)]

@@ -143,3 +143,22 @@ def test_exact_copies(spark, primes):
         groups[low(t)].append(d)
     want = sorted((d, max(groups[low(t)]), len(groups[low(t)]), d == max(groups[low(t)]), hashlib.sha256(low(t)).hexdigest()) for d, t in rows)
     assert got(exact_dedup(frame(spark, rows), primes=primes, chunk=64), "doc_id", "keep_id", "group_size", "kept", "text_sha256") == want
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_permuted_common_prefixes(seed):
+    import numpy as np
+
+    from sparkloom.llm.suffixes import permuted_common_prefixes
+
+    r = random.Random(seed)
+    part = [r.randint(1, 3) for _ in range(90)]
+    text = np.array([x for _ in range(5) for x in (part[r.randint(0, 20) :] if r.random() < 0.7 else [r.randint(1, 3) for _ in range(40)])], dtype=np.uint16)
+    sa = suffix_array(text, len(text))
+    before, shared = permuted_common_prefixes(text, sa, 50)
+    for x, y in zip(sa[:-1], sa[1:], strict=True):
+        n = 0
+        while max(x, y) + n < len(text) and text[x + n] == text[y + n] and n < 50:
+            n += 1
+        assert before[y] == x and shared[y] == n
+    assert before[sa[0]] == -1
