@@ -100,25 +100,35 @@ def flood_light(world: DataFrame, bounds: Bounds, most: int = 15) -> DataFrame:
     """Light levels above 0 of all cells, by rounds from the brightest level down.
 
     A lamp has its own level and each step to one of six neighbours costs 1. An opaque cell takes light only from the cell
-    above it and doesn't pass it on; lamps pass on their own. The largest level counts, so the order of lamps
-    doesn't matter. Round k settles the cells of level ``most - k``: no later round can make them brighter. Each round
-    joins only that frontier with the blocks around it, so at most ``most`` rounds of shuffles are needed at any size.
+    above it and doesn't pass it on; lamps, which are opaque, pass on their own. The largest level counts, so the order of
+    lamps doesn't matter. Round by round, the open cells next to those of one level get the next lower one, unless they are of the
+    level before or of that before it (an open cell's neighbours differ by one level at most, so no other can be there). Each
+    cell is therefore in one round's frontier only; what is opaque is laid out by cell once for all rounds, and only frontiers are shuffled.
     """
     state = F.col("state")
-    lamps = world.where(bounds.inside()).select(*CELL, emission(state).cast("int").alias("level")).where("level > 0")
-    opaque = world.where(~passes_light(state)).select(*CELL, F.lit(True).alias("opaque"))
-    settled = cut(lamps.select(*CELL, "level", F.lit(True).alias("passes")), "light")
-    for level in range(most, 1, -1):
-        frontier = settled.where((F.col("level") == level) & F.col("passes"))
-        if frontier.isEmpty():
-            continue
-        spread = offsets(frontier.select(*CELL), CELL, SIX, down=F.col("_m.y") == -1).where(bounds.inside())
-        reached = spread.groupBy(*CELL).agg(F.max("down").alias("down"))
-        open_ = reached.join(opaque, CELL, "left").where(F.col("opaque").isNull() | F.col("down"))
-        lit = open_.select(*CELL, F.lit(level - 1).alias("level"), F.col("opaque").isNull().alias("passes"))
-        best = settled.unionByName(lit).groupBy(*CELL, "passes").agg(F.max("level").alias("level"))
-        settled = cut(best.select(*CELL, "level", "passes"), "light")
-    return settled.groupBy(*CELL).agg(F.max("level").alias("level"))
+    lamps = cut(world.where(bounds.inside()).select(*CELL, emission(state).cast("int").alias("level")).where("level > 0"), "lamps")
+    solid_cells = world.where(~passes_light(state)).select(*CELL, F.lit(True).alias("opaque"))
+    parts = int(world.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    opaque = solid_cells.repartition(parts, *CELL).persist()
+    lit = [lamps]
+    bright = edge = None
+    for level in range(most, 0, -1):
+        own = lamps.where(F.col("level") == level).select(*CELL)
+        if edge is None:
+            frontier = own
+        else:
+            spread = offsets(edge, CELL, SIX, down=F.col("_m.y") == -1).where(bounds.inside())
+            reached = spread.groupBy(*CELL).agg(F.max("down").alias("down")).join(opaque, CELL, "left")
+            reached = cut(reached.where(F.col("opaque").isNull() | F.col("down")).select(*CELL, F.col("opaque").isNull().alias("open")), "light")
+            lit.append(reached.select(*CELL, F.lit(level).alias("level")))
+            known = edge if bright is None else edge.unionByName(bright)
+            frontier = own.unionByName(reached.where("open").select(*CELL).join(known, CELL, "left_anti"))
+        bright, edge = edge, cut(frontier, "light")
+    opaque.unpersist()
+    out = lit[0]
+    for more in lit[1:]:
+        out = out.unionByName(more)
+    return out.groupBy(*CELL).agg(F.max("level").alias("level"))
 
 
 # Scheduled work: rows (x, y, z, type, trigger_tick).
