@@ -57,6 +57,11 @@ def unpack_position(p: Column) -> tuple[Column, Column, Column]:
     return F.shiftright(p, 38), F.shiftright(F.shiftleft(p, 52), 52), F.shiftright(F.shiftleft(p, 26), 38)
 
 
+def pack_xz(x: Column, z: Column) -> Column:
+    """Two places of a section in one byte."""
+    return F.shiftleft(x.bitwiseAND(F.lit(15)), 4).bitwiseOR(z.bitwiseAND(F.lit(15)))
+
+
 def turn_to_byte(degrees: Column) -> Column:
     """An angle in 256ths of a turn, as a signed byte."""
     step = F.pmod(F.floor(degrees * 256 / 360), F.lit(256))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.iterate import digest, offsets, repeat
@@ -42,3 +42,9 @@ def same_pattern(a: DataFrame, b: DataFrame) -> bool:
 def window(cells: DataFrame, y0: int, x0: int, height: int, width: int) -> DataFrame:
     """The part of a grid that a viewer sees."""
     return cells.where(F.col("y").between(y0, y0 + height - 1) & F.col("x").between(x0, x0 + width - 1))
+
+
+def random_cells(spark: SparkSession, height: int, width: int, seed: int, share: float = 0.5) -> DataFrame:
+    """Each cell of a box live with probability ``share``."""
+    at = spark.range(height * width).where(F.rand(seed) < share)
+    return at.select(F.floor(F.col("id") / width).alias("y"), (F.col("id") % width).alias("x"))

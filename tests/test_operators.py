@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import numbers
 from sparkloom.operators import automaton, changes, matrix, nested, packed, quant, sessions, shapes, spatial, tomography, voxel
 from sparkloom.plans.iterate import digest, prefix_sums
-from sparkloom.sources import blocks_gzip, matrix_market, patterns, tables
+from sparkloom.sources import blocks_gzip, matrix_market, patterns, scripts, tables
 from sparkloom.streaming import work as streams
 
 BOX = voxel.Bounds(0, 8, 0, 8, 0, 8)
@@ -392,6 +392,21 @@ def test_matrix_market(spark, tmp_path):
     assert rows(back, "i", "k", "v") == rows(got.where("file like '%m.mtx'"), "i", "k", "v")
 
 
+def test_scripts(spark):
+    text = "# a script\n\nsetblock 1 2 3 86\n fill 0 0 0 1 -1 0 5\nfill 1 2\nanimate create s sphere 1 2 3 4 true 7\nanimate move s 1 0 0 2 9\nanimate move s 0 1 0 3 9\nanimate orbit s xz 3 0.5 0 9 90\nanimate destroy s 12\nanimate spin lost 1 2 3 4 5\ntick"
+    commands = scripts.parse_commands(spark.createDataFrame([("f", text), ("g", None)], "file string, text string"))
+    assert [r.command for r in commands.orderBy("nth").collect()] == ["setblock", "fill", "fill", *["animate"] * 6, "tick"]
+    assert rows(scripts.block_edits(commands), "x", "y", "z", "state") == [(0, -1, 0, 5), (0, 0, 0, 5), (1, -1, 0, 5), (1, 0, 0, 5), (1, 2, 3, 86)]
+    (s,) = scripts.shape_table(commands).collect()
+    assert (s["name"], s.kind, s.sizes, s.x, s.y, s.z, s.state, s.destroy) == ("s", "sphere", ["4", "true"], 1.0, 2.0, 3.0, 7, 12)
+    assert [tuple(m) for m in s.moves] == [(1.0, 0.0, 0.0, 2, 9), (0.0, 1.0, 0.0, 3, 9)] and s.spins == [] and abs(s.orbits[0].phase - 1.5707963) < 1e-6
+
+
+def test_random_grid(spark):
+    cells = automaton.random_cells(spark, 40, 50, 3)
+    assert 800 < cells.count() < 1200 and cells.where("y >= 40 OR x >= 50").count() == 0
+
+
 def test_recorded_series(spark, tmp_path):
     series = spark.createDataFrame([(t, c) for t in range(6) for c in range(3)], "tick long, cell int")
     tables.record(series, str(tmp_path / "s"), every=2)
