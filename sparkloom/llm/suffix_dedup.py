@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import bundles, cover, runs
-from .common import dropped, semi, short_batches, small, text_or_empty, written
+from .common import dropped, short_batches, text_or_empty, written
 from .suffixes import repeated
 
 #: Distinct bundles of one anchor that may meet in a shard; a larger group is divided first.
@@ -107,7 +107,7 @@ def repeated_spans(base: DataFrame, length: int, k: int) -> DataFrame:
     found = written(base.mapInArrow(_bundle_rows(length, k), BUNDLES), "suffix-bundles")
     met = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("c0"), F.max("content").alias("c1")).where("n > 1")
     met = written(met.select("anchor", (F.col("c0") != F.col("c1")).alias("branching")), "suffix-met")
-    shared = written(found.join(F.broadcast(met) if small(met, 200_000) else met, "anchor"), "suffix-shared")
+    shared = written(found.join(met, "anchor"), "suffix-shared")
     dropped(found, met)
     # anchors with one content: each window of each bundle stands in all of them
     spans = shared.where("NOT branching").select("rid", F.col("lo").alias("begin"), (F.col("hi") + length).alias("end"))
@@ -121,7 +121,7 @@ def repeated_spans(base: DataFrame, length: int, k: int) -> DataFrame:
         F.col("src.rid").alias("rid"), F.struct("anchor", "copies", "src.lo", "src.hi", "src.at", F.coalesce("l", F.lit(False)).alias("large")).alias("x")
     )
     asked = written(marked.groupBy("rid").agg(F.collect_list("x").alias("asked")), "suffix-asked")
-    texts = semi(base, asked.select("rid"), ["rid"]).join(asked, "rid")
+    texts = base.join(asked, "rid")
     parts = written(texts.mapInArrow(_cut_parts(length), PARTS), "suffix-parts")
     keys = written(parts.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("part")).alias("bytes")).where("n > 1"), "suffix-keys")
     shards = max(1, -(-(keys.where(F.col("n") <= GROUP).agg(F.sum("bytes")).first()[0] or 0) // SHARD_BYTES))
