@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import in_words, text_or_empty, written
+from .common import in_words, small, text_or_empty, written
 
 
 def water_fill(sources: DataFrame, max_epochs: float = 3.0, share: float = 1.0) -> DataFrame:
@@ -34,6 +34,41 @@ def water_fill(sources: DataFrame, max_epochs: float = 3.0, share: float = 1.0)
     )
 
 
+def _placed(docs: DataFrame, buckets: int, seed: int) -> DataFrame:
+    """``docs`` with their place in the seeded order: bucket, then hash."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).cast("binary"))
+    return (
+        docs.withColumn("hash", F.conv(F.substr(digest, F.lit(1), F.lit(15)), 16, 10).cast("long"))
+        .withColumn("bucket", F.pmod("hash", F.lit(buckets)).cast("int"))
+        .withColumn("source_key", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
+    )
+
+
+def _cuts(slim: DataFrame, weights: tuple[float, ...], max_epochs: float) -> DataFrame:
+    """One row for each source: target, whole repetitions, and where in the order the fractional one ends."""
+    by_bucket = written(slim.groupBy("source_key", "bucket").agg(F.first("source").alias("source"), F.sum("size").alias("bucket_size")), "mix-buckets")
+    sources = by_bucket.groupBy("source_key").agg(F.first("source").alias("source"), F.sum("bucket_size").alias("source_size"))
+    rank = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(rank, F.lit(len(weights))) + 1).cast("int"))
+    targets = (
+        water_fill(sources.withColumn("weight", weight), max_epochs)
+        .select("source_key", "source_size", "target")
+        .withColumn("ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
+        .withColumn("whole", F.floor("ratio").cast("int"))
+        .withColumn("wanted", (F.col("ratio") - F.col("whole")) * F.col("source_size"))
+    )
+    targets = written(targets, "mix-targets")
+    before = W.partitionBy("source_key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    starts = by_bucket.select("source_key", "bucket", "bucket_size", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("start"))
+    edge = starts.join(targets.select("source_key", "wanted"), "source_key").where((F.col("start") < F.col("wanted")) & (F.col("start") + F.col("bucket_size") >= F.col("wanted")))
+    edge = written(edge.select("source_key", F.col("bucket").alias("edge"), "start", "wanted"), "mix-edges")
+    near = slim.join(F.broadcast(edge) if small(edge, 200_000) else edge, (slim["bucket"] == edge["edge"]) & (slim["source_key"] == edge["source_key"])).drop(edge["source_key"])
+    run = F.sum("size").over(W.partitionBy("source_key").orderBy("hash", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0))
+    inside = near.withColumn("run", run).where(F.col("start") + F.col("run") - F.col("size") / 2 < F.col("wanted"))
+    last = inside.groupBy("source_key").agg(F.max("hash").alias("last_hash"))
+    return written(targets.join(edge.select("source_key", "edge"), "source_key", "left").join(last, "source_key", "left"), "mix-cuts")
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[float, ...] = (1.0, 2.0, 3.0),
@@ -41,48 +76,28 @@ def mix(
     seed: int = 17,
     buckets: int = 4096,
     size: Column | None = None,
+    payload: tuple[str, ...] = (),
 ) -> DataFrame:
-    """How often a mix takes each document of ``docs`` (``doc_id, source, text``; other columns are
-    not read).
+    """How often a mix takes each document of ``docs`` (``doc_id, source, text``, and the columns of ``payload``).
 
     Sources in code-point order (null last) weigh ``weights``, repeated. Each document is taken
     ``floor(target / source_size)`` times whole; the fractional repetition goes to the first documents
     of a seeded hash order until the source's target is met, so a rerun takes the same ones and a
-    source misses its target by at most half of one document. The order is kept in ``buckets``
-    hash ranges a source: only one bucket is ever sorted in one task, and a bucket's start
-    comes from the sums of the buckets before it.
+    source misses its target by at most half of one document. Sizes are summed by source and ``buckets`` hash ranges; only the
+    range in which a source's target is met is looked at row by row, and its last row's hash is the cut. So documents
+    are decided where they stand: neither they nor their texts are shuffled.
 
     Null text has size 0 and is taken 0 words; an empty table gives an empty result; rows with equal
-    doc_id count as rows of their own.
-    Returns ``doc_id, source, size, source_size, target, repeats, taken``.
+    doc_id are taken equally often. Returns ``doc_id, source, size, source_size, target, repeats, taken``, or with ``payload``
+    (names other than these) ``doc_id, source, payload, repeats``.
     """
-    counted = docs.select(F.col("doc_id"), F.col("source"), (in_words(text_or_empty()) if size is None else size).alias("size"))
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).cast("binary"))
-    mixed = F.conv(F.substr(digest, F.lit(1), F.lit(15)), 16, 10).cast("long")
-    slim = written(
-        counted.withColumn("hash", mixed)
-        .withColumn("bucket", F.pmod("hash", F.lit(buckets)).cast("int"))
-        .withColumn("source_key", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))),
-        "mix",
-    )
-    by_bucket = written(slim.groupBy("source_key", "bucket").agg(F.first("source").alias("source"), F.sum("size").alias("bucket_size")), "mix-buckets")
-    sources = by_bucket.groupBy("source_key").agg(F.first("source").alias("source"), F.sum("bucket_size").alias("source_size"))
-    rank = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(rank, F.lit(len(weights))) + 1).cast("int"))
-    targets = water_fill(sources.withColumn("weight", weight), max_epochs)
-    before = W.partitionBy("source_key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = (
-        by_bucket.select("source_key", "bucket", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("start"))
-        .join(targets.select("source_key", "source_size", "target"), "source_key")
-        .withColumn("ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
-        .withColumn("whole", F.floor("ratio"))
-        .withColumn("wanted", (F.col("ratio") - F.col("whole")) * F.col("source_size"))
-    )
-    run = W.partitionBy("source_key", "bucket").orderBy("hash", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    placed = slim.withColumn("run", F.sum("size").over(run)).join(starts, ["source_key", "bucket"], "left")
-    end = F.col("start") + F.col("run")
-    extra = F.when(end - F.col("size") / 2 < F.col("wanted"), 1).otherwise(0)
+    counted = docs.select("doc_id", "source", (in_words(text_or_empty()) if size is None else size).alias("size"))
+    slim = written(_placed(counted, buckets, seed), "mix")
+    cuts = _cuts(slim, weights, max_epochs)
+    rows = _placed(docs.select("doc_id", "source", *payload), buckets, seed) if payload else slim
+    decided = rows.join(F.broadcast(cuts) if small(cuts, 200_000) else cuts, "source_key")
+    extra = F.when((F.col("bucket") < F.col("edge")) | ((F.col("bucket") == F.col("edge")) & (F.col("hash") <= F.col("last_hash"))), 1).otherwise(0)
     repeats = (F.col("whole") + extra).cast("int")
-    return placed.select(
-        "doc_id", "source", F.col("size"), F.col("source_size"), F.col("target"), repeats.alias("repeats"), (repeats * F.col("size")).cast("long").alias("taken")
-    )
+    if payload:
+        return decided.select("doc_id", "source", *payload, repeats.alias("repeats"))
+    return decided.select("doc_id", "source", "size", "source_size", "target", repeats.alias("repeats"), (repeats * F.col("size")).cast("long").alias("taken"))
