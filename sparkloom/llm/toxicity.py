@@ -15,6 +15,8 @@ from .common import short_batches, text_or_empty
 
 WINDOW, STRIDE = 64, 48
 GRAM = 5
+#: Pairs of a document and a form whose n-grams are counted at once.
+PAIRS = 100_000
 #: Inputs of a word: the evidence of its form and how well that is known; as far as it is not, the evidence of its
 #: strongest and its first character n-gram and the mean of all.
 INPUTS = 5
@@ -77,11 +79,14 @@ class Odds:
     known: np.ndarray
 
     @classmethod
-    def of(cls, hashes: np.ndarray, text: np.ndarray, labels: np.ndarray, total: list[int]) -> Odds:
-        keys, at = np.unique(hashes, return_inverse=True)
-        once = np.unique(text * np.int64(len(keys) + 1) + at)
-        row, label = once % (len(keys) + 1), labels[once // (len(keys) + 1)]
-        hit = [np.bincount(row[label == v], minlength=len(keys)) for v in (0, 1)]
+    def of(cls, keys: np.ndarray, parts: Iterator[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, total: list[int]) -> Odds:
+        """``keys`` are sorted; ``parts`` yields (text, index of key) of some whole texts at a time."""
+        hit = np.zeros((2, len(keys)), dtype=np.int64)
+        for text, row in parts:
+            once = np.unique(text * np.int64(len(keys) + 1) + row)
+            label = labels[once // (len(keys) + 1)]
+            for v in (0, 1):
+                hit[v] += np.bincount(once[label == v] % (len(keys) + 1), minlength=len(keys))
         n = hit[0] + hit[1]
         raw = np.log((hit[1] + 0.5) / (total[1] + 1)) - np.log((hit[0] + 0.5) / (total[0] + 1))
         keep = n > 1
@@ -105,15 +110,24 @@ class Evidence:
 
     @classmethod
     def of(cls, t: Tokens, labels: np.ndarray, chosen: np.ndarray) -> Evidence:
-        """Counted by document, over the chosen ones."""
+        """Counted by document, over the chosen ones; n-grams for a few documents at a time."""
         n_forms = max(1, len(t.words))
         seen = np.unique(t.of_text * np.int64(n_forms) + t.form)
         text, form = seen // n_forms, seen % n_forms
         text, form = text[chosen[text]], form[chosen[text]]
         total = [max(1, int((chosen & (labels == v)).sum())) for v in (0, 1)]
-        many = np.diff(np.append(t.first_gram, len(t.grams)))[form]
-        gram_at = np.repeat(t.first_gram[form] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-        return cls(Odds.of(t.words[form], text, labels, total), Odds.of(t.grams[gram_at], np.repeat(text, many), labels, total))
+        many = np.diff(np.append(t.first_gram, len(t.grams)))
+        keys, gram = np.unique(t.grams, return_inverse=True)
+        cuts = np.unique(np.searchsorted(text, text[::PAIRS]))  # where texts begin
+        cuts = np.append(cuts, len(text))
+
+        def grams() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                n = many[form[a:b]]
+                at = np.repeat(t.first_gram[form[a:b]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                yield np.repeat(text[a:b], n), gram[at]
+
+        return cls(Odds.of(t.words, iter([(text, form)]), labels, total), Odds.of(keys, grams(), labels, total))
 
     def inputs(self, t: Tokens) -> np.ndarray:
         """Inputs of each form."""
