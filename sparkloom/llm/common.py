@@ -12,6 +12,8 @@ _own_dir: dict[str, str] = {}
 
 #: Rows of an Arrow batch. Texts can be long, so batches are kept short.
 BATCH_ROWS = 256
+#: And bytes, where single texts are very long.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,6 +48,7 @@ def dropped(*tables: DataFrame) -> None:
 
 def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def text_or_empty(name: str = "text") -> Column:
