@@ -17,8 +17,10 @@ from .common import semi, short_batches, small, text_or_empty, written
 
 #: Ratio of the sizes at the ends of a band. Linked sets differ less in size, so each set stands in two bands at most.
 BAND = 1.2
-#: Blocks of a band that may be empty in both sets of a pair before other cells are needed.
-SPARE = 1
+#: Below this size, cells allow for one element more or less; above, blocks of fewer than LEAST elements are no cells.
+FEW, LEAST = 64, 3
+#: Ways to cut the universe that are tried before single elements become cells.
+CUTS = 4
 #: Numbers that are counted at once.
 AT_ONCE = 4_000_000
 
@@ -38,13 +40,15 @@ def shingles(text: bytes, width: int) -> np.ndarray:
 
 
 class Cells:
-    """Cells of sets: two sets with similarity of at least ``least`` / 100 share one.
+    """Cells of sets: two sets with similarity of at least ``least`` / 100 share one, and others hardly ever do.
 
     Let the smaller set have fewer than U elements. Then their union has at most U / s, and they differ in at
-    most D = (1 - s) U / s of them. With the universe cut by hash in D + 1 + SPARE blocks, the union has
-    elements in more than D blocks unless more than SPARE are empty in both; so there is a block in which
-    both agree and are not empty. Its elements are a cell. A set with more empty blocks gets as further cells its
-    first elements in hash order, more than it may miss in a linked set, of which linked sets share one."""
+    most D = (1 - s) U / s of them. Cut the universe by hash in D + 1 + spare blocks: in more than ``spare`` of them both agree. A
+    block that has LEAST elements or more is a cell. If more than ``spare`` blocks of a set are smaller, it may share only
+    such with a linked set, which then has as many of them; so both are also given the cells of another cut, and so
+    on. Sets of fewer than FEW elements are cut in D // 2 + 1 + spare blocks, of which more than ``spare`` differ in one element at most; their
+    cells are the whole block and the block less each element. A set whose blocks are too small in all of CUTS cuts gets as
+    cells its first elements in hash order, one more than a linked set may lack."""
 
     def __init__(self, least: int) -> None:
         self.least = least
@@ -65,15 +69,30 @@ class Cells:
         least_partner = -(-n * self.least // 100)
         for band in range(self._band(max(self.first, least_partner)), top + 1):
             largest = self.bands[band + 1] - 1
-            blocks = (100 - self.least) * (100 * largest // self.least) // 100 + 1 + SPARE
-            block = ((elements >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)  # rises with the hash
-            begin = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
-            size = np.diff(np.append(begin, n)).astype(np.uint64)
-            key = np.uint64((band + 1) * BASE & (1 << 64) - 1) + block[begin] * np.uint64(OTHER_BASE)
-            out.append(mix(np.add.reduceat(mix(elements + key[np.repeat(np.arange(len(begin)), size.astype(np.int64))]), begin) + size))
-            if blocks - len(begin) > SPARE:
-                prefix = n - least_partner + 1
-                out.append(mix(elements[:prefix] ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
+            apart = (100 - self.least) * (100 * largest // self.least) // 100
+            few = largest < FEW
+            spare = int(apart >= 6) if few else 2 + apart // 10
+            blocks = (apart // 2 if few else apart) + 1 + spare
+            for cut in range(CUTS):
+                e = np.sort(mix(elements + np.uint64(cut * BASE & (1 << 64) - 1))) if cut else elements
+                block = ((e >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)  # rises with the hash
+                begin = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+                size = np.diff(np.append(begin, n))
+                key = np.uint64(((band * CUTS + cut + 1) * BASE) & (1 << 64) - 1) + block[begin] * np.uint64(OTHER_BASE)
+                of_element = mix(e + np.repeat(key, size))
+                total = np.add.reduceat(of_element, begin)
+                large = size >= LEAST
+                out.append(mix(total[large]))
+                if few:  # a block that differs in one element is the other less that element
+                    inner = np.repeat(large & (size > LEAST), size)
+                    out.append(mix(np.repeat(total, size)[inner] - of_element[inner]))
+                    small_blocks = blocks - int((size > LEAST).sum())
+                else:
+                    small_blocks = blocks - int(large.sum())
+                if small_blocks <= spare:
+                    break
+            else:
+                out.append(mix(elements[: n - least_partner + 1] ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
         return np.unique(np.concatenate(out))
 
 
@@ -82,6 +101,17 @@ def cells(least: int) -> Cells:
     return Cells(least)
 
 
+def prefix(elements: np.ndarray, least: int, frequent: np.ndarray, wider: float = 1.0) -> np.ndarray:
+    """The first elements of a set in one order of all: ``frequent`` ones (sorted) last, else by hash. One more than a
+    linked set may lack, so linked sets have one of them in common, whatever is taken for frequent."""
+    n = len(elements)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, elements), len(frequent) - 1)
+        often = frequent[at] == elements
+        elements = np.concatenate((elements[~often], elements[often]))
+    return elements[: int((n - -(-n * least // 100) + 1) * wider) if n else 0]
+
+
 SETS = "rid long, doc_id long, n long, class long, cells array<long>"
 
 
@@ -89,16 +119,18 @@ def _buffers(column: pa.Array) -> list[bytes]:
     return [x.as_buffer().to_pybytes() for x in column]
 
 
-def _sets(width: int, least: int):
+def _sets(width: int, least: int, frequent=None):
+    """``frequent``: None for cells of blocks, else a broadcast of sorted hashes, for prefixes."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = cells(least)
+        of = cells(least).of if frequent is None else lambda e: prefix(e, least, frequent.value)
         for batch in batches:
             n, name, found = [], [], []
             for text in _buffers(batch.column("data")):
                 e = shingles(text, width)
                 n.append(len(e))
                 name.append(int.from_bytes(hashlib.blake2b(e.tobytes(), digest_size=8).digest(), "little", signed=True))
-                found.append(of.of(e).view(np.int64))
+                found.append(of(e).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("rid"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(name, pa.int64()), pa.array(found, pa.list_(pa.int64()))],
                 names=["rid", "doc_id", "n", "class", "cells"],
@@ -107,19 +139,10 @@ def _sets(width: int, least: int):
     return rows
 
 
-def _elements(width: int):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingles(text, width).view(np.int64) for text in _buffers(batch.column("data"))]
-            yield pa.RecordBatch.from_arrays([batch.column("member"), pa.array(found, pa.list_(pa.int64()))], names=["member", "elements"])
-
-    return rows
-
-
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
     """For a few sets of ``left`` at a time: the first one's index, and how many elements each shares with each of ``right``."""
     of_right = np.repeat(np.arange(len(right)), [len(x) for x in right])
-    flat = np.concatenate(right) if right else np.zeros(0, dtype=np.int64)
+    flat = np.concatenate(right) if right else np.zeros(0, dtype=np.uint64)
     order = np.argsort(flat, kind="stable")
     flat, of_right = flat[order], of_right[order]
     at = 0
@@ -146,7 +169,7 @@ def linked(shared: np.ndarray, n: np.ndarray, m: np.ndarray, least: int) -> np.n
 LINKS = "a long, b long"
 
 
-def _join_regions(least: int):
+def _join_regions(width: int, least: int):
     """Links of the regions of a bundle, as one star for each component of a region."""
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -154,7 +177,7 @@ def _join_regions(least: int):
         for _, region in pdf.groupby("region", sort=False):
             region = region.drop_duplicates("member").sort_values("member")
             names = region["member"].to_numpy()
-            sets = [np.asarray(x, dtype=np.int64) for x in region["elements"]]
+            sets = [shingles(x, width) for x in region["data"]]
             size = np.array([len(x) for x in sets])
             root = np.arange(len(sets))
             for at, shared in overlaps(sets, sets):
@@ -172,7 +195,7 @@ def _join_regions(least: int):
 ASSIGNED = "region long, parent long, member long, star long"
 
 
-def _assign(least: int):
+def _assign(width: int, least: int):
     """Voronoi regions of a region's pivots. A set goes to its nearest pivot, and to each other pivot that is not farther
     by more than twice the radius: else the triangle inequality says that no linked set has that pivot as its nearest."""
     radius = 1 - least / 100
@@ -183,8 +206,8 @@ def _assign(least: int):
             out = [(region, region, member, None) for region, member in zip(members["region"], members["member"], strict=True)]
         elif len(members):
             pivots = pivots.sort_values("pivot").reset_index(drop=True)
-            p_sets = [np.asarray(x, dtype=np.int64) for x in pivots["elements"]]
-            sets = [np.asarray(x, dtype=np.int64) for x in members["elements"]]
+            p_sets = [shingles(x, width) for x in pivots["data"]]
+            sets = [shingles(x, width) for x in members["data"]]
             p_size, size = np.array([len(x) for x in p_sets]), np.array([len(x) for x in sets])
             p_name, name = pivots["pivot"].to_numpy(), members["member"].to_numpy()
             parent = int(members["region"].iloc[0])
@@ -201,12 +224,14 @@ def _assign(least: int):
     return assign
 
 
-def region_links(regions: DataFrame, elements: DataFrame, least: int, limit: int = 512, pivots: int = 24, levels: int = 5, bundle: int = 1_000_000) -> DataFrame:
-    """Links (``a, b``) within each region of ``regions`` (``region, member``), enough to connect what is linked.
+def region_links(regions: DataFrame, texts: DataFrame, width: int, least: int, limit: int = 512, pivots: int = 24, levels: int = 5, bundle: int = 6_000_000) -> DataFrame:
+    """Links (``a, b``) within each region of ``regions`` (``region, member``), enough to connect what is linked. Texts travel (``member, data``), which are
+    smaller than sets of hashes; sets are made where they are compared, about ``bundle`` bytes of texts at a time.
 
-    Regions of up to ``limit`` sets are joined whole. Larger ones are divided again by some ``pivots`` of their own; a
-    part that holds nearly all of its region, or is still too large after ``levels`` rounds, is joined block against
-    block. So no task holds more than about ``limit`` sets, and no pair is left out."""
+    Regions of up to ``limit`` sets are joined whole. Larger ones are divided again by some ``pivots`` of their own, as long as that
+    leaves them in smaller parts without many copies. A dense one, whose sets are all near each other, is not: its sets that are linked to one of the pivots are
+    connected by that, and only the others are compared, with all, block against block. So no task holds more than
+    about ``limit`` sets, and no pair is left out that could connect anything."""
     spark = regions.sparkSession
     links, whole, todo = [], [], regions
     for level in range(levels + 1):
@@ -219,33 +244,36 @@ def region_links(regions: DataFrame, elements: DataFrame, least: int, limit: int
         whole.append(todo.join(large, "region", "left_anti"))
         rest = todo.join(large, "region")
         if level == levels:
-            whole.append(_in_blocks(rest, limit))
+            whole.append(_in_blocks(rest.select("region", "member", F.lit(False).alias("core")), limit))
             break
         share = F.lit(float(pivots)) / F.col("size")
         dice = F.abs(F.xxhash64("region", "member", F.lit(level))) / F.lit(float(1 << 63))
         salts = F.ceil(F.col("size") / F.lit(4 * limit)).cast("int")
-        drawn = rest.where(dice < share).join(elements, "member")
-        chosen = written(drawn.select("region", F.col("member").alias("pivot"), "elements", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")), "jaccard-pivots")
-        salted = rest.withColumn("salt", F.pmod(F.xxhash64("member", F.lit(level)), salts).cast("int")).join(elements, "member").select("region", "salt", "member", "elements")
-        found = salted.groupBy("region", "salt").cogroup(chosen.groupBy("region", "salt")).applyInPandas(_assign(least), ASSIGNED)
+        drawn = rest.where(dice < share).join(texts, "member")
+        chosen = written(drawn.select("region", F.col("member").alias("pivot"), "data", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")), "jaccard-pivots")
+        salted = rest.withColumn("salt", F.pmod(F.xxhash64("member", F.lit(level)), salts).cast("int")).join(texts, "member").select("region", "salt", "member", "data")
+        found = salted.groupBy("region", "salt").cogroup(chosen.groupBy("region", "salt")).applyInPandas(_assign(width, least), ASSIGNED)
         found = written(found, "jaccard-assigned")
         links.append(found.where("star is not null AND star <> member").select(F.col("member").alias("a"), F.col("star").alias("b")))
-        parts = found.groupBy("region", "parent").agg(F.count(F.lit(1)).alias("size"))
-        parts = parts.join(large.select(F.col("region").alias("parent"), F.col("size").alias("whole")), "parent")
-        stuck = written(parts.where((F.col("size") > limit) & (F.col("size") > 0.7 * F.col("whole"))).select("region", "parent", "size"), "jaccard-stuck")
-        stuck_parents = stuck.select(F.col("parent").alias("region")).distinct()
-        few = small(stuck_parents, 50_000)
-        stuck_parents = F.broadcast(stuck_parents) if few else stuck_parents
-        if not stuck.isEmpty():  # one such part holds what the others do and more: its region is joined in blocks instead
-            whole.append(_in_blocks(rest.join(stuck_parents, "region", "left_semi"), limit))
-        todo = written(found.join(stuck_parents.withColumnRenamed("region", "parent"), "parent", "left_anti").select("region", "member"), "jaccard-regions")
+        parts = found.groupBy("parent", "region").agg(F.count(F.lit(1)).alias("part")).groupBy("parent").agg(F.sum("part").alias("copies"), F.max("part").alias("largest"))
+        parts = parts.join(large.select(F.col("region").alias("parent"), "size"), "parent")
+        dense = written(parts.where((F.col("copies") > 2 * F.col("size")) | (F.col("largest") > F.greatest(F.lit(limit), 0.7 * F.col("size")))).select(F.col("parent").alias("region")), "jaccard-dense")
+        dense = F.broadcast(dense) if small(dense, 50_000) else dense
+        stars = found.where("star is not null").groupBy("parent", "star").agg(F.count(F.lit(1)).alias("n")).groupBy("parent").agg(F.max(F.struct("n", "star")).alias("best"))
+        stars = stars.select("parent", F.col("best.star").alias("star"))
+        core = found.join(stars, ["parent", "star"], "left_semi").select(F.col("parent").alias("region"), "member", F.lit(True).alias("core"))
+        marked = rest.join(dense, "region", "left_semi").join(core, ["region", "member"], "left").select("region", "member", F.coalesce("core", F.lit(False)).alias("core"))
+        whole.append(_in_blocks(written(marked, "jaccard-marked"), limit))
+        todo = written(found.join(dense.withColumnRenamed("region", "parent"), "parent", "left_anti").select("region", "member"), "jaccard-regions")
     out = whole[0].select("region", "member")
     for more in whole[1:]:
         out = out.unionByName(more.select("region", "member"))
-    filled = written(out.join(elements, "member"), "jaccard-filled")
-    total = filled.agg(F.sum(F.size("elements"))).first()[0] or 0
+    out = written(out, "jaccard-exact")
+    known = texts.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("data")).alias("total")).first()
+    total = int((known["total"] or 0) * (out.count() / max(1, known["n"])))
     bundles = max(1, -(-total // bundle), min(64, 2 * spark.sparkContext.defaultParallelism))
-    links.append(filled.withColumn("bundle", F.pmod(F.xxhash64("region"), F.lit(bundles))).groupBy("bundle").applyInPandas(_join_regions(least), LINKS))
+    filled = out.join(texts, "member").withColumn("bundle", F.pmod(F.xxhash64("region"), F.lit(bundles)))
+    links.append(filled.groupBy("bundle").applyInPandas(_join_regions(width, least), LINKS))
     out = links[0]
     for more in links[1:]:
         out = out.unionByName(more)
@@ -253,12 +281,17 @@ def region_links(regions: DataFrame, elements: DataFrame, least: int, limit: int
 
 
 def _in_blocks(rows: DataFrame, limit: int) -> DataFrame:
-    """Regions of all pairs of blocks of a region (``region, member, size``)."""
-    blocks = F.ceil(F.col("size") * 2 / F.lit(limit)).cast("int")
-    own = F.pmod(F.xxhash64("member", F.lit("block")), blocks).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.greatest(blocks - 1, F.lit(1))))
-    paired = rows.select("region", "member", own.alias("x"), other.alias("y")).where("x <> y")
-    return paired.select(F.xxhash64("region", F.least("x", "y"), F.greatest("x", "y")).alias("region"), "member")
+    """Regions ``(region, member)`` in which each pair of a region (``region, member, core``) meets unless both are of its core."""
+    half = limit / 2
+    counts = rows.groupBy("region").agg(F.ceil(F.count_if("core") / half).cast("int").alias("cores"), F.ceil(F.count_if(~F.col("core")) / half).cast("int").alias("others"))
+    blocks = F.when(F.col("core"), F.col("cores")).otherwise(F.col("others"))
+    placed = rows.join(counts, "region").where("others > 0").withColumn("block", F.pmod(F.xxhash64("member", F.lit("block")), blocks).cast("int"))
+    upto = lambda n: F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")))
+    across = placed.withColumn("other", upto(F.when(F.col("core"), F.col("others")).otherwise(F.col("cores"))))
+    x, y = F.when(F.col("core"), F.col("block")).otherwise(F.col("other")), F.when(F.col("core"), F.col("other")).otherwise(F.col("block"))
+    across = across.select(F.xxhash64("region", F.lit("core"), x, y).alias("region"), "member")
+    own = placed.where("NOT core").withColumn("other", upto(F.greatest(F.col("others"), F.lit(2)))).where("block <> other")
+    return across.unionByName(own.select(F.xxhash64("region", F.lit("rest"), F.least("block", "other"), F.greatest("block", "other")).alias("region"), "member"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -286,14 +319,114 @@ def components(links: DataFrame) -> DataFrame:
     return written(up.select(F.col("a").alias("member"), F.col("b").alias("root")).unionByName(roots.select("member", F.col("member").alias("root"))), "components")
 
 
-def jaccard_join(docs: DataFrame, width: int = 3, least: int = 90, limit: int = 512, pivots: int = 24) -> DataFrame:
+def _often_here(width: int, least: int, at_once: int = 2_000_000):
+    """Elements that stand in two prefixes or more of a task's texts, with their counts."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, dtype=np.uint64)
+        held: list[np.ndarray] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            e, n = np.unique(np.concatenate(held), return_counts=True) if held else (none, none)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(e[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], names=["cell", "n"])
+
+        for batch in batches:
+            for text in _buffers(batch.column("data")):
+                held.append(prefix(shingles(text, width), least, none, 1.25))
+                size += len(held[-1])
+            if size > at_once:
+                yield out()
+                size = 0
+        yield out()
+
+    return rows
+
+
+BUCKETS = 64
+
+
+def bucket_counts(elements: np.ndarray) -> bytes:
+    """Elements of a set in each of BUCKETS parts of the universe. Two sets differ in as many elements as these counts do, or more."""
+    return np.minimum(np.bincount((elements & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS), 65_535).astype("<u2").tobytes()
+
+
+def _counts(width: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(text, width) for text in _buffers(batch.column("data"))]
+            yield pa.RecordBatch.from_arrays([batch.column("member"), pa.array([len(e) for e in sets], pa.int64()), pa.array([bucket_counts(e) for e in sets], pa.binary())], names=["member", "n", "counts"])
+
+    return rows
+
+
+def _may_be_linked(least: int):
+    """Members of the regions of a bundle that, by their counts, may be linked to another member."""
+
+    def near(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for name, region in pdf.groupby("region", sort=False):
+            region = region.sort_values("n", kind="stable")
+            n = region["n"].to_numpy()
+            counts = np.frombuffer(b"".join(region["counts"]), dtype="<u2").reshape(len(n), BUCKETS).astype(np.int32)
+            marked = np.zeros(len(n), dtype=bool)
+            to = np.searchsorted(100 * n, 100 * 100 * n // least, side="right")  # larger sets can't be linked
+            for i in range(len(n)):
+                some = slice(i + 1, to[i])
+                apart = np.abs(counts[some] - counts[i]).sum(axis=1)
+                both = n[some] + n[i]
+                hit = 100 * (both - apart) >= least * (both + apart)
+                if hit.any():
+                    marked[i] = True
+                    marked[i + 1 : to[i]] |= hit
+            out += [(name, m) for m in region["member"].to_numpy()[marked]]
+        return pd.DataFrame(out, columns=["region", "member"], dtype="int64")
+
+    return near
+
+
+def _pruned(regions: DataFrame, counts: DataFrame, least: int, limit: int = 4096, bundle: int = 50_000) -> DataFrame:
+    """``regions`` without the members that can't be linked to another one of the same region: the counts give a lower bound of the distance. Regions of more than
+    ``limit`` sets stay whole."""
+    sizes = written(regions.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > limit).select("region"), "jaccard-whole")
+    sizes = F.broadcast(sizes) if small(sizes, 50_000) else sizes
+    bundles = max(1, -(-regions.count() // bundle), min(64, 2 * regions.sparkSession.sparkContext.defaultParallelism))
+    rows = regions.join(sizes, "region", "left_anti").join(counts, "member").withColumn("bundle", F.pmod(F.xxhash64("region"), F.lit(bundles)))
+    kept = rows.groupBy("bundle").applyInPandas(_may_be_linked(least), "region long, member long")
+    return written(kept.unionByName(regions.join(sizes, "region", "left_semi").select("region", "member")), "jaccard-pruned")
+
+
+def _with_prefixes(base: DataFrame, width: int, least: int, often: int, most: int = 500_000) -> DataFrame:
+    """Sets whose cells are prefixes. Elements that stand in more than ``often`` prefixes, as far as tasks meet them twice, and the ``most`` frequent of them,
+    come last in the order: which ones these are changes how much is compared, and nothing else."""
+    spark = base.sparkSession
+    counted = base.mapInArrow(_often_here(width, least), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > often)
+    found = counted.orderBy(F.desc("n"), "cell").limit(most).select("cell").toPandas()["cell"].to_numpy(dtype=np.int64)
+    frequent = spark.sparkContext.broadcast(np.sort(found.view(np.uint64)))  # at most 8 bytes for each of ``most``
+    return written(base.mapInArrow(_sets(width, least, frequent), SETS), "jaccard-sets")
+
+
+def _likely(in_cells: DataFrame, met: DataFrame, bits: int = 24) -> DataFrame:
+    """``in_cells`` without most of what has no cell of ``met``, so that it needn't be shuffled to find out: a bitmap of ``2**bits`` places, in rows of 64,
+    is broadcast. It is as large for any table; with very many cells it only lets more through."""
+    place = F.col("cell").bitwiseAND(F.lit((1 << bits) - 1))
+    inside = place.bitwiseAND(F.lit(63)).cast("int")
+    bitmap = met.groupBy(F.shiftright(place, 6).alias("row")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), inside)).alias("bits"))
+    found = in_cells.withColumn("row", F.shiftright(place, 6)).join(F.broadcast(written(bitmap, "jaccard-bitmap")), "row")
+    return found.where(F.call_function("shiftrightunsigned", F.col("bits"), inside).bitwiseAND(F.lit(1)) == 1).select("class", "cell")
+
+
+def jaccard_join(docs: DataFrame, width: int = 3, least: int = 90, limit: int = 512, pivots: int = 24, blocks_from: int = 88, often: int = 16) -> DataFrame:
     """Components of ``docs`` (``doc_id, text``) under links between texts whose sets of ``width``-word shingles have a
     Jaccard similarity of ``least`` % or more. Exact: every link counts, and each was measured on whole sets.
 
-    1. Equal sets form classes; only classes are compared. 2. The smallest class of each cell (see ``Cells``) is its
+    1. Equal sets form classes; only classes are compared. 2. The smallest class of each cell is its
     pivot, and a pivot's region holds all classes that share a cell with it; linked classes share a cell, so they
-    share a region. This replaces a global choice of pivots: nearly all texts are at distance 1 from nearly all
-    others, where the triangle inequality (windows of twice the radius, 0.2) would send every text to every region.
+    share a region. Cells are blocks of a set's elements from ``blocks_from`` % on (see ``Cells``); below, where so many blocks would be needed that
+    they'd be too small, they are the elements of its prefix, and counts of elements in parts of the universe, a map that makes no distance larger, first
+    take out of each region what is too far from all its members. This replaces a global choice of pivots: nearly all texts are at distance 1 from nearly all
+    others, where the triangle inequality (windows of twice the radius) would send every text to every region.
     3. Regions with many classes are divided by further pivots into Voronoi regions, with texts near the borders in
     all regions that the triangle inequality allows, recursively; then each region is joined exactly.
     4. Links are joined to components by rounds of joins.
@@ -306,17 +439,22 @@ def jaccard_join(docs: DataFrame, width: int = 3, least: int = 90, limit: int =
     """
     short_batches(docs.sparkSession)
     base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("data"))
-    sets = written(base.mapInArrow(_sets(width, least), SETS), "jaccard-sets")
+    sets = written(base.mapInArrow(_sets(width, least), SETS), "jaccard-sets") if least >= blocks_from else _with_prefixes(base, width, least, often)
     in_cells = sets.select("class", F.explode("cells").alias("cell"))
     met = written(in_cells.groupBy("cell").agg(F.min("class").alias("region"), F.max("class").alias("last")).where("region < last").select("cell", "region"), "jaccard-cells")
-    met_here = F.broadcast(met) if small(met, 200_000) else met
-    shared = in_cells.join(met_here, "cell").select("region", F.col("class").alias("member"))
+    shared = _likely(in_cells, met).join(met, "cell").select("region", F.col("class").alias("member"))
     regions = written(shared.distinct(), "jaccard-regions")
-    members = regions.select(F.col("member").alias("class")).distinct()
-    sources = written(semi(sets.select("class", "rid"), members, ["class"]).groupBy("class").agg(F.min("rid").alias("rid")), "jaccard-sources")
-    texts = base.select("rid", "data").join(F.broadcast(sources) if small(sources, 200_000) else sources, "rid")
-    elements = written(texts.select(F.col("class").alias("member"), "data").mapInArrow(_elements(width), "member long, elements array<long>"), "jaccard-elements")
-    found = components(region_links(regions, elements, least, limit, pivots))
+
+    def texts_of(members: DataFrame) -> DataFrame:
+        """A text of each member's class, as ``(member, data)``."""
+        named = members.select(F.col("member").alias("class")).distinct()
+        sources = written(semi(sets.select("class", "rid"), named, ["class"]).groupBy("class").agg(F.min("rid").alias("rid")), "jaccard-sources")
+        return base.select("rid", "data").join(F.broadcast(sources) if small(sources, 200_000) else sources, "rid").select(F.col("class").alias("member"), "data")
+
+    if least < blocks_from:
+        counts = written(texts_of(regions).mapInArrow(_counts(width), "member long, n long, counts binary"), "jaccard-counts")
+        regions = _pruned(regions, counts, least)
+    found = components(region_links(regions, written(texts_of(regions), "jaccard-texts"), width, least, limit, pivots))
     classes = written(sets.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("rows")), "jaccard-classes")
     of_class = found.select(F.col("member").alias("class"), "root").join(classes.select("class", "first_id"), "class")
     least_id = of_class.groupBy("root").agg(F.min("first_id").alias("component_id"))

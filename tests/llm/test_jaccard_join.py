@@ -60,6 +60,13 @@ def test_equals_brute_force(spark, seed, limit, pivots):
     assert got(jaccard_join(df, limit=limit, pivots=pivots)) == brute(rows)
 
 
+@pytest.mark.parametrize(("seed", "limit", "often"), [(5, 512, 64), (6, 3, 2)])
+def test_lower_similarity(spark, seed, limit, often):
+    rows = corpus(seed)
+    df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], SCHEMA)
+    assert got(jaccard_join(df, width=5, least=80, limit=limit, pivots=3, often=often)) == brute(rows, 5, 80)
+
+
 def test_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
@@ -102,3 +109,16 @@ def test_shingles():
     assert len(shingles(b"a b c d", 3)) == 2
     assert len(shingles(b"", 3)) == 0
     assert (shingles(b"A b", 3) == shingles(b"a   B", 3)).all()
+
+
+def test_counts_bound_the_distance():
+    import numpy as np
+
+    from sparkloom.llm.jaccard_join import bucket_counts
+
+    r = random.Random(7)
+    for _ in range(300):
+        a = {r.randrange(1 << 62) for _ in range(r.randint(1, 200))}
+        b = {x for x in a if r.random() < 0.8} | {r.randrange(1 << 62) for _ in range(r.randint(0, 40))}
+        x, y = (np.frombuffer(bucket_counts(np.array(sorted(s), dtype=np.uint64)), dtype="<u2").astype(int) for s in (a, b))
+        assert abs(x - y).sum() <= len(a ^ b)
