@@ -25,34 +25,35 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SEQUENCE = 2048
 
 
-def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``ids``, which are broadcast only when counted to be few."""
-    return docs.join(F.broadcast(ids) if small(ids, 200_000) else ids, "doc_id", "left_semi").select(*COLUMNS)
+def _kept(docs: DataFrame, decided: DataFrame, name: str) -> DataFrame:
+    """``docs`` without those of which ``decided`` (``doc_id, kept``) keeps no row. Rows without a doc_id stay. The ids that go, mostly
+    few, are broadcast only when counted to be."""
+    gone = written(decided.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("NOT kept").select("doc_id"), name)
+    return docs.join(F.broadcast(gone) if small(gone, 200_000) else gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labels that may be learned from, doesn't call toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity(docs.select(*COLUMNS), labels, threshold=0.3).where("predicted = 0").select(*COLUMNS)
+    scored = toxicity(docs.select("doc_id", "text"), labels, threshold=0.3)
+    return _kept(docs, scored.select("doc_id", (F.col("predicted") == 0).alias("kept")), "pipeline-toxic")
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal but for A-Z and a-z, the row with the largest doc_id."""
-    return _kept(docs, written(exact_dedup(docs).where("kept").select("doc_id").distinct(), "pipeline-exact"))
+    return _kept(docs, exact_dedup(docs).select("doc_id", "kept"), "pipeline-exact")
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of documents linked by shingles, the row with the smallest doc_id."""
-    found = jaccard_join(docs).where("doc_id <=> component_id").select("doc_id")
-    return _kept(docs, written(found.distinct(), "pipeline-near"))
+    """Of each component of documents linked by five-word shingles and a similarity of 0.8, the row with the smallest doc_id."""
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return _kept(docs, jaccard_join(docs, width=5, least=80).select("doc_id", kept.alias("kept")), "pipeline-near")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    repeats = mix(docs).select("doc_id", "repeats").where("repeats > 0")
-    each = written(repeats.groupBy("doc_id").agg(F.max("repeats").alias("repeats")), "pipeline-mix")
-    taken = docs.join(F.broadcast(each) if small(each, 200_000) else each, "doc_id")
-    return taken.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("repeats"))).alias("nth")).select(*COLUMNS)
+    taken = mix(docs, payload=("text", "lang", "n_chars")).where("repeats > 0")
+    return taken.select("*", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

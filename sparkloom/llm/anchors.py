@@ -31,12 +31,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=4)
+_grown: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of ``base`` and of its inverse, modulo 2**64."""
-    up, down = np.full(n, base, dtype=np.uint64), np.full(n, pow(base, -1, 1 << 64), dtype=np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+    """Powers of ``base`` and of its inverse, modulo 2**64: one pair of arrays for each base, made longer when needed."""
+    have = _grown.get(base)
+    if have is None or len(have[0]) < n:
+        up, down = np.full(n, base, dtype=np.uint64), np.full(n, pow(base, -1, 1 << 64), dtype=np.uint64)
+        up[0] = down[0] = 1
+        have = _grown[base] = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    return have[0][:n], have[1][:n]
 
 
 class Rolling:

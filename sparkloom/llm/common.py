@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +50,20 @@ def dropped(*tables: DataFrame) -> None:
                 p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: What empties the large caches of a Python worker; operators that have one add to it.
+WORKER_CACHES: list[Callable[[], None]] = []
+
+
+def free_worker() -> None:
+    """Give back what an earlier operator's tasks left in this Python worker, which Spark uses again."""
+    for clear in WORKER_CACHES:
+        clear()
+    if WORKER_CACHES:
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # only the C library of Linux has it
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

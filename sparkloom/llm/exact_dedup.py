@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import short_batches, small, text_or_empty, written
+from .common import free_worker, short_batches, small, text_or_empty, written
 
 #: Two primes below 2**31 (products of residues fit 64 bits) and a base for each.
 PRIMES = (2147483629, 2147483587)
@@ -61,6 +61,7 @@ DIGEST = "f1 long, f2 long, n_bytes long, text_sha256 string"
 def _digests(primes: tuple[int, ...]):
     @F.arrow_udf(DIGEST)
     def digests(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        free_worker()
         for batch in texts:
             rows = []
             for x in batch:

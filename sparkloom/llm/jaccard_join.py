@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import BASE, OTHER_BASE, Rolling, mix, word_bounds, word_symbols
-from .common import semi, short_batches, small, text_or_empty, written
+from .common import free_worker, semi, short_batches, small, text_or_empty, written
 
 #: Ratio of the sizes at the ends of a band. Linked sets differ less in size, so each set stands in two bands at most.
 BAND = 1.2
@@ -123,6 +123,7 @@ def _sets(width: int, least: int, frequent=None):
     """``frequent``: None for cells of blocks, else a broadcast of sorted hashes, for prefixes."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         of = cells(least).of if frequent is None else lambda e: prefix(e, least, frequent.value)
         for batch in batches:
             n, name, found = [], [], []
@@ -323,6 +324,7 @@ def _often_here(width: int, least: int, at_once: int = 2_000_000):
     """Elements that stand in two prefixes or more of a task's texts, with their counts."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         none = np.zeros(0, dtype=np.uint64)
         held: list[np.ndarray] = []
         size = 0

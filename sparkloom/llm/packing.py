@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import short_batches, text_or_empty, written
+from .common import WORKER_CACHES, short_batches, text_or_empty, written
 
 #: Words, and parts of words, whose ids a Python worker remembers at most.
 REMEMBERED = 700_000
@@ -84,6 +84,8 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+WORKER_CACHES.append(word_ids.cache_clear)
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 

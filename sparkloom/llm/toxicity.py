@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import Rolling, byte_symbols, mix, word_symbols
-from .common import short_batches, text_or_empty
+from .common import free_worker, short_batches, text_or_empty
 
 WINDOW, STRIDE = 64, 48
 GRAM = 5
@@ -353,6 +353,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, held_ou
 
     @F.arrow_udf("double")
     def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        free_worker()
         for batch in texts:
             yield pa.array(fitted.value.scores([x.as_buffer().to_pybytes() for x in batch]))
 
