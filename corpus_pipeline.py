@@ -2,6 +2,7 @@
 
 ``STAGES`` lists (name, function); a function takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is
 written as Parquet and read again as the next one's ``docs``. All but the last return the columns of ``documents``.
+Rows are decided each, by a number that a stage gives them, so null and repeated doc_ids lose and keep nothing by their id.
 Null and empty texts, repeated rows and further columns are handled as the operators say; an empty table gives an
 empty result.
 """
@@ -14,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import small, written
+from sparkloom.llm.common import numbered, small, written
 from sparkloom.llm.exact_dedup import exact_dedup
 from sparkloom.llm.jaccard_join import jaccard_join
 from sparkloom.llm.mixing import mix
@@ -25,29 +26,31 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SEQUENCE = 2048
 
 
-def _kept(docs: DataFrame, decided: DataFrame, name: str) -> DataFrame:
-    """``docs`` without those of which ``decided`` (``doc_id, kept``) keeps no row. Rows without a doc_id stay. The ids that go, mostly
-    few, are broadcast only when counted to be."""
-    gone = written(decided.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("NOT kept").select("doc_id"), name)
-    return docs.join(F.broadcast(gone) if small(gone, 200_000) else gone, "doc_id", "left_anti").select(*COLUMNS)
+def _kept(rows: DataFrame, decided: DataFrame, name: str) -> DataFrame:
+    """Rows of ``rows`` (numbered) that ``decided`` (``rid, kept``) keeps: each is decided by its own number, whatever its doc_id. The numbers that go,
+    mostly few, are broadcast only when counted to be."""
+    gone = written(decided.where("NOT kept").select("rid"), name)
+    return rows.join(F.broadcast(gone) if small(gone, 200_000) else gone, "rid", "left_anti").select(*COLUMNS)
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labels that may be learned from, doesn't call toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = toxicity(docs.select("doc_id", "text"), labels, threshold=0.3)
-    return _kept(docs, scored.select("doc_id", (F.col("predicted") == 0).alias("kept")), "pipeline-toxic")
+    rows = numbered(docs, "pipeline-toxicity-rows", *COLUMNS)
+    scored = toxicity(rows.select("rid", "doc_id", "text"), labels, threshold=0.3)
+    return _kept(rows, scored.select("rid", (F.col("predicted") == 0).alias("kept")), "pipeline-toxic")
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal but for A-Z and a-z, the row with the largest doc_id."""
-    return _kept(docs, exact_dedup(docs).select("doc_id", "kept"), "pipeline-exact")
+    """Of texts that are equal but for A-Z and a-z, one row with the largest doc_id."""
+    rows = numbered(docs, "pipeline-exact-rows", *COLUMNS)
+    return _kept(rows, exact_dedup(rows, row="rid").select("rid", "kept"), "pipeline-exact")
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of documents linked by five-word shingles and a similarity of 0.8, the row with the smallest doc_id."""
-    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    return _kept(docs, jaccard_join(docs, width=5, least=80).select("doc_id", kept.alias("kept")), "pipeline-near")
+    """Of each component of documents linked by five-word shingles and a similarity of 0.8, one row with the smallest doc_id."""
+    rows = numbered(docs, "pipeline-near-rows", *COLUMNS)
+    return _kept(rows, jaccard_join(rows, width=5, least=80, row="rid").select("rid", "kept"), "pipeline-near")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,6 +40,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, name: str, *columns: Column | str) -> DataFrame:
+    """``columns`` of each row of ``docs`` with an id of the row, ``rid``, as a written table: read again, a row has the same id in every job."""
+    return written(docs.select(F.monotonically_increasing_id().alias("rid"), *columns), name)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete written tables that nothing reads any more."""
     for df in tables:

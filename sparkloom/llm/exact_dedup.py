@@ -88,7 +88,7 @@ def _chunks(text: Column, chunk: int) -> Column:
     return F.transform(starts, lambda s: F.struct(s.alias("at"), F.substring(data, s + 1, F.lit(chunk)).alias("part")))
 
 
-def exact_dedup(docs: DataFrame, primes: tuple[int, ...] = PRIMES, chunk: int = CHUNK) -> DataFrame:
+def exact_dedup(docs: DataFrame, primes: tuple[int, ...] = PRIMES, chunk: int = CHUNK, row: str | None = None) -> DataFrame:
     """Classes of equal texts in ``docs`` (``doc_id, text``), equal meaning identical after lower-casing
     A-Z alone; the row with the largest doc_id stays.
 
@@ -102,11 +102,15 @@ def exact_dedup(docs: DataFrame, primes: tuple[int, ...] = PRIMES, chunk: int =
     that has no other (keep_id null then). Of rows with equal text and equal doc_id all are ``kept`` or
     none. An empty table gives an empty result; further columns are not read.
     Returns ``doc_id, keep_id, group_size, kept, text_sha256``.
+
+    With ``row``, the name of a column of ``docs`` that tells its rows apart in every job, that column is returned too, and of each
+    class exactly one row is ``kept``: of those with the largest doc_id, and where all are null of all, the one with the largest ``row``.
     """
     short_batches(docs.sparkSession)
     text = text_or_empty()
     digest = _digests(primes)
-    slim = written(docs.select("doc_id", digest(text.cast("binary")).alias("d")).select("doc_id", "d.*"), "exact")
+    ids = ["doc_id", row] if row else ["doc_id"]
+    slim = written(docs.select(*ids, digest(text.cast("binary")).alias("d")).select(*ids, "d.*"), "exact")
     met = written(slim.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*KEY), "exact-met")
     again = docs.select(text.alias("text")).select("text", digest(F.col("text").cast("binary")).alias("d")).select("text", "d.f1", "d.f2", "d.n_bytes")
     few = small(met, 200_000)
@@ -123,11 +127,14 @@ def exact_dedup(docs: DataFrame, primes: tuple[int, ...] = PRIMES, chunk: int =
         marked = marked.withColumn("class", F.lit(""))
     else:
         marked = marked.join(collided.withColumn("collided", F.lit(True)), KEY, "left").withColumn("class", F.coalesce(told, F.lit(""))).drop("collided")
-    classes = written(marked.groupBy(*KEY, "class").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1"), "exact-classes")
+    keep_row = [F.max(F.struct(*ids))[row].alias("keep_row")] if row else []  # a null doc_id is the least
+    classes = written(marked.groupBy(*KEY, "class").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), *keep_row).where("group_size > 1"), "exact-classes")
+    keep_id = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
+    kept = F.col("group_size").isNull() | F.col(row).eqNullSafe(F.col("keep_row")) if row else F.col("doc_id").eqNullSafe(keep_id)
     return marked.join(classes, [*KEY, "class"], "left").select(
-        "doc_id",
-        F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        *ids,
+        keep_id.alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.coalesce(F.col("doc_id").eqNullSafe(F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))), F.lit(False)).alias("kept"),
+        F.coalesce(kept, F.lit(False)).alias("kept"),
         "text_sha256",
     )

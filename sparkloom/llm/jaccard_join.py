@@ -419,7 +419,7 @@ def _likely(in_cells: DataFrame, met: DataFrame, bits: int = 24) -> DataFrame:
     return found.where(F.call_function("shiftrightunsigned", F.col("bits"), inside).bitwiseAND(F.lit(1)) == 1).select("class", "cell")
 
 
-def jaccard_join(docs: DataFrame, width: int = 3, least: int = 90, limit: int = 512, pivots: int = 24, blocks_from: int = 88, often: int = 16) -> DataFrame:
+def jaccard_join(docs: DataFrame, width: int = 3, least: int = 90, limit: int = 512, pivots: int = 24, blocks_from: int = 88, often: int = 16, row: str | None = None) -> DataFrame:
     """Components of ``docs`` (``doc_id, text``) under links between texts whose sets of ``width``-word shingles have a
     Jaccard similarity of ``least`` % or more. Exact: every link counts, and each was measured on whole sets.
 
@@ -438,9 +438,12 @@ def jaccard_join(docs: DataFrame, width: int = 3, least: int = 90, limit: int =
     a null doc_id can connect others but names no component (component_id is null if it is alone). An empty table gives
     an empty result; other columns are not read. Shingles, sets and cells are told apart by 64 bits of hash.
     Returns ``doc_id, n_shingles, component_id``.
+
+    With ``row``, the name of a long column of ``docs`` that tells its rows apart in every job, that column and ``kept`` are returned too: of each
+    component exactly one row is kept, of those with the smallest doc_id, and where all are null of all, the one with the smallest ``row``.
     """
     short_batches(docs.sparkSession)
-    base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("data"))
+    base = docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("data"))
     sets = written(base.mapInArrow(_sets(width, least), SETS), "jaccard-sets") if least >= blocks_from else _with_prefixes(base, width, least, often)
     in_cells = sets.select("class", F.explode("cells").alias("cell"))
     met = written(in_cells.groupBy("cell").agg(F.min("class").alias("region"), F.max("class").alias("last")).where("region < last").select("cell", "region"), "jaccard-cells")
@@ -457,13 +460,19 @@ def jaccard_join(docs: DataFrame, width: int = 3, least: int = 90, limit: int =
         counts = written(texts_of(regions).mapInArrow(_counts(width), "member long, n long, counts binary"), "jaccard-counts")
         regions = _pruned(regions, counts, least)
     found = components(region_links(regions, written(texts_of(regions), "jaccard-texts"), width, least, limit, pivots))
-    classes = written(sets.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("rows")), "jaccard-classes")
-    of_class = found.select(F.col("member").alias("class"), "root").join(classes.select("class", "first_id"), "class")
-    least_id = of_class.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_link = of_class.join(least_id, "root").select("class", "component_id")
-    copied = classes.where("rows > 1").join(found.select(F.col("member").alias("class")), "class", "left_anti").select("class", F.col("first_id").alias("component_id"))
+    # a null doc_id comes last
+    first = [F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "rid")).alias("first")] if row else []
+    named = ["first"] if row else []
+    classes = written(sets.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("rows"), *first), "jaccard-classes")
+    of_class = found.select(F.col("member").alias("class"), "root").join(classes.select("class", "first_id", *named), "class")
+    least_id = of_class.groupBy("root").agg(F.min("first_id").alias("component_id"), *[F.min(c).alias(c) for c in named])
+    by_link = of_class.select("class", "root").join(least_id, "root").select("class", "component_id", *named)
+    copied = classes.where("rows > 1").join(found.select(F.col("member").alias("class")), "class", "left_anti").select("class", F.col("first_id").alias("component_id"), *named)
     groups = written(by_link.unionByName(copied), "jaccard-groups")
-    slim = sets.select("doc_id", F.col("n").alias("n_shingles"), "class")
+    slim = sets.select("rid", "doc_id", F.col("n").alias("n_shingles"), "class")
     with_words = slim.where("n_shingles > 0").join(F.broadcast(groups) if small(groups, 200_000) else groups, "class", "left")
-    columns = ["doc_id", "n_shingles"]
-    return with_words.select(*columns, F.coalesce("component_id", "doc_id").alias("component_id")).unionByName(slim.where("n_shingles = 0").select(*columns, F.col("doc_id").alias("component_id")))
+    columns = [F.col("rid").alias(row), "doc_id", "n_shingles"] if row else ["doc_id", "n_shingles"]
+    kept = [F.coalesce(F.col("rid") == F.col("first.rid"), F.lit(True)).alias("kept")] if row else []
+    alone = [F.lit(True).alias("kept")] if row else []
+    of_words = with_words.select(*columns, F.coalesce("component_id", "doc_id").alias("component_id"), *kept)
+    return of_words.unionByName(slim.where("n_shingles = 0").select(*columns, F.col("doc_id").alias("component_id"), *alone))
