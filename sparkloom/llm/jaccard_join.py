@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import BASE, OTHER_BASE, Rolling, mix, word_bounds, word_symbols
-from .common import free_worker, semi, short_batches, small, text_or_empty, written
+from .common import dropped, free_worker, numbered, semi, short_batches, small, text_or_empty, written
 
 #: Ratio of the sizes at the ends of a band. Linked sets differ less in size, so each set stands in two bands at most.
 BAND = 1.2
@@ -443,7 +443,8 @@ def jaccard_join(docs: DataFrame, width: int = 3, least: int = 90, limit: int =
     component exactly one row is kept, of those with the smallest doc_id, and where all are null of all, the one with the smallest ``row``.
     """
     short_batches(docs.sparkSession)
-    base = docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("data"))
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("data")]
+    base = docs.select(F.col(row).alias("rid"), *columns) if row else numbered(docs, "jaccard-base", *columns)
     sets = written(base.mapInArrow(_sets(width, least), SETS), "jaccard-sets") if least >= blocks_from else _with_prefixes(base, width, least, often)
     in_cells = sets.select("class", F.explode("cells").alias("cell"))
     met = written(in_cells.groupBy("cell").agg(F.min("class").alias("region"), F.max("class").alias("last")).where("region < last").select("cell", "region"), "jaccard-cells")
@@ -459,7 +460,10 @@ def jaccard_join(docs: DataFrame, width: int = 3, least: int = 90, limit: int =
     if least < blocks_from:
         counts = written(texts_of(regions).mapInArrow(_counts(width), "member long, n long, counts binary"), "jaccard-counts")
         regions = _pruned(regions, counts, least)
-    found = components(region_links(regions, written(texts_of(regions), "jaccard-texts"), width, least, limit, pivots))
+    texts = written(texts_of(regions), "jaccard-texts")
+    if not row:
+        dropped(base)
+    found = components(region_links(regions, texts, width, least, limit, pivots))
     # a null doc_id comes last
     first = [F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "rid")).alias("first")] if row else []
     named = ["first"] if row else []

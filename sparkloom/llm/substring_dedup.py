@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import OTHER_BASE, Rolling, bundles, cover, runs, word_bounds, word_symbols
-from .common import dropped, semi, short_batches, small, text_or_empty, written
+from .common import dropped, numbered, semi, short_batches, small, text_or_empty, written
 
 PATHS = "rid long, doc_id long, lo int, hi int, kmer long, path long"
 
@@ -131,7 +131,7 @@ def substring_dedup(docs: DataFrame, length: int = 50, k: int = 16) -> DataFrame
     Returns ``doc_id, n_words, n_removed, kept_sha256`` (of the kept words joined by one space).
     """
     short_batches(docs.sparkSession)
-    base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("data"))
+    base = numbered(docs, "substring-base", F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("data"))
     spans = repeated_spans(base, length, k)
     of_doc = spans.groupBy("rid").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     return base.join(of_doc, "rid", "left").select("doc_id", "data", "spans").mapInArrow(_without, REMOVED)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import bundles, cover, runs
-from .common import dropped, short_batches, text_or_empty, written
+from .common import dropped, numbered, short_batches, text_or_empty, written
 from .suffixes import repeated
 
 #: Distinct bundles of one anchor that may meet in a shard; a larger group is divided first.
@@ -181,7 +181,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400, k: int = 32) -> DataFrame:
     Returns ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``.
     """
     short_batches(docs.sparkSession)
-    base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("data"))
+    base = numbered(docs, "suffix-base", F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("data"))
     spans = repeated_spans(base.select("rid", "data"), length, k)
     of_doc = spans.groupBy("rid").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     return base.join(of_doc, "rid", "left").select("doc_id", "data", "spans").mapInArrow(_without, REMOVED)
