@@ -8,7 +8,8 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .anchors import OTHER_BASE, Rolling, bundles, cover, runs, word_bounds, word_symbols
@@ -37,63 +38,125 @@ def _path_rows(length: int, k: int):
     return rows
 
 
-WINDOWS = "w1 long, w2 long, owner long, first_doc long, at int"
+READ = "w1 long, w2 long, owner long, first_doc long, at int, digest binary"
 
 
-def _window_rows(length: int):
-    """Two hashes of each window of the asked paths."""
+def _digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
+def _at_sources(length: int):
+    """What stands at source coordinates: a digest of the words of a compacted path (``total`` windows), and two hashes of each window of a branching edge."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
+            w1, w2, owner, first, at = [none], [none], [none], [none], [none]
+            digests: list[tuple[int, bytes]] = []
             for data, asked in zip(_buffers(batch.column("data")), batch.column("asked").to_pylist(), strict=True):
-                x = _symbols(data)
+                words = data.split() if any(a["total"] for a in asked) else []  # of bytes: at ASCII white space only
+                x = _symbols(data) if any(a["branching"] for a in asked) else none
                 for a in asked:
-                    part = x[a["lo"] : a["hi"] + length]
-                    at = np.arange(a["hi"] - a["lo"] + 1)
-                    out[0].append(Rolling(part).of(at, length).view(np.int64))
-                    out[1].append(Rolling(part, OTHER_BASE).of(at, length).view(np.int64))
-                    out[2].append(np.full(len(at), a["owner"], dtype=np.int64))
-                    out[3].append(np.full(len(at), a["first_doc"], dtype=np.int64))
-                    out[4].append(at.astype(np.int32))
-            cols = [np.concatenate(c) if c else np.zeros(0, dtype=np.int64) for c in out]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols[:4]] + [pa.array(cols[4].astype(np.int32))], names=["w1", "w2", "owner", "first_doc", "at"])
+                    if a["total"]:
+                        digests.append((a["owner"], _digest(words[a["lo"] : a["lo"] + a["total"] + length - 1])))
+                    if a["branching"]:
+                        part = x[a["lo"] : a["hi"] + length]
+                        n = np.arange(a["hi"] - a["lo"] + 1)
+                        w1.append(Rolling(part).of(n, length).view(np.int64))
+                        w2.append(Rolling(part, OTHER_BASE).of(n, length).view(np.int64))
+                        owner.append(np.full(len(n), a["owner"], dtype=np.int64))
+                        first.append(np.full(len(n), a["first_doc"], dtype=np.int64))
+                        at.append(n)
+            n, m = sum(map(len, at)), len(digests)
+            of_windows = [pa.array(np.concatenate(c)) for c in (w1, w2, owner, first)] + [pa.array(np.concatenate(at).astype(np.int32)), pa.nulls(n, pa.binary())]
+            of_paths = [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array([o for o, _ in digests], pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.array([d for _, d in digests], pa.binary())]
+            for cols in (of_windows, of_paths):
+                yield pa.RecordBatch.from_arrays(cols, names=["w1", "w2", "owner", "first_doc", "at", "digest"])
 
     return rows
 
 
+EDGE = ["kmer", "path"]
+
+
+def edges_of(shared: DataFrame) -> DataFrame:
+    """Distinct edges of ``shared`` (occurrences) with their source, the first and last document that has them, and the edge that follows, and comes
+    before, all of their occurrences (null where that is not one and the same)."""
+    here = W.partitionBy("rid").orderBy("lo")
+    beside = lambda f, touches: F.when(touches(f("lo").over(here), f("hi").over(here)), F.struct(f("kmer").over(here).alias("kmer"), f("path").over(here).alias("path")))
+    linked = shared.select("*", beside(F.lead, lambda lo, _: lo == F.col("hi") + 1).alias("next"), beside(F.lag, lambda _, hi: hi == F.col("lo") - 1).alias("prev"))
+    n = F.count(F.lit(1))
+
+    def only(side: str) -> list[Column]:
+        one = F.count(side) == n
+        for c in EDGE:
+            one &= F.min(f"{side}.{c}") == F.max(f"{side}.{c}")
+        return [F.when(one, F.min(f"{side}.{c}")).alias(f"{side}_{c}") for c in EDGE]
+
+    src = F.min(F.struct("doc_id", "rid", "lo", "hi")).alias("src")
+    return linked.groupBy(*EDGE).agg(src, F.max("doc_id").alias("last_doc"), F.first("branching").alias("branching"), *only("next"), *only("prev")).withColumn("owner", F.monotonically_increasing_id())
+
+
+def compacted(edges: DataFrame) -> DataFrame:
+    """Nonbranching paths of ``edges``: the first edge of each (``kmer, path``) and the ``total`` of its windows.
+
+    Two edges are joined where the one always follows the other and the other always comes before it, so that all documents that have one of them run through
+    both. Each edge then points to the one before it; in rounds of joins it takes over what that one points to, so a path of n edges takes log2(n) rounds."""
+    many = lambda df: F.broadcast(df) if small(df, 200_000) else df
+    windows = (F.col("src.hi") - F.col("src.lo") + 1).cast("long")
+    before = edges.where("next_kmer is not null").select(F.col("kmer").alias("up_kmer"), F.col("path").alias("up_path"), F.col("next_kmer").alias("kmer"), F.col("next_path").alias("path"), windows.alias("before"))
+    after = edges.where("prev_kmer is not null").select(*EDGE, F.col("prev_kmer").alias("up_kmer"), F.col("prev_path").alias("up_path"), windows.alias("windows"))
+    up = written(before.join(after, ["kmer", "path", "up_kmer", "up_path"]), "substring-up")
+    inner = up.select(*EDGE)
+    while True:
+        above = up.select(F.col("kmer").alias("up_kmer"), F.col("path").alias("up_path"), F.col("up_kmer").alias("top_kmer"), F.col("up_path").alias("top_path"), F.col("before").alias("more"))
+        top = [F.coalesce("top_kmer", "up_kmer").alias("up_kmer"), F.coalesce("top_path", "up_path").alias("up_path")]
+        step = up.join(many(above), ["up_kmer", "up_path"], "left").select(*EDGE, *top, (F.col("before") + F.coalesce("more", F.lit(0))).alias("before"), "windows", F.col("top_kmer").isNotNull().alias("moved"))
+        up = written(step, "substring-up")
+        if up.where("moved").isEmpty():
+            break
+    total = up.groupBy(F.col("up_kmer").alias("kmer"), F.col("up_path").alias("path")).agg(F.max(F.col("before") + F.col("windows")).alias("total"))
+    heads = edges.join(many(inner), EDGE, "left_anti").select(*EDGE, windows.alias("own"))
+    return written(heads.join(many(total), EDGE, "left").select(*EDGE, F.coalesce("total", "own").alias("total")), "substring-compacted")
+
+
 def repeated_spans(base: DataFrame, length: int, k: int) -> DataFrame:
-    """Spans (``rid, begin, end`` in words, overlapping) of ``base`` (``rid, doc_id, data``) covered by windows whose
-    word sequence starts in a document with a smaller doc_id, too."""
+    """Spans (``rid, begin, end, digest`` in words, overlapping) of ``base`` (``rid, doc_id, data``) covered by windows whose
+    word sequence starts in a document with a smaller doc_id, too. ``digest`` is that of the words at the source, where a whole path was copied."""
+    many = lambda df: F.broadcast(df) if small(df, 200_000) else df
     found = written(base.where("doc_id is not null").mapInArrow(_path_rows(length, k), PATHS), "substring-paths")
     met = (
         found.groupBy("kmer")
         .agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.min("path").alias("p0"), F.max("path").alias("p1"))
         .where("first_doc < last_doc")
     )
-    met = written(met.select("kmer", F.col("first_doc").alias("kmer_doc"), (F.col("p0") != F.col("p1")).alias("branching")), "substring-met")
-    shared = written(found.join(F.broadcast(met) if small(met, 200_000) else met, "kmer"), "substring-shared")
+    met = written(met.select("kmer", (F.col("p0") != F.col("p1")).alias("branching")), "substring-met")
+    shared = written(found.join(many(met), "kmer"), "substring-shared")
     dropped(found, met)
-    span = [F.col("rid"), F.col("lo").alias("begin"), (F.col("hi") + length).alias("end")]
-    # one path runs through the k-mer: the whole of it stands in the first document that has it
-    plain = shared.where("NOT branching AND doc_id > kmer_doc").select(*span)
-    branching = shared.where("branching").drop("branching", "kmer_doc")
-    distinct = branching.groupBy("kmer", "path").agg(F.min(F.struct("doc_id", "rid", "lo", "hi")).alias("src"))
-    distinct = written(distinct.withColumn("owner", F.monotonically_increasing_id()), "substring-distinct")
-    owned = written(
-        branching.join(distinct.select("kmer", "path", "owner", F.col("src.doc_id").alias("first_doc")), ["kmer", "path"]).select(*branching.columns, "owner", "first_doc"),
-        "substring-owned",
-    )
-    copies = owned.where("doc_id > first_doc").select(*span)
-    one = F.struct("owner", F.col("src.doc_id").alias("first_doc"), "src.lo", "src.hi")
-    asked = written(distinct.select(F.col("src.rid").alias("rid"), one.alias("x")).groupBy("rid").agg(F.collect_list("x").alias("asked")), "substring-asked")
+    edges = written(edges_of(shared), "substring-edges")
+    repeated = edges.where("src.doc_id < last_doc")
+    paths = compacted(repeated)
+    one = F.struct("owner", F.col("src.doc_id").alias("first_doc"), "src.lo", "src.hi", F.coalesce("total", F.lit(0)).cast("int").alias("total"), "branching")
+    asks = edges.join(many(paths), EDGE, "left").where("branching OR total is not null")
+    asked = written(asks.select(F.col("src.rid").alias("rid"), one.alias("x")).groupBy("rid").agg(F.collect_list("x").alias("asked")), "substring-asked")
     texts = semi(base.select("rid", "data"), asked.select("rid"), ["rid"]).join(asked, "rid")
-    windows = written(texts.mapInArrow(_window_rows(length), WINDOWS), "substring-windows")
+    read = written(texts.mapInArrow(_at_sources(length), READ), "substring-read")
+    named = edges.select("owner", *EDGE, F.col("src.doc_id").alias("first_doc"))
+    # paths: each later document that enters one runs through the whole of it
+    sources = read.where("digest is not null").select("owner", "digest").join(named, "owner").join(many(paths), EDGE)
+    sources = written(sources.select(*EDGE, "first_doc", "total", "digest"), "substring-sources")
+    copies = shared.join(many(sources), EDGE).where("doc_id > first_doc").select("rid", F.col("lo").alias("begin"), (F.col("lo") + F.col("total") + (length - 1)).alias("end"), "digest")
+    copies = written(copies, "substring-copies")
+    # branching edges that agree in part: single windows
+    windows = read.where("digest is null").drop("digest")
     again = windows.groupBy("w1", "w2").agg(F.min("first_doc").alias("window_doc"), F.max("first_doc").alias("last_doc")).where("window_doc < last_doc").drop("last_doc")
     later = windows.join(written(again, "substring-again"), ["w1", "w2"]).where("first_doc > window_doc").groupBy("owner").agg(F.collect_list("at").alias("ats"))
-    in_first = owned.where("doc_id = first_doc").join(later, "owner").select("rid", "lo", F.explode("ats").alias("at"))
-    rest = in_first.select("rid", (F.col("lo") + F.col("at")).alias("begin"), (F.col("lo") + F.col("at") + length).alias("end"))
-    return written(plain.union(copies).union(rest).select("rid", F.col("begin").cast("int"), F.col("end").cast("int")), "substring-spans")
+    later = written(later.join(named, "owner").select(*EDGE, "first_doc", "ats"), "substring-later")
+    in_first = shared.join(many(later), EDGE).where("doc_id = first_doc").select("rid", "lo", F.explode("ats").alias("at"))
+    rest = in_first.select("rid", (F.col("lo") + F.col("at")).alias("begin"), (F.col("lo") + F.col("at") + length).alias("end"), F.lit(None).cast("binary").alias("digest"))
+    spans = written(copies.union(rest).select("rid", F.col("begin").cast("int"), F.col("end").cast("int"), "digest"), "substring-spans")
+    dropped(shared, edges, read, copies)
+    return spans
 
 
 REMOVED = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -105,6 +168,7 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, data, spans in zip(batch.column("doc_id").to_pylist(), _buffers(batch.column("data")), batch.column("spans").to_pylist(), strict=True):
             words = data.split()  # of bytes: at ASCII white space only
             n = len(words)
+            spans = [s for s in spans or () if s["digest"] is None or _digest(words[s["begin"] : s["end"]]) == s["digest"]]
             if spans:
                 at = cover(n, np.array([s["begin"] for s in spans]), np.array([s["end"] for s in spans]))
                 words = list(compress(words, ~at))
@@ -118,12 +182,14 @@ def substring_dedup(docs: DataFrame, length: int = 50, k: int = 16) -> DataFrame
     """Remove each word of ``docs`` (``doc_id, text``) covered by a window of ``length`` consecutive words whose
     word sequence also starts in a document with a smaller doc_id; windows are judged on the input.
 
-    Nodes of the graph are token k-mers, thinned to the one that each window chooses by hash (see
-    ``anchors``). The windows that share a k-mer occurrence form a path through it. A k-mer with one path is
-    nonbranching and its windows are decided together: the path of the first document removes it in all
-    later ones. Where paths branch, equal paths are decided together too, and the first of each is read
-    again at its source coordinates, window by window, under two hashes; windows meet by a shuffle. So a common
-    k-mer never gathers its documents in one task. Sequences are compared by 128 bits of hash.
+    1. Of the graph's token k-mers, those stay that a window of ``length`` words chooses by hash (see ``anchors``), about one for each 17 words. An edge
+       is a k-mer with the words of the windows that chose it; the edges of a document follow each other without gaps. Edges whose
+       k-mer is in one document only go. 2. Where one edge always follows another and that one always comes before it,
+       the two are compacted; a nonbranching path of any length becomes one row, by rounds of joins (``compacted``). 3. The
+       first document that has a path is its source. It is read again at its coordinates, and each later span is removed only if its words
+       have the digest of those at the source. 4. Edges that share a k-mer and differ agree in part: their sources are
+       read window by window, under two hashes, and windows meet by a shuffle, so a common k-mer never
+       gathers its documents in one task.
 
     Words are runs of bytes without ASCII white space, unchanged. Null text has none. Rows with equal doc_id
     do not remove anything in each other; a null doc_id removes nothing and loses nothing. An empty
@@ -133,5 +199,5 @@ def substring_dedup(docs: DataFrame, length: int = 50, k: int = 16) -> DataFrame
     short_batches(docs.sparkSession)
     base = numbered(docs, "substring-base", F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("data"))
     spans = repeated_spans(base, length, k)
-    of_doc = spans.groupBy("rid").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    of_doc = spans.groupBy("rid").agg(F.collect_list(F.struct("begin", "end", "digest")).alias("spans"))
     return base.join(of_doc, "rid", "left").select("doc_id", "data", "spans").mapInArrow(_without, REMOVED)
