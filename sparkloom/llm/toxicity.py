@@ -17,9 +17,12 @@ WINDOW, STRIDE = 64, 48
 GRAM = 5
 #: Pairs of a document and a form whose n-grams are counted at once.
 PAIRS = 100_000
-#: Inputs of a word: the evidence of its form and how well that is known; as far as it is not, the evidence of its
-#: strongest and its first character n-gram and the mean of all.
-INPUTS = 5
+#: Rows of the tables of trained vectors, one for hashed words and one for hashed character n-grams, and the width of both.
+WORD_ROWS, GRAM_ROWS, WIDTH = 1 << 14, 1 << 15, 8
+#: Inputs of a word: its vector, the mean of its n-grams' vectors, and one number of counted evidence.
+INPUTS = 2 * WIDTH + 1
+#: Documents are trained on with evidence that was counted in other parts of the sample.
+FOLDS = 5
 
 
 def _lower(data: np.ndarray) -> np.ndarray:
@@ -79,18 +82,13 @@ class Odds:
     known: np.ndarray
 
     @classmethod
-    def of(cls, keys: np.ndarray, parts: Iterator[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, total: list[int]) -> Odds:
-        """``keys`` are sorted; ``parts`` yields (text, index of key) of some whole texts at a time."""
-        hit = np.zeros((2, len(keys)), dtype=np.int64)
-        for text, row in parts:
-            once = np.unique(text * np.int64(len(keys) + 1) + row)
-            label = labels[once // (len(keys) + 1)]
-            for v in (0, 1):
-                hit[v] += np.bincount(once[label == v] % (len(keys) + 1), minlength=len(keys))
+    def of(cls, keys: np.ndarray, hit: np.ndarray, total: np.ndarray) -> Odds:
+        """From the numbers of clean and toxic documents that have each of ``keys``, and of all."""
         n = hit[0] + hit[1]
-        raw = np.log((hit[1] + 0.5) / (total[1] + 1)) - np.log((hit[0] + 0.5) / (total[0] + 1))
         keep = n > 1
-        return cls(keys[keep], (raw * n / (n + 20.0))[keep].astype(np.float32), (n / (n + 3.0))[keep].astype(np.float32))
+        n, hit = n[keep], hit[:, keep]
+        raw = np.log((hit[1] + 0.5) / (total[1] + 1)) - np.log((hit[0] + 0.5) / (total[0] + 1))
+        return cls(keys[keep], (raw * n / (n + 6.0)).astype(np.float32), (n / (n + 3.0)).astype(np.float32))
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log odds of each hash and how well it is known; 0 for others."""
@@ -109,35 +107,43 @@ class Evidence:
     grams: Odds
 
     @classmethod
-    def of(cls, t: Tokens, labels: np.ndarray, chosen: np.ndarray) -> Evidence:
-        """Counted by document, over the chosen ones; n-grams for a few documents at a time."""
+    def of(cls, t: Tokens, labels: np.ndarray, fold: np.ndarray) -> tuple[Evidence, list[Evidence]]:
+        """Counted by document, n-grams for a few documents at a time: of all documents, and of all but each of FOLDS parts."""
         n_forms = max(1, len(t.words))
         seen = np.unique(t.of_text * np.int64(n_forms) + t.form)
         text, form = seen // n_forms, seen % n_forms
-        text, form = text[chosen[text]], form[chosen[text]]
-        total = [max(1, int((chosen & (labels == v)).sum())) for v in (0, 1)]
+        kind = labels * FOLDS + fold
+        total = np.bincount(kind, minlength=2 * FOLDS).reshape(2, FOLDS)
         many = np.diff(np.append(t.first_gram, len(t.grams)))
         keys, gram = np.unique(t.grams, return_inverse=True)
-        cuts = np.unique(np.searchsorted(text, text[::PAIRS]))  # where texts begin
-        cuts = np.append(cuts, len(text))
-
-        def grams() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                n = many[form[a:b]]
-                at = np.repeat(t.first_gram[form[a:b]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                yield np.repeat(text[a:b], n), gram[at]
-
-        return cls(Odds.of(t.words, iter([(text, form)]), labels, total), Odds.of(keys, grams(), labels, total))
+        of_words, of_grams = np.zeros(2 * FOLDS * n_forms, dtype=np.int64), np.zeros(2 * FOLDS * max(1, len(keys)), dtype=np.int64)
+        of_words += np.bincount(kind[text] * n_forms + form, minlength=len(of_words))
+        cuts = np.append(np.unique(np.searchsorted(text, text[::PAIRS])), len(text))  # where texts begin
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            n = many[form[a:b]]
+            at = np.repeat(t.first_gram[form[a:b]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            once = np.unique(np.repeat(text[a:b], n) * np.int64(len(keys)) + gram[at])
+            of_grams += np.bincount(kind[once // len(keys)] * len(keys) + once % len(keys), minlength=len(of_grams))
+        words, grams = of_words.reshape(2, FOLDS, -1), of_grams.reshape(2, FOLDS, -1)
+
+        def without(f: int | None) -> Evidence:
+            less = lambda x: x.sum(axis=1) - (0 if f is None else x[:, f])
+            return cls(Odds.of(t.words, less(words)[:, : len(t.words)], less(total)), Odds.of(keys, less(grams)[:, : len(keys)], less(total)))
+
+        return without(None), [without(f) for f in range(FOLDS)]
 
     def inputs(self, t: Tokens) -> np.ndarray:
-        """Inputs of each form."""
+        """Of each form: its own evidence as far as it is known, and for the rest that of its strongest n-gram."""
         if not len(t.words):
-            return np.zeros((0, INPUTS), dtype=np.float32)
-        g = self.grams.find(t.grams)[0]
-        n = np.diff(np.append(t.first_gram, len(t.grams)))
+            return np.zeros(0, dtype=np.float32)
         word, known = self.words.find(t.words)
-        of_grams = [np.maximum.reduceat(g, t.first_gram), g[t.first_gram], np.add.reduceat(g, t.first_gram) / n]
-        return np.stack([word, known, *((1 - known) * x for x in of_grams)], axis=1).astype(np.float32)
+        strongest = np.maximum.reduceat(self.grams.find(t.grams)[0], t.first_gram)
+        return (np.where(known > 0, word, 0) + (1 - known) * strongest).astype(np.float32) / 4
+
+
+def _sums(row: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
+    """Sums of ``values`` that go to the same row."""
+    return np.stack([np.bincount(row, weights=v, minlength=rows) for v in values.T], axis=1).astype(values.dtype)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -146,7 +152,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Network:
-    """Gated recurrent units in both directions, attention over their states, one logistic output."""
+    """Vectors of hashed words and character n-grams, gated recurrent units in both directions, attention over their states, one logistic output."""
 
     hidden: int = 8
     seed: int = 5
@@ -158,9 +164,25 @@ class Network:
             self.p["W" + way] = rng.normal(0, 0.3, (INPUTS, 3 * h))
             self.p["U" + way] = rng.normal(0, 0.3, (h, 3 * h))
             self.p["b" + way] = np.zeros(3 * h)
+        self.p |= {"words": rng.normal(0, 0.1, (WORD_ROWS, WIDTH)), "grams": rng.normal(0, 0.1, (GRAM_ROWS, WIDTH))}
         self.p |= {"A": rng.normal(0, 0.3, (2 * h, h)), "a": np.zeros(h), "v": rng.normal(0, 0.3, h), "w": rng.normal(0, 0.3, 2 * h), "c": np.zeros(1)}
         self.p = {k: x.astype(np.float32) for k, x in self.p.items()}
 
+    def inputs(self, t: Tokens, evidence: np.ndarray) -> np.ndarray:
+        """Of each form."""
+        if not len(t.words):
+            return np.zeros((0, INPUTS), dtype=np.float32)
+        n = np.diff(np.append(t.first_gram, len(t.grams)))[:, None]
+        of_grams = np.add.reduceat(self.p["grams"][(t.grams % np.uint64(GRAM_ROWS)).astype(np.int64)], t.first_gram, axis=0) / n
+        return np.concatenate((self.p["words"][(t.words % np.uint64(WORD_ROWS)).astype(np.int64)], of_grams, evidence[:, None]), axis=1).astype(np.float32)
+
+    def vector_gradients(self, t: Tokens, g: np.ndarray) -> dict[str, np.ndarray]:
+        """Of both tables, from those of the inputs of forms."""
+        n = np.diff(np.append(t.first_gram, len(t.grams)))
+        words = _sums((t.words % np.uint64(WORD_ROWS)).astype(np.int64), g[:, :WIDTH], WORD_ROWS)
+        grams = _sums((t.grams % np.uint64(GRAM_ROWS)).astype(np.int64), np.repeat(g[:, WIDTH : 2 * WIDTH] / n[:, None], n, axis=0), GRAM_ROWS)
+        return {"words": words, "grams": grams}
+
     def _run(self, gates: np.ndarray, index: np.ndarray, mask: np.ndarray, way: str, tape: list | None) -> np.ndarray:
         """States (time, window, hidden) in one direction; ``gates`` has the input's part for each form."""
         h, U = self.hidden, self.p["U" + way]
@@ -206,9 +228,10 @@ class Network:
         g["A"] = np.tensordot(states, d_key, ((0, 1), (0, 1)))
         g["a"] = d_key.sum(axis=(0, 1))
         d_states = weight[:, :, None] * d_pool + d_key @ p["A"].T
+        g["inputs"] = np.zeros_like(inputs)
         for side, way in enumerate("fb"):
             U = p["U" + way]
-            gW, gU, gb = np.zeros_like(p["W" + way]), np.zeros_like(U), np.zeros_like(p["b" + way])
+            gU, by_step = np.zeros_like(U), np.zeros((*index.shape, 3 * h), dtype=inputs.dtype)
             carry = np.zeros((index.shape[1], h), dtype=np.float32)
             for t, before, z, r, new, q in reversed(tape["tapes"][side]):
                 m = mask[t][:, None]
@@ -220,10 +243,11 @@ class Network:
                 d_gate = np.concatenate([d_z, d_r, d_new], axis=1)
                 d_q = np.concatenate([d_z, d_r, d_new * r], axis=1)
                 gU += before.T @ d_q
-                gW += inputs[index[t]].T @ d_gate
-                gb += d_gate.sum(axis=0)
+                by_step[t] = d_gate
                 carry = d_after * ~m + live * z + d_q @ U.T
-            g |= {"W" + way: gW, "U" + way: gU, "b" + way: gb}
+            of_gates = _sums(index.ravel(), by_step.reshape(-1, 3 * h), len(inputs))
+            g |= {"W" + way: inputs.T @ of_gates, "U" + way: gU, "b" + way: of_gates.sum(axis=0)}
+            g["inputs"] += of_gates @ p["W" + way].T
         return g
 
 
@@ -242,7 +266,7 @@ class Model:
         """The highest score of any window of each text; 0 for a text without words."""
         out = np.zeros(len(texts))
         t = tokens(texts)
-        inputs = self.evidence.inputs(t)
+        inputs = self.network.inputs(t, self.evidence.inputs(t))
         text, start, size = window_starts(t.of_text, len(texts))
         order = np.argsort(size, kind="stable")
         for at in range(0, len(order), at_once):
@@ -269,48 +293,75 @@ def without_near_copies(texts: list[bytes]) -> np.ndarray:
     return np.array(kept, dtype=np.int64)
 
 
-def train(texts: list[bytes], labels: np.ndarray, epochs: int = 6, batch: int = 256, windows: int = 5000, least_steps: int = 120, rate: float = 0.03, seed: int = 5) -> Model:
-    """Fit on whole labelled documents, one of each group of near copies. Evidence comes from both halves of them; for training, each half sees
-    that of the other, as new documents will. A document is represented by the window with most
-    evidence, clean ones also by those with most evidence of all and by random windows; there are ``windows`` of them at most. Few
-    windows are gone through more often, until ``least_steps`` steps were made."""
+def _part_of(t: Tokens, forms: np.ndarray) -> Tokens:
+    """Some forms of ``t``, without their texts."""
+    n = np.diff(np.append(t.first_gram, len(t.grams)))[forms]
+    at = np.repeat(t.first_gram[forms] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    return Tokens(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), t.words[forms], t.grams[at], np.cumsum(n) - n)
+
+
+def train(texts: list[bytes], labels: np.ndarray, rounds: int = 3, epochs: int = 3, batch: int = 128, windows: int = 4000, least_steps: int = 60, rate: float = 0.01, decay: float = 1e-3, blind: float = 0.3, seed: int = 5) -> Model:
+    """Fit on whole labelled documents, one of each group of near copies. The evidence that goes with a document is counted
+    without its fold. A document is represented by one window: first the one with most evidence, in later rounds the one that the network so far finds most toxic. Clean documents
+    are represented by the hardest windows of all and by random ones, too; there are ``windows`` of them at most. In a share ``blind`` of the windows the
+    evidence is hidden, so that vectors learn to tell. Few windows are gone through more often, until ``least_steps`` steps a round were made."""
     rng = np.random.default_rng(seed)
     kept = without_near_copies(texts)
-    texts, labels = [texts[i] for i in kept], labels[kept]
+    texts, labels = [texts[i] for i in kept], labels[kept].astype(np.int64)
     t = tokens(texts)
-    half = rng.random(len(texts)) < 0.5
-    everything = Evidence.of(t, labels, np.ones(len(texts), dtype=bool))
+    fold = np.empty(len(texts), dtype=np.int64)
+    for v in (0, 1):
+        of_label = rng.permutation(np.flatnonzero(labels == v))
+        fold[of_label] = np.arange(len(of_label)) % FOLDS
+    everything, others = Evidence.of(t, labels, fold)
     model = Model(everything, Network(seed=seed))
+    net = model.network
     text, start, size = window_starts(t.of_text, len(texts))
     if len(set(labels.tolist())) < 2 or not len(text):
-        model.network.p = {k: x * 0 for k, x in model.network.p.items()}
-        model.network.p["c"] = np.full(1, -5.0 if not labels.any() else 5.0, dtype=np.float32)
+        net.p = {k: x * 0 for k, x in net.p.items()}
+        net.p["c"] = np.full(1, -5.0 if not labels.any() else 5.0, dtype=np.float32)
         return model
-    inputs = np.concatenate([Evidence.of(t, labels, half == side).inputs(t) for side in (False, True)])
+    evidence = np.stack([x.inputs(t) for x in others])
     n_forms = len(t.words)
-    worth = np.where(half[t.of_text], inputs[t.form][:, [0, 2]].sum(axis=1), inputs[n_forms + t.form][:, [0, 2]].sum(axis=1))
-    total = np.concatenate(([0.0], np.cumsum(np.maximum(worth, 0))))
-    mass = total[start + size] - total[start]
-    best = np.lexsort((-mass, text))
-    best = best[np.concatenate(([True], np.diff(text[best]) > 0))]
+    total = np.concatenate(([0.0], np.cumsum(np.maximum(evidence[fold[t.of_text], t.form] - 0.25, 0))))
+    worth = total[start + size] - total[start]
     clean = np.flatnonzero(labels[text] == 0)
-    some = rng.permutation(clean)[: len(best) // 2]
-    hard = clean[np.argsort(-mass[clean], kind="stable")][: len(best)]
-    chosen = rng.permutation(np.unique(np.concatenate([best, some, hard])))[:windows]
-    y = labels[text[chosen]].astype(np.float32)
-    index, mask = _window_index(t, start[chosen], size[chosen])
-    index = index + np.where(half[text[chosen]], 0, n_forms)  # a row of the other half's evidence
-    moment = {k: (np.zeros_like(x), np.zeros_like(x)) for k, x in model.network.p.items()}
+    moment = {k: (np.zeros_like(x), np.zeros_like(x)) for k, x in net.p.items()}
     step = 0
-    parts = max(1, len(chosen) // min(batch, max(32, len(chosen) // 20)))
-    for _ in range(max(epochs, -(-least_steps // parts))):
-        for part in np.array_split(rng.permutation(len(chosen)), parts):
-            step += 1
-            for k, g in model.network.gradients(inputs, index[:, part], mask[:, part], y[part]).items():
-                m, v = moment[k]
-                m += 0.1 * (g - m)
-                v += 0.01 * (g**2 - v)
-                model.network.p[k] = (model.network.p[k] - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+    for turn in range(rounds):
+        best = np.lexsort((-worth, text))
+        best = best[np.concatenate(([True], np.diff(text[best]) > 0))]
+        some = rng.permutation(clean)[: len(best) // 2]
+        hard = clean[np.argsort(-worth[clean], kind="stable")][: len(best) // 2]
+        chosen = rng.permutation(np.unique(np.concatenate([best, some, hard])))[:windows]
+        index, mask = _window_index(t, start[chosen], size[chosen])
+        y = labels[text[chosen]].astype(np.float32)
+        parts = max(1, len(chosen) // batch)
+        for _ in range(max(epochs, -(-least_steps // parts))):
+            for part in np.array_split(rng.permutation(len(chosen)), parts):
+                step += 1
+                # a row for each form and fold, and one without evidence
+                row = np.where(rng.random(len(part)) < blind, FOLDS, fold[text[chosen[part]]])
+                both, at = np.unique(index[:, part] + row * n_forms, return_inverse=True)
+                few = _part_of(t, both % n_forms)
+                seen = np.where(both < FOLDS * n_forms, evidence[np.minimum(both // n_forms, FOLDS - 1), both % n_forms], 0)
+                grads = net.gradients(net.inputs(few, seen), at.reshape(index[:, part].shape), mask[:, part], y[part])
+                grads |= net.vector_gradients(few, grads.pop("inputs"))
+                for k, g in grads.items():
+                    m, v = moment[k]
+                    m += 0.1 * (g - m)
+                    v += 0.01 * (g**2 - v)
+                    change = (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+                    net.p[k] = (net.p[k] - rate * change - (rate * decay) * net.p[k]).astype(np.float32)
+        if turn + 1 < rounds:
+            worth = np.zeros(len(text))
+            for f in range(FOLDS):
+                inputs = net.inputs(t, evidence[f])
+                of_fold = np.flatnonzero(fold[text] == f)
+                for at in range(0, len(of_fold), 2048):
+                    part = of_fold[at : at + 2048]
+                    index, mask = _window_index(t, start[part], size[part])
+                    worth[part] = net.logits(inputs, index, mask)
     return model
 
 
@@ -323,7 +374,8 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int = 2, toxic_rows: int =
     few = [each.where(F.col("toxic") == v).orderBy(*order).limit(2 * n) for v, n in ((1, toxic_rows), (0, clean_rows))]
     wanted = few[0].unionByName(few[1])  # of bounded size
     text = docs.where(F.octet_length(text_or_empty()) <= longest).select("doc_id", text_or_empty().alias("text")).join(F.broadcast(wanted), "doc_id")
-    rows = text.toPandas().sort_values(["doc_id", "text"], kind="stable").drop_duplicates("doc_id")
+    # one text of each doc_id, however often it repeats
+    rows = text.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toPandas().sort_values("doc_id", kind="stable")
     rows = rows.sample(frac=1.0, random_state=7)
     rows = rows[rows.groupby("toxic").cumcount() < np.where(rows["toxic"] == 1, toxic_rows, clean_rows)]
     return train([x.encode() for x in rows["text"]], rows["toxic"].to_numpy())
@@ -337,8 +389,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, held_ou
     """Score every whole text of ``docs`` (``doc_id, text``; its other columns are kept).
 
     A text is cut in windows of 64 words, each 48 after the last, all of which are scored; the highest
-    counts. Words enter by the evidence of their form and of their character n-grams (so unseen forms of a
-    known stem count), a network of gated recurrent units reads each window in both directions, and
+    counts. A word enters by a vector of its hash, the mean of the vectors of its hashed character n-grams (so unseen forms of a
+    known stem count), both trained with the network, and one number of counted evidence. A network of gated recurrent units reads each window in both directions, and
     attention pools its states. The model is trained here, on labels outside the held-out quarter
     (``fit``), unless one is given.
 

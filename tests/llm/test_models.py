@@ -7,7 +7,7 @@ import pytest
 
 from sparkloom.llm.html_text import Field, blocks, extract, labelled_pages, trained_field
 from sparkloom.llm.neighbours import neighbours
-from sparkloom.llm.toxicity import Network, toxicity
+from sparkloom.llm.toxicity import INPUTS, WIDTH, Network, tokens, toxicity
 
 
 def brute(rows, queries, k):
@@ -54,7 +54,7 @@ def test_network_gradients():
     rng = np.random.default_rng(2)
     net = Network(hidden=3)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
-    inputs, index = rng.standard_normal((9, 5)), rng.integers(0, 9, (6, 4))
+    inputs, index = rng.standard_normal((9, INPUTS)), rng.integers(0, 9, (6, 4))
     mask = np.arange(6)[:, None] < np.array([6, 3, 1, 5])
     y = np.array([1.0, 0.0, 1.0, 0.0])
 
@@ -63,6 +63,15 @@ def test_network_gradients():
         return float(np.mean(np.logaddexp(0, z) - y * z))
 
     grads = net.gradients(inputs, index, mask, y)
+    of_inputs = grads.pop("inputs")
+    for i, j in ((0, 0), (4, WIDTH), (8, INPUTS - 1)):
+        keep = inputs[i, j]
+        inputs[i, j] = keep + 1e-3
+        up = loss()
+        inputs[i, j] = keep - 1e-3
+        down = loss()
+        inputs[i, j] = keep
+        assert abs((up - down) / 2e-3 - of_inputs[i, j]) < 1e-3
     for name, g in grads.items():
         at = tuple(rng.integers(0, n) for n in net.p[name].shape)
         keep = net.p[name][at]
@@ -74,6 +83,45 @@ def test_network_gradients():
         assert abs((up - down) / 2e-3 - g[at]) < 1e-3, name
 
 
+def test_vectors_of_forms_and_their_gradients():
+    rng = np.random.default_rng(3)
+    net = Network(hidden=3)
+    t = tokens([b"some words, and some longer ones", b"x"])
+    evidence, way = rng.standard_normal(len(t.words)), rng.standard_normal((len(t.words), INPUTS)).astype(np.float32)
+    grads = net.vector_gradients(t, way)
+    before = float((net.inputs(t, evidence) * way).sum())
+    for name in ("words", "grams"):
+        row = int(np.flatnonzero(np.abs(grads[name]).sum(axis=1))[1])
+        net.p[name][row, 2] += 1.0
+        assert abs(float((net.inputs(t, evidence) * way).sum()) - before - grads[name][row, 2]) < 1e-4
+        net.p[name][row, 2] -= 1.0
+    assert np.allclose(net.inputs(t, evidence)[:, -1], evidence)
+
+
+def area(scores, labels):
+    ranked = sorted(range(len(scores)), key=lambda i: scores[i])
+    below = won = 0
+    for i in ranked:
+        won, below = (won + below, below) if labels[i] else (won, below + 1)
+    return won / (below * (len(labels) - below))
+
+
+def test_toxicity_from_few_labels(spark):
+    folder = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    rows = toxicity(spark.read.parquet(f"{folder}/documents.parquet"), labels).join(labels, "doc_id").select("held_out", "score", "toxic").collect()
+    for held_out, least in ((False, 0.9), (True, 0.8)):
+        part = [(r.score, r.toxic) for r in rows if r.held_out == held_out]
+        assert area(*zip(*part, strict=True)) > least
+
+
+def test_repeated_ids_are_learned_from_once(spark):
+    rows = [(i, ("vile awful " if i % 2 else "calm day ") * 9) for i in range(40)] + [(1, "vile awful " * 9)] * 300 + [(None, "vile")] * 3
+    labels = spark.createDataFrame([(i, 50, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert toxicity(docs, labels).count() == 343
+
+
 def test_toxicity_on_held_out_labels(spark):
     folder = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")

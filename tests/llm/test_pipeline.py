@@ -1,5 +1,7 @@
 """Each stage of the pipeline on its own input."""
 
+import zlib
+
 import corpus_pipeline as cp
 from tests.llm.test_jaccard_join import brute
 from tests.llm.test_placing import check_packed
@@ -19,9 +21,11 @@ def test_stages(spark):
         docs = spark.createDataFrame(out[name][1], result.schema)
     before, after = out["toxicity"]
     toxic = {r.doc_id for r in spark.read.parquet(f"{FOLDER}/labels.parquet").where("toxic = 1").collect()}
+    learned = {d for d in toxic if zlib.crc32(str(d).encode()) % 4 != 2}
     kept = {r.doc_id for r in after}
     gone = {r.doc_id for r in before} - kept
-    assert kept <= {r.doc_id for r in before} and len(gone - toxic) <= 0.05 * len(before)  # 11 toxic labels are too few to learn from
+    assert kept <= {r.doc_id for r in before} and len(gone - toxic) <= 0.05 * len(before)
+    assert len(gone & learned) >= 0.8 * len(learned) > 0  # 9 toxic labels are too few to ask for more
     before, after = out["exact dedup"]
     last = {}
     for r in before:
