@@ -99,7 +99,32 @@ def distinct_vectors(rows: DataFrame, keep: int, n: int) -> DataFrame:
     return kept.groupBy("vector").agg(ids.alias("ids")).select(F.element_at("ids", 1).alias("uid"), "ids", "vector")
 
 
-def _place(forest, level: int, slices: int):
+def visits_for(forest: Forest, sample: np.ndarray, k: int, recall: float, queries: int = 64) -> tuple[int, float]:
+    """How many leaves a query has to visit so that ``recall`` of the ``k`` nearest are in them, measured on some vectors of the sample against all of
+    it; and which share of the sample a query looks at then."""
+    some = np.linspace(0, len(sample) - 1, min(queries, len(sample))).astype(np.int64)
+    scores = sample[some] @ sample.T
+    scores[np.arange(len(some)), some] = -np.inf
+    k = min(k, len(sample) - 1)
+    if k < 1:
+        return 1, 1.0
+    nearest = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    leaves = forest.leaves(sample)
+    n_leaves = forest.nodes + 1
+    met, opened = [], []
+    for q, near in zip(some, nearest, strict=True):
+        order = np.full((forest.trees, n_leaves), forest.trees * n_leaves, dtype=np.int64)
+        for at, (t, leaf) in enumerate(forest.search(sample[q], 2 * n_leaves)):
+            order[t, leaf] = at
+        first = order[np.arange(forest.trees), leaves].min(axis=1)  # when each vector is met
+        met.append(first[near])
+        opened.append(first)
+    visits = int(np.sort(np.concatenate(met))[min(len(some) * k - 1, int(np.ceil(recall * len(some) * k)) - 1)]) + 1
+    visits = min(visits, 2 * n_leaves)
+    return visits, float(np.mean([np.mean(x < visits) for x in opened]))
+
+
+def _place(forest, level: int, slices: int, q_slices: int):
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trees: Forest = forest.value
         for pdf in batches:
@@ -108,12 +133,13 @@ def _place(forest, level: int, slices: int):
             leaves = trees.leaves(np.stack(pdf["vector"].to_numpy()).astype(np.float64))
             for t in range(trees.trees):
                 region = leaves[:, t] >> (trees.depth - level)
-                yield pdf.assign(tree=t, leaf=leaves[:, t], region=(t << level) | region, slice=pdf["uid"] % slices)
+                for q in range(q_slices):
+                    yield pdf.assign(leaf=leaves[:, t], region=(t << level) | region, slice=(pdf["uid"] % slices) * q_slices + q)
 
     return place
 
 
-def _visit(forest, level: int, slices: int, visits: int):
+def _visit(forest, level: int, slices: int, q_slices: int, visits: int):
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trees: Forest = forest.value
         for pdf in batches:
@@ -122,7 +148,7 @@ def _visit(forest, level: int, slices: int, visits: int):
                 by_region: dict[int, list[int]] = {}
                 for t, leaf in trees.search(np.asarray(vector, dtype=np.float64), visits):
                     by_region.setdefault((t << level) | (leaf >> (trees.depth - level)), []).append(leaf)
-                rows += [(uid, vector, leaves, region, s) for region, leaves in by_region.items() for s in range(slices)]
+                rows += [(uid, vector, leaves, region, s * q_slices + uid % q_slices) for region, leaves in by_region.items() for s in range(slices)]
             yield pd.DataFrame(rows, columns=["q_uid", "q_vector", "leaves", "region", "slice"])
 
     return visit
@@ -131,27 +157,48 @@ def _visit(forest, level: int, slices: int, visits: int):
 FOUND = "q_uid long, uids array<long>, scores array<double>"
 
 
-def _rank(keep: int, n_leaves: int, block: int = 64):
+def best_of_leaves(V: np.ndarray, leaf: np.ndarray, Q: np.ndarray, opened: list[np.ndarray], some: int) -> np.ndarray:
+    """For each query, places (-1: none) in ``V`` (sorted by ``leaf``) of ``some`` vectors with the largest products, of those in its ``opened`` leaves
+    and of no others. A leaf's vectors are multiplied at once with the queries that open it, in single precision."""
+    of = np.repeat(np.arange(len(Q)), [len(x) for x in opened])
+    at = np.concatenate(opened) if len(opened) else np.zeros(0, dtype=np.int64)
+    order = np.argsort(at, kind="stable")
+    of, at = of[order], at[order]
+    best = np.full((len(Q), some), -np.inf, dtype=np.float32)
+    place = np.full((len(Q), some), -1, dtype=np.int64)
+    floor = np.full(len(Q), -np.inf, dtype=np.float32)
+    v32, q32 = V.astype(np.float32), Q.astype(np.float32)
+    for x in np.unique(at):
+        lo, hi = np.searchsorted(leaf, [x, x + 1])
+        if lo == hi:
+            continue
+        rows = of[np.searchsorted(at, x) : np.searchsorted(at, x + 1)]
+        S = q32[rows] @ v32[lo:hi].T
+        up = S.max(axis=1) > floor[rows]
+        rows, S = rows[up], np.concatenate((best[rows[up]], S[up]), axis=1)
+        places = np.concatenate((place[rows], np.broadcast_to(np.arange(lo, hi), (len(rows), hi - lo))), axis=1)
+        top = np.argpartition(S, S.shape[1] - some, axis=1)[:, S.shape[1] - some :]
+        best[rows], place[rows] = np.take_along_axis(S, top, axis=1), np.take_along_axis(places, top, axis=1)
+        floor[rows] = best[rows].min(axis=1)
+    return place
+
+
+def _rank(keep: int):
+    """Exact products, in double precision, of the candidates of each query in a region; the ``keep`` largest."""
+
     def rank(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(vectors) and len(queries):
-            vectors = vectors.sort_values("uid", kind="stable")
+            vectors = vectors.sort_values(["leaf", "uid"], kind="stable")
             V = np.stack(vectors["vector"].to_numpy()).astype(np.float64)
-            uid, leaf = vectors["uid"].to_numpy(), vectors["leaf"].to_numpy()
-            for at in range(0, len(queries), block):
-                part = queries.iloc[at : at + block]
-                Q = np.stack(part["q_vector"].to_numpy()).astype(np.float64)
-                open_leaf = np.zeros((len(part), n_leaves), dtype=bool)
-                for i, leaves in enumerate(part["leaves"]):
-                    open_leaf[i, np.asarray(leaves, dtype=np.int64)] = True
-                S = np.where(open_leaf[:, leaf], Q @ V.T, -np.inf)
-                some = min(keep + 8, len(V))
-                least = np.partition(S, len(V) - some, axis=1)[:, len(V) - some]
-                for i, q in enumerate(part["q_uid"]):
-                    c = np.flatnonzero((S[i] >= least[i]) & (S[i] > -np.inf))
-                    exact = (V[c] * Q[i]).sum(axis=1)
-                    best = np.lexsort((uid[c], -exact))[:keep]
-                    out.append((q, uid[c][best], exact[best]))
+            Q = np.stack(queries["q_vector"].to_numpy()).astype(np.float64)
+            uid = vectors["uid"].to_numpy()
+            found = best_of_leaves(V, vectors["leaf"].to_numpy(), Q, [np.asarray(x, dtype=np.int64) for x in queries["leaves"]], keep + 8)
+            for q, vector, c in zip(queries["q_uid"], Q, found, strict=True):
+                c = c[c >= 0]
+                exact = (V[c] * vector).sum(axis=1)
+                best = np.lexsort((uid[c], -exact))[:keep]
+                out.append((q, uid[c][best], exact[best]))
         return pd.DataFrame(out, columns=["q_uid", "uids", "scores"])
 
     return rank
@@ -163,11 +210,12 @@ def neighbours(
     k: int = 20,
     trees: int = 8,
     leaf: int = 64,
-    share: float = 1.0,
+    recall: float = 0.95,
     least_visits: int = 64,
     sample: int = 32_768,
     most_depth: int = 12,
     region: int = 65_536,
+    query_block: int = 16_384,
     seed: int = 11,
 ) -> DataFrame:
     """The ``k`` nearest rows found for each query row of ``rows`` (``vec_id, embedding``), by largest inner
@@ -175,10 +223,10 @@ def neighbours(
 
     Equal vectors are taken together (only their ``k + 1`` smallest ids can ever be returned). A forest is
     fitted to at most ``sample`` vectors, chosen by hash; every vector is put in a leaf of each tree. A query
-    visits the leaves that come first in the queue its trees share: ``share`` times as many as one tree
-    has, of all trees together, and ``least_visits`` at least. Candidates are reranked by their exact product.
-    1.0 is for vectors without any structure (it finds 96 % of the 20 nearest of isotropic ones in 64
-    dimensions); a clustered table needs a far smaller ``share``. Leaves are searched by region: about ``region`` vectors and the queries that visit them.
+    visits the leaves that come first in the queue that its trees share, as many as ``recall`` asks for: that number is measured on the sample before the
+    search (``visits_for``), ``least_visits`` at least and twice the leaves of a tree at most. Only vectors in open leaves are multiplied, and candidates are reranked by
+    their exact product. Isotropic vectors need most of a tree's leaves; clustered ones few. Leaves are searched by region: about ``region`` vectors
+    and at most about ``query_block`` queries.
 
     Vectors null, zero, with a null or non-finite component, or not of the most common length take no
     part. Rows with equal vec_id and equal vectors count once. Empty tables give an empty result.
@@ -202,18 +250,19 @@ def neighbours(
     depth = max(0, min(most_depth, int(np.ceil(np.log2(max(1, n / leaf)))), int(np.log2(max(1, len(chosen) / 4)))))
     fitted = Forest.fit(np.stack(chosen.to_numpy()).astype(np.float64), trees, depth, seed)
     forest = spark.sparkContext.broadcast(fitted)  # trees * 2**most_depth directions at most
-    visits = int(max(least_visits, np.ceil(share * (1 << depth))))
+    visits = max(least_visits, visits_for(fitted, np.stack(chosen.to_numpy()).astype(np.float64), k, recall)[0])
     level = max(0, min(depth, int(np.round(np.log2(max(1, n / region))))))
     slices = max(1, round(n / (1 << level) / region))
     q_uid = usable.where("is_query").select("vec_id", "vector").join(vectors.select("uid", "vector"), "vector").select(F.col("vec_id").alias("query_id"), F.col("uid").alias("q_uid"))
     q_uid = written(q_uid.distinct(), "ann-queries")
     queries = vectors.join(q_uid.select(F.col("q_uid").alias("uid")).distinct(), "uid", "left_semi").select("uid", "vector")
+    q_slices = max(1, -(-queries.count() // query_block))
     kind = usable.schema["vector"].dataType.simpleString()
-    placed = vectors.select("uid", "vector").mapInPandas(_place(forest, level, slices), f"uid long, vector {kind}, tree int, leaf long, region long, slice long")
+    placed = vectors.select("uid", "vector").mapInPandas(_place(forest, level, slices, q_slices), f"uid long, vector {kind}, leaf long, region long, slice long")
     visited = queries.repartition(4 * spark.sparkContext.defaultParallelism, "uid").mapInPandas(
-        _visit(forest, level, slices, visits), f"q_uid long, q_vector {kind}, leaves array<long>, region long, slice long"
+        _visit(forest, level, slices, q_slices, visits), f"q_uid long, q_vector {kind}, leaves array<long>, region long, slice long"
     )
-    found = placed.groupBy("region", "slice").cogroup(visited.groupBy("region", "slice")).applyInPandas(_rank(keep, 1 << depth), FOUND)
+    found = placed.groupBy("region", "slice").cogroup(visited.groupBy("region", "slice")).applyInPandas(_rank(keep), FOUND)
     found = written(found, "ann-found")
     one = found.select("q_uid", F.explode(F.arrays_zip("uids", "scores")).alias("x")).select("q_uid", F.col("x.uids").alias("uid"), F.col("x.scores").alias("score")).distinct()
     first = W.partitionBy("q_uid").orderBy(F.desc("score"), "uid")
