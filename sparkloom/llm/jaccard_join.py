@@ -346,12 +346,12 @@ def _often_here(width: int, least: int, at_once: int = 2_000_000):
     return rows
 
 
-BUCKETS = 64
+BUCKETS, COARSE = 256, 64
 
 
 def bucket_counts(elements: np.ndarray) -> bytes:
-    """Elements of a set in each of BUCKETS parts of the universe. Two sets differ in as many elements as these counts do, or more."""
-    return np.minimum(np.bincount((elements & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS), 65_535).astype("<u2").tobytes()
+    """Elements of a set in each of BUCKETS parts of the universe, up to 255. Two sets differ in as many elements as these counts do, or more."""
+    return np.minimum(np.bincount((elements & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
 
 
 def _counts(width: int):
@@ -363,40 +363,89 @@ def _counts(width: int):
     return rows
 
 
+def near_pairs(n: np.ndarray, counts: np.ndarray, least: int, apart_from: np.ndarray) -> np.ndarray:
+    """Which sets (sorted by their sizes ``n``) may be linked, by the bound of their counts, to one with another value of ``apart_from``. Sums of
+    counts are looked at first, which bound the distance less tightly."""
+    coarse = counts.reshape(len(n), COARSE, -1).sum(axis=2, dtype=np.int32)
+    fine = counts.astype(np.int16)
+    marked = np.zeros(len(n), dtype=bool)
+    to = np.searchsorted(100 * n, 100 * 100 * n // least, side="right")  # larger sets can't be linked
+
+    def may(i: int, some: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        apart = np.abs(rows[some] - rows[i]).sum(axis=1, dtype=np.int64)
+        both = n[some] + n[i]
+        return some[100 * (both - apart) >= least * (both + apart)]
+
+    for i in range(len(n)):
+        some = np.arange(i + 1, to[i])
+        some = some[apart_from[some] != apart_from[i]]
+        if len(some) and len(some := may(i, some, coarse)) and len(some := may(i, some, fine)):
+            marked[i] = marked[some] = True
+    return marked
+
+
 def _may_be_linked(least: int):
-    """Members of the regions of a bundle that, by their counts, may be linked to another member."""
+    """Members of the regions of a bundle that, by their counts, may be linked to another member that they aren't connected with."""
 
     def near(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for name, region in pdf.groupby("region", sort=False):
-            region = region.sort_values("n", kind="stable")
-            n = region["n"].to_numpy()
-            counts = np.frombuffer(b"".join(region["counts"]), dtype="<u2").reshape(len(n), BUCKETS).astype(np.int32)
-            marked = np.zeros(len(n), dtype=bool)
-            to = np.searchsorted(100 * n, 100 * 100 * n // least, side="right")  # larger sets can't be linked
-            for i in range(len(n)):
-                some = slice(i + 1, to[i])
-                apart = np.abs(counts[some] - counts[i]).sum(axis=1)
-                both = n[some] + n[i]
-                hit = 100 * (both - apart) >= least * (both + apart)
-                if hit.any():
-                    marked[i] = True
-                    marked[i + 1 : to[i]] |= hit
-            out += [(name, m) for m in region["member"].to_numpy()[marked]]
-        return pd.DataFrame(out, columns=["region", "member"], dtype="int64")
+            region = region.sort_values(["n", "member"], kind="stable")
+            counts = np.frombuffer(b"".join(region["counts"]), dtype=np.uint8).reshape(len(region), BUCKETS)
+            marked = near_pairs(region["n"].to_numpy(), counts, least, region["root"].to_numpy())
+            out += list(zip([name] * int(marked.sum()), region["member"].to_numpy()[marked], region["hits"].to_numpy()[marked], strict=True))
+        return pd.DataFrame(out, columns=["region", "member", "hits"], dtype="int64")
 
     return near
 
 
-def _pruned(regions: DataFrame, counts: DataFrame, least: int, limit: int = 4096, bundle: int = 50_000) -> DataFrame:
-    """``regions`` without the members that can't be linked to another one of the same region: the counts give a lower bound of the distance. Regions of more than
-    ``limit`` sets stay whole."""
-    sizes = written(regions.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > limit).select("region"), "jaccard-whole")
-    sizes = F.broadcast(sizes) if small(sizes, 50_000) else sizes
-    bundles = max(1, -(-regions.count() // bundle), min(64, 2 * regions.sparkSession.sparkContext.defaultParallelism))
-    rows = regions.join(sizes, "region", "left_anti").join(counts, "member").withColumn("bundle", F.pmod(F.xxhash64("region"), F.lit(bundles)))
-    kept = rows.groupBy("bundle").applyInPandas(_may_be_linked(least), "region long, member long")
-    return written(kept.unionByName(regions.join(sizes, "region", "left_semi").select("region", "member")), "jaccard-pruned")
+def _pruned(regions: DataFrame, counts: DataFrame, least: int, name: str, limit: int = 4096, bundle: int = 50_000) -> DataFrame:
+    """``regions`` (``region, member, hits, root``) without the members that can't be linked to a member of the same region with another root: counts
+    give a lower bound of the distance. Regions of more than ``limit`` sets stay whole if they have several roots."""
+    sizes = regions.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
+    sizes = written(sizes.select("region", (F.col("size") > limit).alias("large")), f"jaccard-sizes-{name}")
+    open_ones = written(regions.join(F.broadcast(sizes) if small(sizes, 200_000) else sizes, "region"), f"jaccard-open-{name}")
+    bundles = max(1, -(-open_ones.count() // bundle), min(64, 2 * regions.sparkSession.sparkContext.defaultParallelism))
+    rows = open_ones.where("NOT large").select("region", "member", "hits", "root").join(counts, "member").withColumn("bundle", F.pmod(F.xxhash64("region"), F.lit(bundles)))
+    kept = rows.groupBy("bundle").applyInPandas(_may_be_linked(least), "region long, member long, hits long")
+    kept = written(kept.unionByName(open_ones.where("large").select("region", "member", "hits")), f"jaccard-pruned-{name}")
+    dropped(sizes, open_ones)
+    return kept
+
+
+def _star(width: int, least: int):
+    """Links of the members of a cell (``member, data``) to its pivot (``p_data``)."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivot, p_set = None, np.zeros(0, dtype=np.uint64)
+        for batch in batches:
+            a, b = [], []
+            for region, member, data, p_data in zip(batch.column("region").to_pylist(), batch.column("member").to_pylist(), _buffers(batch.column("data")), _buffers(batch.column("p_data")), strict=True):
+                if region != pivot:
+                    pivot, p_set = region, shingles(p_data, width)
+                e = shingles(data, width)
+                shared = len(np.intersect1d(e, p_set, assume_unique=True))
+                if shared and 100 * shared >= least * (len(e) + len(p_set) - shared):
+                    a.append(max(region, member))
+                    b.append(min(region, member))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return rows
+
+
+def star_links(regions: DataFrame, texts: DataFrame, width: int, least: int) -> DataFrame:
+    """Each member of ``regions`` (``region, member, hits``) goes to one Voronoi cell, that of the pivot with which it shares the most cells (of equals the
+    smallest); links between it and that pivot. A region is named by its pivot. A text travels once."""
+    best = regions.where("region <> member").groupBy("member").agg(F.max(F.struct("hits", (-F.col("region")).alias("r"))).alias("best"))
+    pairs = written(best.select((-F.col("best.r")).alias("region"), "member"), "jaccard-voronoi")
+    named = written(semi(texts, pairs.select(F.col("region").alias("member")).distinct(), ["member"]).select(F.col("member").alias("region"), F.col("data").alias("p_data")), "jaccard-pivots")
+    rows = pairs.join(texts, "member").join(F.broadcast(named) if fits(named, "p_data") else named, "region")
+    return written(rows.select("region", "member", "data", "p_data").mapInArrow(_star(width, least), LINKS), "jaccard-stars")
+
+
+def fits(df: DataFrame, column: str, most: int = 32 << 20) -> bool:
+    """Whether ``column`` (binary) of ``df`` has at most ``most`` bytes in all."""
+    return (df.agg(F.sum(F.length(column) + 64)).first()[0] or 0) <= most
 
 
 def _with_prefixes(base: DataFrame, width: int, least: int, often: int, most: int = 500_000) -> DataFrame:
@@ -409,9 +458,10 @@ def _with_prefixes(base: DataFrame, width: int, least: int, often: int, most: in
     return written(base.mapInArrow(_sets(width, least, frequent), SETS), "jaccard-sets")
 
 
-def _likely(in_cells: DataFrame, met: DataFrame, bits: int = 24) -> DataFrame:
-    """``in_cells`` without most of what has no cell of ``met``, so that it needn't be shuffled to find out: a bitmap of ``2**bits`` places, in rows of 64,
-    is broadcast. It is as large for any table; with very many cells it only lets more through."""
+def _likely(in_cells: DataFrame, met: DataFrame, most_bits: int = 27) -> DataFrame:
+    """``in_cells`` without most of what has no cell of ``met``, so that it needn't be shuffled to find out: a bitmap, in rows of 64 places, is
+    broadcast. It has 16 places and more for each cell of ``met``, but at most ``2**most_bits``; with more cells it only lets more through."""
+    bits = min(most_bits, max(16, (16 * met.count()).bit_length()))
     place = F.col("cell").bitwiseAND(F.lit((1 << bits) - 1))
     inside = place.bitwiseAND(F.lit(63)).cast("int")
     bitmap = met.groupBy(F.shiftright(place, 6).alias("row")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), inside)).alias("bits"))
@@ -426,10 +476,12 @@ def jaccard_join(docs: DataFrame, width: int = 3, least: int = 90, limit: int =
     1. Equal sets form classes; only classes are compared. 2. The smallest class of each cell is its
     pivot, and a pivot's region holds all classes that share a cell with it; linked classes share a cell, so they
     share a region. Cells are blocks of a set's elements from ``blocks_from`` % on (see ``Cells``); below, where so many blocks would be needed that
-    they'd be too small, they are the elements of its prefix, and counts of elements in parts of the universe, a map that makes no distance larger, first
-    take out of each region what is too far from all its members. This replaces a global choice of pivots: nearly all texts are at distance 1 from nearly all
-    others, where the triangle inequality (windows of twice the radius) would send every text to every region.
-    3. Regions with many classes are divided by further pivots into Voronoi regions, with texts near the borders in
+    they'd be too small, they are the elements of its prefix. This replaces a global choice of pivots: nearly all texts are at distance 1 from nearly all
+    others, where the triangle inequality (windows of twice the radius) would send every text to every region. Counts of elements in parts of
+    the universe, a map that makes no distance larger, take out of each region what is too far from all its members.
+    3. Each class goes to the Voronoi cell of one pivot, that with which it shares most cells, and is compared with it (``star_links``). What these
+    links connect needn't meet again: only members that may be linked to one of their region that they are not yet connected with stay. Of these, regions
+    with many are divided by further pivots into Voronoi regions, with texts near the borders in
     all regions that the triangle inequality allows, recursively; then each region is joined exactly.
     4. Links are joined to components by rounds of joins.
 
@@ -448,8 +500,10 @@ def jaccard_join(docs: DataFrame, width: int = 3, least: int = 90, limit: int =
     sets = written(base.mapInArrow(_sets(width, least), SETS), "jaccard-sets") if least >= blocks_from else _with_prefixes(base, width, least, often)
     in_cells = sets.select("class", F.explode("cells").alias("cell"))
     met = written(in_cells.groupBy("cell").agg(F.min("class").alias("region"), F.max("class").alias("last")).where("region < last").select("cell", "region"), "jaccard-cells")
-    shared = _likely(in_cells, met).join(met, "cell").select("region", F.col("class").alias("member"))
-    regions = written(shared.distinct(), "jaccard-regions")
+    # copies multiply all hits of a class alike
+    regions = written(_likely(in_cells, met).join(met, "cell").groupBy("region", F.col("class").alias("member")).agg(F.count(F.lit(1)).alias("hits")), "jaccard-regions")
+    sets, cells_too = written(sets.drop("cells"), "jaccard-classes-of-rows"), sets
+    dropped(cells_too, met)
 
     def texts_of(members: DataFrame) -> DataFrame:
         """A text of each member's class, as ``(member, data)``."""
@@ -457,13 +511,17 @@ def jaccard_join(docs: DataFrame, width: int = 3, least: int = 90, limit: int =
         sources = written(semi(sets.select("class", "rid"), named, ["class"]).groupBy("class").agg(F.min("rid").alias("rid")), "jaccard-sources")
         return base.select("rid", "data").join(F.broadcast(sources) if small(sources, 200_000) else sources, "rid").select(F.col("class").alias("member"), "data")
 
-    if least < blocks_from:
-        counts = written(texts_of(regions).mapInArrow(_counts(width), "member long, n long, counts binary"), "jaccard-counts")
-        regions = _pruned(regions, counts, least)
+    counts = written(texts_of(regions).mapInArrow(_counts(width), "member long, n long, counts binary"), "jaccard-counts")
+    regions = _pruned(regions.withColumn("root", F.col("member")), counts, least, "all")
     texts = written(texts_of(regions), "jaccard-texts")
     if not row:
         dropped(base)
-    found = components(region_links(regions, texts, width, least, limit, pivots))
+    stars = star_links(regions, texts, width, least)
+    roots = components(stars.distinct())
+    rooted = regions.join(F.broadcast(roots) if small(roots, 200_000) else roots, "member", "left").select("region", "member", "hits", F.coalesce("root", "member").alias("root"))
+    rest = _pruned(rooted, counts, least, "rest")
+    others = region_links(rest.select("region", "member"), texts, width, least, limit, pivots)
+    found = components(stars.unionByName(others).distinct())
     # a null doc_id comes last
     first = [F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "rid")).alias("first")] if row else []
     named = ["first"] if row else []

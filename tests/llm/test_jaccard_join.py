@@ -120,5 +120,25 @@ def test_counts_bound_the_distance():
     for _ in range(300):
         a = {r.randrange(1 << 62) for _ in range(r.randint(1, 200))}
         b = {x for x in a if r.random() < 0.8} | {r.randrange(1 << 62) for _ in range(r.randint(0, 40))}
-        x, y = (np.frombuffer(bucket_counts(np.array(sorted(s), dtype=np.uint64)), dtype="<u2").astype(int) for s in (a, b))
+        x, y = (np.frombuffer(bucket_counts(np.array(sorted(s), dtype=np.uint64)), dtype=np.uint8).astype(int) for s in (a, b))
         assert abs(x - y).sum() <= len(a ^ b)
+
+
+def test_near_pairs_lose_no_link():
+    import numpy as np
+
+    from sparkloom.llm.jaccard_join import BUCKETS, bucket_counts, near_pairs
+
+    r = random.Random(8)
+    for least in (80, 90):
+        sets = [{r.randrange(1 << 62) for _ in range(r.randint(5, 300))} for _ in range(12)]
+        sets += [{x for x in s if r.random() < 0.93} | {r.randrange(1 << 62) for _ in range(len(s) // 30)} for s in sets for _ in range(2)]
+        sets.sort(key=len)
+        root = np.array([r.randrange(8) for _ in sets])
+        counts = np.stack([np.frombuffer(bucket_counts(np.array(sorted(s), dtype=np.uint64)), dtype=np.uint8) for s in sets])
+        assert counts.shape[1] == BUCKETS
+        marked = near_pairs(np.array([len(s) for s in sets]), counts, least, root)
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if root[i] != root[j] and 100 * len(a & b) >= least * len(a | b):
+                    assert marked[i] and marked[j]
