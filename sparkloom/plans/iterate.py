@@ -13,10 +13,14 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a folder of our own only where it is unset (tests)."""
+    """The folder that driver and executors share, ``spark.checkpoint.dir``. A folder of our own where that is unset and all run in one process (tests);
+    an error on a cluster, whose executors would write where the driver can't read."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"spark.checkpoint.dir has to name a folder that all executors of {master} share")
     return _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="sparkloom-"))
 
 
