@@ -35,8 +35,9 @@ def water_fill(sources: DataFrame, max_epochs: float = 3.0, share: float = 1.0)
 
 
 def _placed(docs: DataFrame, buckets: int, seed: int) -> DataFrame:
-    """``docs`` with their place in the seeded order: bucket, then hash."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).cast("binary"))
+    """``docs`` with their place in the seeded order: bucket, then hash. Rows without a doc_id are placed by their text's hash, ``tie``."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.col("tie").cast("string")))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), name).cast("binary"))
     return (
         docs.withColumn("hash", F.conv(F.substr(digest, F.lit(1), F.lit(15)), 16, 10).cast("long"))
         .withColumn("bucket", F.pmod("hash", F.lit(buckets)).cast("int"))
@@ -44,6 +45,10 @@ def _placed(docs: DataFrame, buckets: int, seed: int) -> DataFrame:
     )
 
 
+#: Order inside a bucket: rows with one doc_id come by their texts, and equal rows one by one.
+ORDER = ["hash", "tie", "rid"]
+
+
 def _cuts(slim: DataFrame, weights: tuple[float, ...], max_epochs: float) -> DataFrame:
     """One row for each source: target, whole repetitions, and where in the order the fractional one ends."""
     by_bucket = written(slim.groupBy("source_key", "bucket").agg(F.first("source").alias("source"), F.sum("size").alias("bucket_size")), "mix-buckets")
@@ -63,9 +68,9 @@ def _cuts(slim: DataFrame, weights: tuple[float, ...], max_epochs: float) -> Dat
     edge = starts.join(targets.select("source_key", "wanted"), "source_key").where((F.col("start") < F.col("wanted")) & (F.col("start") + F.col("bucket_size") >= F.col("wanted")))
     edge = written(edge.select("source_key", F.col("bucket").alias("edge"), "start", "wanted"), "mix-edges")
     near = slim.join(F.broadcast(edge) if small(edge, 200_000) else edge, (slim["bucket"] == edge["edge"]) & (slim["source_key"] == edge["source_key"])).drop(edge["source_key"])
-    run = F.sum("size").over(W.partitionBy("source_key").orderBy("hash", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0))
+    run = F.sum("size").over(W.partitionBy("source_key").orderBy(*ORDER).rowsBetween(W.unboundedPreceding, 0))
     inside = near.withColumn("run", run).where(F.col("start") + F.col("run") - F.col("size") / 2 < F.col("wanted"))
-    last = inside.groupBy("source_key").agg(F.max("hash").alias("last_hash"))
+    last = inside.groupBy("source_key").agg(F.max(F.struct(*ORDER)).alias("last"))
     return written(targets.join(edge.select("source_key", "edge"), "source_key", "left").join(last, "source_key", "left"), "mix-cuts")
 
 
@@ -84,19 +89,20 @@ def mix(
     ``floor(target / source_size)`` times whole; the fractional repetition goes to the first documents
     of a seeded hash order until the source's target is met, so a rerun takes the same ones and a
     source misses its target by at most half of one document. Sizes are summed by source and ``buckets`` hash ranges; only the
-    range in which a source's target is met is looked at row by row, and its last row's hash is the cut. So documents
-    are decided where they stand: neither they nor their texts are shuffled.
+    range in which a source's target is met is looked at row by row, and its last row's place is the cut. So documents
+    are decided where they stand: neither they nor their texts are shuffled. Sources (one row each) are ordered in one task, which is
+    meant for up to some hundred thousand of them.
 
-    Null text has size 0 and is taken 0 words; an empty table gives an empty result; rows with equal
-    doc_id are taken equally often. Returns ``doc_id, source, size, source_size, target, repeats, taken``, or with ``payload``
+    Null text has size 0 and is taken 0 words; an empty table gives an empty result; rows with equal or without
+    doc_id are decided each, by their texts, and of wholly equal rows a rerun takes as many. Returns ``doc_id, source, size, source_size, target, repeats, taken``, or with ``payload``
     (names other than these) ``doc_id, source, payload, repeats``.
     """
-    counted = docs.select("doc_id", "source", (in_words(text_or_empty()) if size is None else size).alias("size"))
-    slim = written(_placed(counted, buckets, seed), "mix")
-    cuts = _cuts(slim, weights, max_epochs)
-    rows = _placed(docs.select("doc_id", "source", *payload), buckets, seed) if payload else slim
+    size = in_words(text_or_empty()) if size is None else size
+    counted = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "source", size.alias("size"), F.xxhash64(text_or_empty()).alias("tie"), *payload)
+    rows = written(_placed(counted, buckets, seed), "mix")
+    cuts = _cuts(rows.select("rid", "doc_id", "source", "size", "tie", "hash", "bucket", "source_key"), weights, max_epochs)
     decided = rows.join(F.broadcast(cuts) if small(cuts, 200_000) else cuts, "source_key")
-    extra = F.when((F.col("bucket") < F.col("edge")) | ((F.col("bucket") == F.col("edge")) & (F.col("hash") <= F.col("last_hash"))), 1).otherwise(0)
+    extra = F.when((F.col("bucket") < F.col("edge")) | ((F.col("bucket") == F.col("edge")) & (F.struct(*ORDER) <= F.col("last"))), 1).otherwise(0)
     repeats = (F.col("whole") + extra).cast("int")
     if payload:
         return decided.select("doc_id", "source", *payload, repeats.alias("repeats"))

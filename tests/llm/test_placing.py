@@ -108,6 +108,20 @@ def test_mix(spark):
     assert mix(frame(spark, rows).where("doc_id < 0")).count() == 0
 
 
+def test_mix_without_ids(spark):
+    r = random.Random(4)
+    rows = [(None, " ".join("w" * r.randint(1, 30)) + f" {r.randrange(50)}", r.choice("abc")) for _ in range(900)] + [(5, "same words here", "a")] * 200
+    out = mix(frame(spark, rows)).collect()
+    taken, target, largest = defaultdict(int), {}, defaultdict(int)
+    for x in out:
+        taken[x.source] += x.taken
+        target[x.source] = x.target
+        largest[x.source] = max(largest[x.source], x.size)
+    assert len(out) == len(rows) and all(abs(taken[s] - target[s]) <= largest[s] for s in target)
+    again = mix(frame(spark, rows[::-1]).repartition(5)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, out))
+
+
 def least_capacity(sizes, shards):
     lo, hi = max(sizes), sum(sizes)
     while lo < hi:
