@@ -140,7 +140,8 @@ def local_search(bins: list[list[int]], lengths: list[int], size: int, tries: in
     """Empty underfull bins, the least full first. A step moves a document to another underfull bin,
     exchanges it for a shorter one, or exchanges two for one that is shorter than both together; each
     takes from the bin that is being emptied and fills another, so the sum of squared fills grows
-    (checked), and no step is undone. A bin that cannot be emptied stays as it then is."""
+    (checked), and no step is undone. A bin that cannot be emptied stays as it then is. The search ends when no bin can be saved any more (the tokens of all
+    bins fill as many), after ``tries`` bins, or when ``failures`` in a row couldn't be emptied; two go for one of a bin's twelve longest only."""
     fill = [sum(lengths[i] for i in b) for b in bins]
     total, alive = sum(fill), sum(1 for b in bins if b)
     holds: dict[int, set[int]] = defaultdict(set)  # length -> items in underfull bins
@@ -235,7 +236,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end: int = 0, group_
     decreasing and local search. A group's ``open_bins`` least full sequences are opened again and
     packed together with those of other groups, in fewer groups each round, until one group is left:
     so what dealing costs is less than one sequence in all but the last rounds, and no task ever holds
-    more than a group.
+    more than a group. The search in a group is bounded (``local_search``): 200 bins are tried, and it ends after 24 failures in a row.
 
     Null and empty text give one piece, ``end`` alone. A table without rows gives no row. Rows with
     equal or null doc_id are documents of their own; further columns are not read.
