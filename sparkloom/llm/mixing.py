@@ -82,6 +82,7 @@ def mix(
     buckets: int = 4096,
     size: Column | None = None,
     payload: tuple[str, ...] = (),
+    row: str | None = None,
 ) -> DataFrame:
     """How often a mix takes each document of ``docs`` (``doc_id, source, text``, and the columns of ``payload``).
 
@@ -95,12 +96,18 @@ def mix(
 
     Null text has size 0 and is taken 0 words; an empty table gives an empty result; rows with equal or without
     doc_id are decided each, by their texts, and of wholly equal rows a rerun takes as many. Returns ``doc_id, source, size, source_size, target, repeats, taken``, or with ``payload``
-    (names other than these) ``doc_id, source, payload, repeats``.
+    (names other than these) ``doc_id, source, payload, repeats``. With ``row``, a column that tells the rows apart in every job, payload is read again
+    and not written.
     """
     size = in_words(text_or_empty()) if size is None else size
-    counted = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "source", size.alias("size"), F.xxhash64(text_or_empty()).alias("tie"), *payload)
-    rows = written(_placed(counted, buckets, seed), "mix")
-    cuts = _cuts(rows.select("rid", "doc_id", "source", "size", "tie", "hash", "bucket", "source_key"), weights, max_epochs)
+    named = F.monotonically_increasing_id() if row is None else F.col(row)
+    counted = docs.select(named.alias("rid"), "doc_id", "source", size.alias("size"), F.xxhash64(text_or_empty()).alias("tie"), *payload)
+    slim = ["rid", "doc_id", "source", "size", "tie", "hash", "bucket", "source_key"]
+    placed = _placed(counted, buckets, seed)
+    again = placed if payload and row else None
+    rows = written(placed if again is None else placed.select(*slim), "mix")
+    cuts = _cuts(rows.select(*slim), weights, max_epochs)
+    rows = rows if again is None else again
     decided = rows.join(F.broadcast(cuts) if small(cuts, 200_000) else cuts, "source_key")
     extra = F.when((F.col("bucket") < F.col("edge")) | ((F.col("bucket") == F.col("edge")) & (F.struct(*ORDER) <= F.col("last"))), 1).otherwise(0)
     repeats = (F.col("whole") + extra).cast("int")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import Rolling, byte_symbols, mix, word_symbols
-from .common import free_worker, short_batches, text_or_empty
+from .common import free_worker, give_back, short_batches, text_or_empty
 
 WINDOW, STRIDE = 64, 48
 GRAM = 5
@@ -107,8 +107,9 @@ class Evidence:
     grams: Odds
 
     @classmethod
-    def of(cls, t: Tokens, labels: np.ndarray, fold: np.ndarray) -> tuple[Evidence, list[Evidence]]:
-        """Counted by document, n-grams for a few documents at a time: of all documents, and of all but each of FOLDS parts."""
+    def of(cls, t: Tokens, labels: np.ndarray, fold: np.ndarray) -> tuple[Evidence, np.ndarray]:
+        """Counted by document, n-grams for a few documents at a time: of all documents; and the inputs of the forms by what all but each of FOLDS
+        parts have."""
         n_forms = max(1, len(t.words))
         seen = np.unique(t.of_text * np.int64(n_forms) + t.form)
         text, form = seen // n_forms, seen % n_forms
@@ -116,21 +117,21 @@ class Evidence:
         total = np.bincount(kind, minlength=2 * FOLDS).reshape(2, FOLDS)
         many = np.diff(np.append(t.first_gram, len(t.grams)))
         keys, gram = np.unique(t.grams, return_inverse=True)
-        of_words, of_grams = np.zeros(2 * FOLDS * n_forms, dtype=np.int64), np.zeros(2 * FOLDS * max(1, len(keys)), dtype=np.int64)
-        of_words += np.bincount(kind[text] * n_forms + form, minlength=len(of_words))
+        of_words, of_grams = np.zeros(2 * FOLDS * n_forms, dtype=np.int32), np.zeros(2 * FOLDS * max(1, len(keys)), dtype=np.int32)
+        np.add.at(of_words, kind[text] * n_forms + form, 1)
         cuts = np.append(np.unique(np.searchsorted(text, text[::PAIRS])), len(text))  # where texts begin
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             n = many[form[a:b]]
             at = np.repeat(t.first_gram[form[a:b]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
             once = np.unique(np.repeat(text[a:b], n) * np.int64(len(keys)) + gram[at])
-            of_grams += np.bincount(kind[once // len(keys)] * len(keys) + once % len(keys), minlength=len(of_grams))
+            np.add.at(of_grams, kind[once // len(keys)] * len(keys) + once % len(keys), 1)
         words, grams = of_words.reshape(2, FOLDS, -1), of_grams.reshape(2, FOLDS, -1)
 
         def without(f: int | None) -> Evidence:
-            less = lambda x: x.sum(axis=1) - (0 if f is None else x[:, f])
+            less = lambda x: x.sum(axis=1, dtype=np.int32) - (0 if f is None else x[:, f])
             return cls(Odds.of(t.words, less(words)[:, : len(t.words)], less(total)), Odds.of(keys, less(grams)[:, : len(keys)], less(total)))
 
-        return without(None), [without(f) for f in range(FOLDS)]
+        return without(None), np.stack([without(f).inputs(t) for f in range(FOLDS)])
 
     def inputs(self, t: Tokens) -> np.ndarray:
         """Of each form: its own evidence as far as it is known, and for the rest that of its strongest n-gram."""
@@ -313,7 +314,7 @@ def train(texts: list[bytes], labels: np.ndarray, rounds: int = 3, epochs: int =
     for v in (0, 1):
         of_label = rng.permutation(np.flatnonzero(labels == v))
         fold[of_label] = np.arange(len(of_label)) % FOLDS
-    everything, others = Evidence.of(t, labels, fold)
+    everything, evidence = Evidence.of(t, labels, fold)
     model = Model(everything, Network(seed=seed))
     net = model.network
     text, start, size = window_starts(t.of_text, len(texts))
@@ -321,7 +322,6 @@ def train(texts: list[bytes], labels: np.ndarray, rounds: int = 3, epochs: int =
         net.p = {k: x * 0 for k, x in net.p.items()}
         net.p["c"] = np.full(1, -5.0 if not labels.any() else 5.0, dtype=np.float32)
         return model
-    evidence = np.stack([x.inputs(t) for x in others])
     n_forms = len(t.words)
     total = np.concatenate(([0.0], np.cumsum(np.maximum(evidence[fold[t.of_text], t.form] - 0.25, 0))))
     worth = total[start + size] - total[start]
@@ -401,7 +401,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, held_ou
     """
     spark = docs.sparkSession
     short_batches(spark)
-    fitted = spark.sparkContext.broadcast(fit(docs, labels, held_out) if model is None else model)  # tables of the words of a bounded sample, and small matrices
+    model = fit(docs, labels, held_out) if model is None else model
+    give_back()
+    fitted = spark.sparkContext.broadcast(model)  # tables of the words of a bounded sample, and small matrices
 
     @F.arrow_udf("double")
     def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:

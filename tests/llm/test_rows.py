@@ -50,3 +50,18 @@ def test_mixed_and_packed_rows(spark):
     assert got(cp.mixed(spark, docs, FOLDER)) == +taken
     pieces = cp.packed(spark, docs, FOLDER).where("piece = 0").collect()
     assert Counter(p.doc_id for p in pieces) == Counter(d for d, _ in rows)
+
+
+def test_names_of_rows(spark, tmp_path):
+    """Rows of files have one name however the files are split; rows of other frames are numbered in a written table."""
+    from sparkloom.llm.common import named
+
+    spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("x").alias("rid"), F.lit("y").alias("file")).repartition(3).write.parquet(f"{tmp_path}/t")
+    found = []
+    for parts in ("1", "50"):
+        spark.conf.set("spark.sql.files.minPartitionNum", parts)
+        found.append({r.doc_id: r.rid for r in named(spark.read.parquet(f"{tmp_path}/t"), "names", "doc_id").collect()})
+    spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert found[0] == found[1] and len(set(found[0].values())) == 5000
+    other = named(spark.createDataFrame([(1,), (1,)], "doc_id long"), "names", "doc_id")
+    assert len({r.rid for r in other.collect()} | {r.rid for r in other.collect()}) == 2
