@@ -2,7 +2,7 @@
 
 ``STAGES`` lists (name, function); a function takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is
 written as Parquet and read again as the next one's ``docs``. All but the last return the columns of ``documents``.
-Rows are decided each, by a number that a stage gives them, so null and repeated doc_ids lose and keep nothing by their id.
+Rows are decided each, by their place in the file that ``docs`` is read from (or by a number in a written table, if it isn't read from files), so null and repeated doc_ids lose and keep nothing by their id.
 Null and empty texts, repeated rows and further columns are handled as the operators say; an empty table gives an
 empty result.
 """
@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import numbered, small, written
+from sparkloom.llm.common import named, small, written
 from sparkloom.llm.exact_dedup import exact_dedup
 from sparkloom.llm.jaccard_join import jaccard_join
 from sparkloom.llm.mixing import mix
@@ -36,26 +36,25 @@ def _kept(rows: DataFrame, decided: DataFrame, name: str) -> DataFrame:
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labels that may be learned from, doesn't call toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rows = numbered(docs, "pipeline-toxicity-rows", *COLUMNS)
-    scored = toxicity(rows.select("rid", "doc_id", "text"), labels, threshold=0.3)
-    return _kept(rows, scored.select("rid", (F.col("predicted") == 0).alias("kept")), "pipeline-toxic")
+    return toxicity(docs.select(*COLUMNS), labels, threshold=0.3).where("predicted = 0").select(*COLUMNS)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal but for A-Z and a-z, one row with the largest doc_id."""
-    rows = numbered(docs, "pipeline-exact-rows", *COLUMNS)
+    rows = named(docs, "pipeline-exact-rows", *COLUMNS)
     return _kept(rows, exact_dedup(rows, row="rid").select("rid", "kept"), "pipeline-exact")
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of documents linked by five-word shingles and a similarity of 0.8, one row with the smallest doc_id."""
-    rows = numbered(docs, "pipeline-near-rows", *COLUMNS)
+    rows = named(docs, "pipeline-near-rows", *COLUMNS)
     return _kept(rows, jaccard_join(rows, width=5, least=80, row="rid").select("rid", "kept"), "pipeline-near")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    taken = mix(docs, payload=("text", "lang", "n_chars")).where("repeats > 0")
+    rows = named(docs, "pipeline-mixing-rows", *COLUMNS)
+    taken = mix(rows, payload=("text", "lang", "n_chars"), row="rid").where("repeats > 0")
     return taken.select("*", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(*COLUMNS)
 
 
