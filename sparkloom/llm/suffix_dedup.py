@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import bundles, cover, runs
-from .common import dropped, numbered, short_batches, text_or_empty, written
+from .common import dropped, numbered, semi, short_batches, text_or_empty, written
 from .suffixes import repeated
 
 #: Distinct bundles of one anchor that may meet in a shard; a larger group is divided first.
@@ -115,7 +115,9 @@ def repeated_spans(base: DataFrame, length: int, k: int) -> DataFrame:
     src = F.min(F.struct("rid", "lo", "hi", "at")).alias("src")
     distinct = written(branching.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("copies"), src), "suffix-distinct")
     copied = distinct.where("copies > 1").select("anchor", "content")
-    whole = branching.join(copied, ["anchor", "content"]).select("rid", F.col("lo").alias("begin"), (F.col("hi") + length).alias("end"))
+    # written by itself: where the join shuffles, adaptive execution can then split the copies of one bundle
+    whole = semi(branching, copied, ["anchor", "content"]).select("rid", F.col("lo").alias("begin"), (F.col("hi") + length).alias("end"))
+    whole = written(whole, "suffix-whole")
     variants = written(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP).select("anchor"), "suffix-large")
     marked = distinct.join(variants.withColumn("l", F.lit(True)), "anchor", "left").select(
         F.col("src.rid").alias("rid"), F.struct("anchor", "copies", "src.lo", "src.hi", "src.at", F.coalesce("l", F.lit(False)).alias("large")).alias("x")
@@ -132,7 +134,7 @@ def repeated_spans(base: DataFrame, length: int, k: int) -> DataFrame:
         .groupBy("shard")
         .applyInPandas(_search_shard(length), SPANS)
     )
-    out = spans.union(whole).union(searched)
+    out = spans.union(whole).union(written(searched, "suffix-searched"))
     if not keys.where(F.col("n") > GROUP).isEmpty():
         hot = parts.join(keys.where(F.col("n") > GROUP).select("key"), "key").select("rid", "start", "part")
         single = written(hot.mapInPandas(_windows(length), "window binary, rid long, start int"), "suffix-windows")
