@@ -33,7 +33,7 @@ def spmm_rows(a: DataFrame, b: DataFrame, width: int) -> DataFrame:
 
 def with_all_rows(c: DataFrame, rows: DataFrame, columns: DataFrame) -> DataFrame:
     """``c`` filled with zeros for all of ``rows`` (``i``) and ``columns`` (``j``, few)."""
-    grid = rows.select("i").join(F.broadcast(columns.select("j")))
+    grid = rows.select("i").join(broadcast_if_small(columns.select("j"), BROADCAST_ROWS))
     return grid.join(c, ["i", "j"], "left").select("i", "j", F.coalesce("c", F.lit(0.0)).alias("c"))
 
 

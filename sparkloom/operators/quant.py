@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.iterate import broadcast_if_small
+
 BLOCK = 32
 
 
@@ -54,13 +56,20 @@ def block_dot(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda a, b: (a * b).cast("long")), F.lit(0).cast("long"), lambda s, v: s + v)
 
 
-def matmul(weights: DataFrame, activations: DataFrame, packed: bool = True) -> DataFrame:
+def matmul(weights: DataFrame, activations: DataFrame, packed: bool = True, few: int = 20_000, tiles: int = 16) -> DataFrame:
     """Product of each row of ``weights`` with each of ``activations`` (``row, block, d, qs``; q4 if ``packed``, q8), as ``(i, j, c)``.
-    Blocks meet on their number only where both have one; the smaller side should be ``activations``."""
+    Blocks meet on their number only where both have one; the smaller side should be ``activations``. Up to ``few`` blocks of it are broadcast. Beyond that the
+    product is cut in ``tiles`` by ``tiles`` tiles of rows, each side goes to those of its rows, and a tile is a join key besides the block."""
     left = weights.select(F.col("row").alias("i"), "block", F.col("d").alias("dx"), (unpack_q4(F.col("qs")) if packed else F.col("qs")).alias("x"))
     right = activations.select(F.col("row").alias("j"), "block", F.col("d").alias("dy"), F.col("qs").alias("y"))
     dot = block_dot(F.col("x"), F.col("y")) * F.col("dx") * F.col("dy")
-    return left.join(right, "block").groupBy("i", "j").agg(F.sum(dot).alias("c"))
+    on = ["block"]
+    if (sent := broadcast_if_small(right, few)) is right:
+        tile = lambda c: F.pmod(F.xxhash64(c), F.lit(tiles)).cast("int")
+        each = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
+        left, right = left.select("*", tile("i").alias("ti"), each.alias("tj")), right.select("*", each.alias("ti"), tile("j").alias("tj"))
+        on, sent = ["block", "ti", "tj"], right
+    return left.join(sent, on).groupBy("i", "j").agg(F.sum(dot).alias("c"))
 
 
 def broadcast_matmul(a: DataFrame, b: DataFrame, r2: int, r3: int) -> DataFrame:

@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.iterate import broadcast_if_small
+
 
 def _cube(spark: SparkSession, reach: tuple[int, int, int]) -> DataFrame:
     """Offsets up to ``reach`` from the middle in each direction."""
@@ -72,7 +74,7 @@ def _total(parts: str, value) -> Column:
 def trajectory(shapes: DataFrame, ticks: DataFrame) -> DataFrame:
     """Each shape at each of ``ticks`` (``tick``) at which it exists: position (start, moves, orbits) and rotation."""
     t = F.col("tick")
-    there = shapes.join(F.broadcast(ticks), F.col("destroy").isNull() | (t < F.col("destroy")))
+    there = shapes.join(broadcast_if_small(ticks, 100_000), F.col("destroy").isNull() | (t < F.col("destroy")))
 
     def orbit(axis: str):
         def value(o: Column) -> Column:

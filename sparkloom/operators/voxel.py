@@ -289,9 +289,3 @@ def tick(world: DataFrame, work: DataFrame, now: int, bounds: Bounds) -> tuple[D
 def latest(changes: DataFrame) -> DataFrame:
     """Last change of each cell (``x, y, z, state``, by ``tick``, then the larger state)."""
     return changes.groupBy(*CELL).agg(F.max(F.struct("tick", "state")).alias("m")).select(*CELL, F.col("m.state").alias("state"))
-
-
-def ranked(work: DataFrame) -> DataFrame:
-    """All work of a cell in the order in which it would be picked."""
-    order = W.partitionBy(*CELL).orderBy(priority(F.col("type")), "type", "trigger_tick")
-    return work.withColumn("place", F.row_number().over(order))

@@ -141,13 +141,13 @@ def _matmul_sql(levels: str) -> str:
 
 @_query(_matmul_sql("7.0"))
 def q4_matmul(spark, d):
-    out = quant.matmul(quant.quantise_q4(_rows(spark, d)), F.broadcast(quant.quantise_q8(_tops(spark, d))))
+    out = quant.matmul(quant.quantise_q4(_rows(spark, d)), quant.quantise_q8(_tops(spark, d)))
     return out.select("i", "j", F.round("c", 5).alias("c"))
 
 
 @_query(_matmul_sql("127.0"))
 def q8_matmul(spark, d):
-    out = quant.matmul(quant.quantise_q8(_rows(spark, d)), F.broadcast(quant.quantise_q8(_tops(spark, d))), packed=False)
+    out = quant.matmul(quant.quantise_q8(_rows(spark, d)), quant.quantise_q8(_tops(spark, d)), packed=False)
     return out.select("i", "j", F.round("c", 5).alias("c"))
 
 
@@ -240,6 +240,28 @@ def grey_levels(spark, d):
     return out.select(*[F.col(c).cast("long").alias(c) for c in ("slice", "y", "x", "level")])
 
 
+@_query("SELECT DISTINCT vec_id % 90 AS angle, (vec_id % 90) * 180.0 / 90 AS degrees FROM embeddings")
+def sinogram_angles(spark, d):
+    return tomography.angles_of(table(spark, d, "embeddings").select((F.col("vec_id") % 90).alias("angle")).distinct(), 90)
+
+
+# Numbers
+
+@_query(
+    "WITH h AS (SELECT l_orderkey, l_linenumber, l_discount * l_quantity AS x FROM lineitem), "
+    "e AS (SELECT *, pow(2, CASE WHEN x > 0 THEN floor(log2(x)) ELSE 0 END - 10) AS unit FROM h) "
+    "SELECT l_orderkey, l_linenumber, CASE WHEN x < pow(2, -14) THEN 0.0 ELSE trunc(x / unit) * unit END AS half FROM e"
+)
+def half_precision(spark, d):
+    x = F.col("l_discount") * F.col("l_quantity")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", numbers.half_to_double(numbers.double_to_half(x)).alias("half"))
+
+
+@_query("SELECT l_orderkey, l_linenumber, ((l_partkey & 15) << 4) | (l_suppkey & 15) AS place FROM lineitem")
+def packed_places(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", numbers.pack_xz(F.col("l_partkey"), F.col("l_suppkey")).alias("place"))
+
+
 # Voxels: line items in a cube of 64 cells a side
 
 _WORLD = (

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.iterate import broadcast_if_small
+
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     """Entries ``(file, i, k, v)`` of coordinate files, from 0 on. ``%`` lines are comments; the first other line has the size and is left
@@ -17,7 +19,7 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     body = lines.where("not startswith(line, '%')")
     size_line = body.groupBy("file").agg(F.min("nth").alias("size_nth"))
     part = F.split("line", r"\s+")
-    entries = body.join(F.broadcast(size_line.join(kinds, "file")), "file").where("nth > size_nth AND kind like '%coordinate%'")
+    entries = body.join(broadcast_if_small(size_line.join(kinds, "file"), 100_000), "file").where("nth > size_nth AND kind like '%coordinate%'")
     v = F.when(F.size(part) > 2, F.element_at(part, 3).cast("double")).otherwise(1.0)
     one = entries.select("file", "kind", (part[0].cast("long") - 1).alias("i"), (part[1].cast("long") - 1).alias("k"), v.alias("v"))
     sign = F.when(F.col("kind").like("%skew%"), -1.0).otherwise(1.0)

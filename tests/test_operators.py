@@ -438,3 +438,11 @@ def test_streams_equal_batches(spark, tmp_path, sf_dir):
     query = streams.counts(stream).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("counts").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_product_in_tiles(spark):
+    draw = random.Random(5)
+    w, a = (spark.createDataFrame([(i, [draw.gauss(0, 1) for _ in range(64)]) for i in range(n)], "row long, x array<double>") for n in (23, 9))
+    product = lambda **kw: {(r.i, r.j): r.c for r in quant.matmul(quant.quantise_q8(w), quant.quantise_q8(a), packed=False, **kw).collect()}
+    whole, tiled = product(), product(few=0, tiles=3)
+    assert len(whole) == 23 * 9 and whole.keys() == tiled.keys() and all(abs(whole[k] - tiled[k]) < 1e-9 for k in whole)
