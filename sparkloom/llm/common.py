@@ -97,6 +97,17 @@ def semi(df: DataFrame, keys: DataFrame, on: list[str], most: int = 200_000) ->
     return df.join(F.broadcast(keys) if small(keys, most) else keys, on, "left_semi")
 
 
+def likely(df: DataFrame, met: DataFrame, column: str, most_bits: int = 27) -> DataFrame:
+    """``df`` without most of what has no ``column`` (hashes) of ``met``, so that it needn't be shuffled to find out: a bitmap, in rows of 64 places, is
+    broadcast. It has 16 places and more for each row of ``met``, but at most ``2**most_bits``; with more rows it only lets more through."""
+    bits = min(most_bits, max(16, (16 * met.count()).bit_length()))
+    place = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
+    inside = place.bitwiseAND(F.lit(63)).cast("int")
+    bitmap = met.groupBy(F.shiftright(place, 6).alias("_row")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), inside)).alias("_bits"))
+    found = df.withColumn("_row", F.shiftright(place, 6)).join(F.broadcast(written(bitmap, "bitmap")), "_row")
+    return found.where(F.call_function("shiftrightunsigned", F.col("_bits"), inside).bitwiseAND(F.lit(1)) == 1).drop("_row", "_bits")
+
+
 def in_words(text: Column) -> Column:
     """Number of words of a text: runs of bytes that are no ASCII white space."""
     return F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")

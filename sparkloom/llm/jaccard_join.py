@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import BASE, OTHER_BASE, Rolling, mix, word_bounds, word_symbols
-from .common import dropped, free_worker, numbered, semi, short_batches, small, text_or_empty, written
+from .common import dropped, free_worker, likely, numbered, semi, short_batches, small, text_or_empty, written
 
 #: Ratio of the sizes at the ends of a band. Linked sets differ less in size, so each set stands in two bands at most.
 BAND = 1.2
@@ -458,17 +458,6 @@ def _with_prefixes(base: DataFrame, width: int, least: int, often: int, most: in
     return written(base.mapInArrow(_sets(width, least, frequent), SETS), "jaccard-sets")
 
 
-def _likely(in_cells: DataFrame, met: DataFrame, most_bits: int = 27) -> DataFrame:
-    """``in_cells`` without most of what has no cell of ``met``, so that it needn't be shuffled to find out: a bitmap, in rows of 64 places, is
-    broadcast. It has 16 places and more for each cell of ``met``, but at most ``2**most_bits``; with more cells it only lets more through."""
-    bits = min(most_bits, max(16, (16 * met.count()).bit_length()))
-    place = F.col("cell").bitwiseAND(F.lit((1 << bits) - 1))
-    inside = place.bitwiseAND(F.lit(63)).cast("int")
-    bitmap = met.groupBy(F.shiftright(place, 6).alias("row")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), inside)).alias("bits"))
-    found = in_cells.withColumn("row", F.shiftright(place, 6)).join(F.broadcast(written(bitmap, "jaccard-bitmap")), "row")
-    return found.where(F.call_function("shiftrightunsigned", F.col("bits"), inside).bitwiseAND(F.lit(1)) == 1).select("class", "cell")
-
-
 def jaccard_join(docs: DataFrame, width: int = 3, least: int = 90, limit: int = 512, pivots: int = 24, blocks_from: int = 88, often: int = 16, row: str | None = None) -> DataFrame:
     """Components of ``docs`` (``doc_id, text``) under links between texts whose sets of ``width``-word shingles have a
     Jaccard similarity of ``least`` % or more. Exact: every link counts, and each was measured on whole sets.
@@ -501,7 +490,7 @@ def jaccard_join(docs: DataFrame, width: int = 3, least: int = 90, limit: int =
     in_cells = sets.select("class", F.explode("cells").alias("cell"))
     met = written(in_cells.groupBy("cell").agg(F.min("class").alias("region"), F.max("class").alias("last")).where("region < last").select("cell", "region"), "jaccard-cells")
     # copies multiply all hits of a class alike
-    regions = written(_likely(in_cells, met).join(met, "cell").groupBy("region", F.col("class").alias("member")).agg(F.count(F.lit(1)).alias("hits")), "jaccard-regions")
+    regions = written(likely(in_cells, met, "cell").join(met, "cell").groupBy("region", F.col("class").alias("member")).agg(F.count(F.lit(1)).alias("hits")), "jaccard-regions")
     sets, cells_too = written(sets.drop("cells"), "jaccard-classes-of-rows"), sets
     dropped(cells_too, met)
 

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .anchors import OTHER_BASE, Rolling, bundles, cover, runs, word_bounds, word_symbols
-from .common import dropped, numbered, semi, short_batches, small, text_or_empty, written
+from .common import dropped, likely, numbered, semi, short_batches, small, text_or_empty, written
 
 PATHS = "rid long, doc_id long, lo int, hi int, kmer long, path long"
 
@@ -101,23 +101,15 @@ def compacted(edges: DataFrame) -> DataFrame:
     """Nonbranching paths of ``edges``: the first edge of each (``kmer, path``) and the ``total`` of its windows.
 
     Two edges are joined where the one always follows the other and the other always comes before it, so that all documents that have one of them run through
-    both. Each edge then points to the one before it; in rounds of joins it takes over what that one points to, so a path of n edges takes log2(n) rounds."""
-    many = lambda df: F.broadcast(df) if small(df, 200_000) else df
-    windows = (F.col("src.hi") - F.col("src.lo") + 1).cast("long")
-    before = edges.where("next_kmer is not null").select(F.col("kmer").alias("up_kmer"), F.col("path").alias("up_path"), F.col("next_kmer").alias("kmer"), F.col("next_path").alias("path"), windows.alias("before"))
-    after = edges.where("prev_kmer is not null").select(*EDGE, F.col("prev_kmer").alias("up_kmer"), F.col("prev_path").alias("up_path"), windows.alias("windows"))
-    up = written(before.join(after, ["kmer", "path", "up_kmer", "up_path"]), "substring-up")
-    inner = up.select(*EDGE)
-    while True:
-        above = up.select(F.col("kmer").alias("up_kmer"), F.col("path").alias("up_path"), F.col("up_kmer").alias("top_kmer"), F.col("up_path").alias("top_path"), F.col("before").alias("more"))
-        top = [F.coalesce("top_kmer", "up_kmer").alias("up_kmer"), F.coalesce("top_path", "up_path").alias("up_path")]
-        step = up.join(many(above), ["up_kmer", "up_path"], "left").select(*EDGE, *top, (F.col("before") + F.coalesce("more", F.lit(0))).alias("before"), "windows", F.col("top_kmer").isNotNull().alias("moved"))
-        up = written(step, "substring-up")
-        if up.where("moved").isEmpty():
-            break
-    total = up.groupBy(F.col("up_kmer").alias("kmer"), F.col("up_path").alias("path")).agg(F.max(F.col("before") + F.col("windows")).alias("total"))
-    heads = edges.join(many(inner), EDGE, "left_anti").select(*EDGE, windows.alias("own"))
-    return written(heads.join(many(total), EDGE, "left").select(*EDGE, F.coalesce("total", "own").alias("total")), "substring-compacted")
+    both. Then the sources of both stand side by side in one document, too, and so do those of all edges of a path: a running count of the edges that no join
+    has linked to the one before them numbers the paths, however long they are."""
+    before = edges.where("next_kmer is not null").select(F.col("kmer").alias("prev_kmer"), F.col("path").alias("prev_path"), F.col("next_kmer").alias("kmer"), F.col("next_path").alias("path"))
+    after = edges.where("prev_kmer is not null").select(*EDGE, "prev_kmer", "prev_path")
+    inner = before.join(after, [*EDGE, "prev_kmer", "prev_path"]).select(*EDGE, F.lit(True).alias("inner"))
+    placed = edges.select(*EDGE, "src.rid", "src.lo", (F.col("src.hi") - F.col("src.lo") + 1).cast("long").alias("windows")).join(inner, EDGE, "left")
+    nth = F.count_if(F.col("inner").isNull()).over(W.partitionBy("rid").orderBy("lo").rowsBetween(W.unboundedPreceding, 0))
+    first = [F.min_by(c, "lo").alias(c) for c in EDGE]
+    return written(placed.withColumn("nth", nth).groupBy("rid", "nth").agg(*first, F.sum("windows").alias("total")).select(*EDGE, "total"), "substring-compacted")
 
 
 def repeated_spans(base: DataFrame, length: int, k: int) -> DataFrame:
@@ -131,7 +123,7 @@ def repeated_spans(base: DataFrame, length: int, k: int) -> DataFrame:
         .where("first_doc < last_doc")
     )
     met = written(met.select("kmer", (F.col("p0") != F.col("p1")).alias("branching")), "substring-met")
-    shared = written(found.join(many(met), "kmer"), "substring-shared")
+    shared = written(likely(found, met, "kmer").join(met, "kmer"), "substring-shared")
     dropped(found, met)
     edges = written(edges_of(shared), "substring-edges")
     repeated = edges.where("src.doc_id < last_doc")
@@ -185,7 +177,7 @@ def substring_dedup(docs: DataFrame, length: int = 50, k: int = 16) -> DataFrame
     1. Of the graph's token k-mers, those stay that a window of ``length`` words chooses by hash (see ``anchors``), about one for each 17 words. An edge
        is a k-mer with the words of the windows that chose it; the edges of a document follow each other without gaps. Edges whose
        k-mer is in one document only go. 2. Where one edge always follows another and that one always comes before it,
-       the two are compacted; a nonbranching path of any length becomes one row, by rounds of joins (``compacted``). 3. The
+       the two are joined; a nonbranching path of any length becomes one row (``compacted``). 3. The
        first document that has a path is its source. It is read again at its coordinates, and each later span is removed only if its words
        have the digest of those at the source. 4. Edges that share a k-mer and differ agree in part: their sources are
        read window by window, under two hashes, and windows meet by a shuffle, so a common k-mer never
