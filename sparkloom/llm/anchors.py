@@ -13,6 +13,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from .common import WORKER_CACHES
+
 #: Symbols that are worked on at once. A longer document is cut, with overlap; that may cut a bundle in
 #: two but changes no window's anchor.
 AT_ONCE = 1 << 20
@@ -32,6 +34,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _grown: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+WORKER_CACHES.append(_grown.clear)
 
 
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:

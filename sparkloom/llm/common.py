@@ -6,8 +6,10 @@ import contextlib
 import ctypes
 import gc
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,16 +65,33 @@ WORKER_CACHES: list[Callable[[], None]] = []
 
 
 def free_worker() -> None:
-    """Give back what an earlier operator's tasks left in this Python worker, which Spark uses again."""
+    """Give back what tasks left in this Python worker, which Spark uses again."""
     for clear in WORKER_CACHES:
         clear()
-    if WORKER_CACHES:
-        give_back()
+    give_back()
+
+
+Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidy(work: Task) -> Task:
+    """``work`` of a task, after which its memory goes back to the system: the Python worker stays, idle or for other operators, beside the heap of its executor."""
+
+    @wraps(work)
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
+        try:
+            yield from work(batches)
+        finally:
+            free_worker()
+
+    return rows
 
 
 def give_back() -> None:
     """Return freed memory to the system."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only the C library of Linux has it
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import BASE, OTHER_BASE, Rolling, mix, word_bounds, word_symbols
-from .common import dropped, free_worker, likely, numbered, semi, short_batches, small, text_or_empty, written
+from .common import dropped, likely, numbered, semi, short_batches, small, text_or_empty, tidy, written
 
 #: Ratio of the sizes at the ends of a band. Linked sets differ less in size, so each set stands in two bands at most.
 BAND = 1.2
@@ -122,8 +122,8 @@ def _buffers(column: pa.Array) -> list[bytes]:
 def _sets(width: int, least: int, frequent=None):
     """``frequent``: None for cells of blocks, else a broadcast of sorted hashes, for prefixes."""
 
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        free_worker()
         of = cells(least).of if frequent is None else lambda e: prefix(e, least, frequent.value)
         for batch in batches:
             n, name, found = [], [], []
@@ -323,8 +323,8 @@ def components(links: DataFrame) -> DataFrame:
 def _often_here(width: int, least: int, at_once: int = 2_000_000):
     """Elements that stand in two prefixes or more of a task's texts, with their counts."""
 
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        free_worker()
         none = np.zeros(0, dtype=np.uint64)
         held: list[np.ndarray] = []
         size = 0
@@ -336,7 +336,7 @@ def _often_here(width: int, least: int, at_once: int = 2_000_000):
 
         for batch in batches:
             for text in _buffers(batch.column("data")):
-                held.append(prefix(shingles(text, width), least, none, 1.25))
+                held.append(prefix(shingles(text, width), least, none, 1.25).copy())  # a view would hold the whole set
                 size += len(held[-1])
             if size > at_once:
                 yield out()
@@ -355,6 +355,7 @@ def bucket_counts(elements: np.ndarray) -> bytes:
 
 
 def _counts(width: int):
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(text, width) for text in _buffers(batch.column("data"))]
@@ -416,6 +417,7 @@ def _pruned(regions: DataFrame, counts: DataFrame, least: int, name: str, limit:
 def _star(width: int, least: int):
     """Links of the members of a cell (``member, data``) to its pivot (``p_data``)."""
 
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivot, p_set = None, np.zeros(0, dtype=np.uint64)
         for batch in batches:

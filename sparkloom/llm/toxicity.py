@@ -410,6 +410,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, held_ou
         free_worker()
         for batch in texts:
             yield pa.array(fitted.value.scores([x.as_buffer().to_pybytes() for x in batch]))
+        free_worker()
 
     rest = docs.drop("held_out", "score", "predicted")
     return (
