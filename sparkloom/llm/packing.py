@@ -13,10 +13,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORKER_CACHES, short_batches, text_or_empty, written
+from .common import WORKER_CACHES, give_back, short_batches, text_or_empty, written
 
 #: Words, and parts of words, whose ids a Python worker remembers at most.
-REMEMBERED = 700_000
+REMEMBERED = 250_000
 #: The split that the tokenizer file names; it never crosses white space. Fixed value.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Below this code point there is no combining mark, and lower case is the same everywhere.
@@ -91,6 +91,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def _pieces(path: str, size: int, end: int):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         ids_of = word_ids(path)
         last = end.to_bytes(4, "little")
         for batch in batches:
