@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
 from .html_text import extract
+from .infill import fill_in_middle, restored
 from .jaccard_join import jaccard_join
+from .licenses import licenses
 from .mixing import mix
 from .neighbours import neighbours
 from .packing import pack
@@ -65,6 +67,16 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_read(spark, sf_dir, "documents"), length=400)
 
 
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(_read(spark, sf_dir, "documents"), rate=100, spm=50, seed=7)
+    digests = [F.sha2(c.cast("binary"), 256).alias(n) for n, c in (("output_sha256", F.col("output")), ("restored_sha256", restored("output", "form")))]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_mix": op2_mix,
@@ -76,6 +88,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_neighbours": op8_neighbours,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op12_infill": op12_infill,
+    "op13_licenses": op13_licenses,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -105,4 +119,17 @@ WITH d AS (
 h AS (SELECT doc_id, sha256(norm) AS text_sha256 FROM d)
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, text_sha256
 FROM h WINDOW g AS (PARTITION BY text_sha256)""",
+    "op12_infill": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents),
+l AS (SELECT doc_id, t, s, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS l FROM d),
+h AS (
+  SELECT doc_id, t, l, CAST(len(l) AS BIGINT) AS n, CAST('0x' || substr(s, 1, 8) AS BIGINT) % (len(l) + 1) AS c1, CAST('0x' || substr(s, 9, 8) AS BIGINT) % (len(l) + 1) AS c2,
+         CAST('0x' || substr(s, 17, 8) AS BIGINT) % 100 AS r3, CAST('0x' || substr(s, 25, 8) AS BIGINT) % 100 AS r4 FROM l),
+p AS (
+  SELECT doc_id, n, t, array_to_string(l[1 : least(c1, c2)], '') AS p, array_to_string(l[least(c1, c2) + 1 : greatest(c1, c2)], '') AS m, array_to_string(l[greatest(c1, c2) + 1 : n], '') AS s,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r3 >= 100 THEN 'plain' WHEN r4 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(p || m || s) AS restored_sha256
+FROM p""",
 }
