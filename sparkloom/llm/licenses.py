@@ -39,7 +39,7 @@ NOTICES = (
 
 
 def needed(words: int) -> int:
-    """How many words of a notice have to stand in a text: all of a short one, four fifths of one with ten and more."""
+    """How many words of a notice have to stand in a text: all of a short one, one after another, and four fifths of one with ten and more."""
     return words if words < 10 else -(-4 * words // 5)
 
 
@@ -101,7 +101,8 @@ def license_spans(rows: DataFrame, k: int = 3, slack: int = 3, phrases=PHRASES,
         F.min(F.col("diagonal") + F.array_min("at")).cast("long").alias("first_word"),
         F.max(F.col("diagonal") + F.array_max("at") + F.col("k") - 1).cast("long").alias("last_word"),
     )
-    long = merged.select("rid", "template", F.when(F.col("found") >= F.col("needed"), F.col("label")).alias("label"), "base", "first_word", "last_word", (F.col("found") / F.col("words")).alias("share"))
+    unbroken = (F.col("words") >= 10) | (F.col("last_word") - F.col("first_word") + 1 == F.col("words"))
+    long = merged.select("rid", "template", F.when((F.col("found") >= F.col("needed")) & unbroken, F.col("label")).alias("label"), "base", "first_word", "last_word", (F.col("found") / F.col("words")).alias("share"))
     return whole.unionByName(long)
 
 
