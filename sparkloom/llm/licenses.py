@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import named, text_or_empty
+from .common import named, text_or_empty, written
 
 #: A word. Fixed value.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -61,10 +61,11 @@ def words_of(text: Column) -> Column:
 
 
 def _grams(words: str, k: int) -> Column:
-    """All runs of ``k`` words, joined by a space; empty for a text with fewer."""
-    starts = F.sequence(F.lit(1), F.size(words) - k + 1)
-    runs = F.transform(starts, lambda i: F.concat_ws(" ", *[F.element_at(words, i + j) for j in range(k)]))
-    return F.when(F.size(words) >= k, runs).otherwise(F.array().cast("array<string>"))
+    """All runs of ``k`` words as ``size, pos, gram`` (joined by a space); none of a text with fewer."""
+    starts = F.sequence(F.lit(0), F.size(words) - k)
+    gram = lambda i: F.concat_ws(" ", *[F.element_at(words, i + j + 1) for j in range(k)])
+    runs = F.transform(starts, lambda i: F.struct(F.lit(k).alias("size"), i.alias("pos"), gram(i).alias("gram")))
+    return F.when(F.size(words) >= k, runs).otherwise(F.array().cast("array<struct<size:int,pos:int,gram:string>>"))
 
 
 def license_spans(rows: DataFrame, k: int = 3, slack: int = 3, phrases=PHRASES, notices=NOTICES) -> DataFrame:
@@ -80,10 +81,7 @@ def license_spans(rows: DataFrame, k: int = 3, slack: int = 3, phrases=PHRASES,
     sizes = sorted({2} | {r.k for r in templates.select("k").distinct().collect()})  # of a fixed list
     templates = templates.withColumn("hash", F.xxhash64("template_gram"))
     tokens = rows.select("rid", words_of(F.col("text")).alias("w"))
-    seen = [tokens.select("rid", F.lit(size).alias("size"), F.posexplode(_grams("w", size)).alias("pos", "gram")) for size in sizes]
-    every = seen[0]
-    for more in seen[1:]:
-        every = every.unionByName(more)
+    every = tokens.select("rid", F.inline(F.concat(*[_grams("w", size) for size in sizes])))
     hits = (
         every.withColumn("hash", F.xxhash64("gram"))
         .join(F.broadcast(templates), "hash")  # some hundred rows: the fixed list
@@ -91,6 +89,7 @@ def license_spans(rows: DataFrame, k: int = 3, slack: int = 3, phrases=PHRASES,
     )
     same = ["template", "label", "base", "grams", "words", "needed", "k"]
     votes = hits.groupBy("rid", *same, (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.count(F.lit(1)).alias("votes"), F.sort_array(F.collect_set("at")).alias("at"))
+    votes = written(votes, "license-votes")  # few; texts are scanned once for both kinds of template
     whole = votes.where("base AND votes = grams").select("rid", "template", "label", "base", F.col("diagonal").cast("long").alias("first_word"), (F.col("diagonal") + F.col("words") - 1).cast("long").alias("last_word"), F.lit(1.0).alias("share"))
     along = W.partitionBy("rid", "template").orderBy("diagonal")
     far = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > slack, F.lit(True)).cast("int")
