@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
 from .html_text import extract
+from .importance import importance_resampling
 from .infill import fill_in_middle, restored
 from .jaccard_join import jaccard_join
 from .licenses import licenses
@@ -67,6 +68,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_read(spark, sf_dir, "documents"), length=400)
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), buckets=10_000, percent=5, least_words=20, seed=42)
+
+
 def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_in_middle(_read(spark, sf_dir, "documents"), rate=100, spm=50, seed=7)
     digests = [F.sha2(c.cast("binary"), 256).alias(n) for n, c in (("output_sha256", F.col("output")), ("restored_sha256", restored("output", "form")))]
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_neighbours": op8_neighbours,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_importance": op11_importance,
     "op12_infill": op12_infill,
     "op13_licenses": op13_licenses,
 }
@@ -119,6 +125,33 @@ WITH d AS (
 h AS (SELECT doc_id, sha256(norm) AS text_sha256 FROM d)
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, text_sha256
 FROM h WINDOW g AS (PARTITION BY text_sha256)""",
+    "op11_importance": r"""
+WITH crc AS (
+  SELECT list(c ORDER BY i) AS tab FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) t(i))),
+x AS (
+  SELECT 'd' AS side, row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents
+  UNION ALL SELECT 't', row_number() OVER (), NULL, coalesce(text, '') FROM benchmark),
+w AS (SELECT side, row, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM x),
+g AS (
+  SELECT side, row, unnest(w) AS g FROM w
+  UNION ALL SELECT side, row, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w
+  UNION ALL SELECT side, row, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM w),
+u AS (SELECT g, hex(encode(g)) AS h FROM (SELECT DISTINCT g FROM g)),
+b AS (
+  SELECT g, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(h) // 2), lambda i: CAST('0x' || h[2 * i + 1 : 2 * i + 2] AS BIGINT))),
+         lambda c, v: xor(tab[(xor(c, v) & 255) + 1], c >> 8)), 4294967295) % 10000 AS bucket FROM u, crc),
+n AS (
+  SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 't') AS t FROM g JOIN b USING (g) GROUP BY 1),
+a AS (SELECT CAST(sum(s) AS DOUBLE) + 10000 AS s_all, CAST(sum(t) AS DOUBLE) + 10000 AS t_all FROM n),
+k AS (SELECT bucket, CAST(floor(1000.0 * ln((CAST(t AS DOUBLE) + 1) * s_all / ((CAST(s AS DOUBLE) + 1) * t_all))) AS BIGINT) AS gain FROM n, a),
+f AS (SELECT row, CAST(count(*) AS BIGINT) AS n_features, CAST(sum(gain) AS BIGINT) AS weight FROM g JOIN b USING (g) JOIN k USING (bucket) WHERE side = 'd' GROUP BY 1),
+e AS (
+  SELECT doc_id, len(w.w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM w LEFT JOIN f USING (row) WHERE side = 'd'),
+z AS (SELECT *, weight + CAST(floor(-1000.0 * ln(-ln((h + 0.5) / 4294967296.0))) AS BIGINT) AS score FROM e),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) FILTER (n_words >= 20) OVER () AS many FROM z)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 5 * many // 100 THEN place END AS rank FROM r""",
     "op12_infill": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents),
 l AS (SELECT doc_id, t, s, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS l FROM d),
