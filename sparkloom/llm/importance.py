@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, tidy, written
+from .common import free_worker, text_or_empty, tidy, written
 
 #: Runs of one to three words.
 ORDERS = 3
@@ -79,70 +79,122 @@ def groups(texts: Iterable[bytes | memoryview], at_once: int = AT_ONCE) -> Itera
 # The dictionary of distinct features
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers as bytes, all lowest ones first: high bytes are mostly alike."""
+    wide = 1 if x.max(initial=0) < 1 << 8 else 2 if x.max(initial=0) < 1 << 16 else 4
+    return bytes([wide]) + np.ascontiguousarray(x.astype(f"<u{wide}").view(np.uint8).reshape(len(x), wide).T).tobytes()
+
+
+def _number(body: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
+    wide = body[at]
+    planes = np.frombuffer(body, dtype=np.uint8, count=wide * n, offset=at + 1).reshape(wide, n)
+    return np.ascontiguousarray(planes.T).view(f"<u{wide}").ravel().astype(np.int64), at + 1 + wide * n
+
+
 def _packed(group: Group, parts: int) -> Iterator[tuple[int, int, bytes]]:
-    """Distinct features of a group and how often each is there, by part: ``(part, size, zstd bytes)``. A part has its words once and features as their numbers."""
-    words = list(group.number)
-    hashed = np.array([zlib.crc32(w) for w in words], dtype=np.uint64)
-    ids, n = group.ids, len(words)
-    levels = []
-    for order, start, _ in group.runs():
-        key = ids[start]
-        for k in range(1, order):
-            key = key * n + ids[start + k]
-        key, count = np.unique(key, return_counts=True)
-        columns = []
-        for _ in range(order):
-            key, last = np.divmod(key, n)
-            columns.insert(0, last)
-        mixed = np.zeros(len(count), dtype=np.uint64)
-        for c in columns:
-            mixed = (mixed + hashed[c] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        part = ((mixed >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
-        order_of = np.argsort(part, kind="stable")
-        levels.append(([c[order_of] for c in columns], count[order_of], np.searchsorted(part[order_of], np.arange(parts + 1))))
+    """Distinct features of a group and how often each is there, by part: ``(part, size, zstd bytes)``.
+
+    What is written are runs of three words, in order: how many of two begin with each word, the second word and the number of runs of each of these, the third
+    word and the count of each run. A run of two at the end of a text has no third word (number 0), so that runs of two are sums over those of three. Words are
+    numbered by how frequent they are, and spelt once a part. A part has all runs with the same two first words; single words are dealt by themselves."""
+    spelt, ids = list(group.number), group.ids
+    often = np.bincount(ids, minlength=len(spelt))
+    order = np.argsort(-often, kind="stable")
+    number = np.empty(len(spelt), dtype=np.int64)
+    number[order] = np.arange(1, len(spelt) + 1)
+    words, often = [spelt[i] for i in order.tolist()], often[order]
+    hashed = np.array([0, *map(zlib.crc32, words)], dtype=np.uint64)
+    n = len(words) + 1
+    (_, alone, _), (_, start, _), (_, third, _) = group.runs()
+    often = np.bincount(number[ids[alone]], minlength=n)[1:]  # without the words that a piece only looks ahead to
+    ids = number[ids]
+    key = (ids[start] * n + ids[start + 1]) * n
+    has = np.zeros(len(ids) + 1, dtype=bool)
+    has[third] = True
+    key += np.where(has[start], ids[np.minimum(start + 2, len(ids) - 1)], 0)
+    key, count = np.unique(key, return_counts=True)
+    two, w3 = np.divmod(key, n)
+    first = np.flatnonzero(np.concatenate(([True], two[1:] != two[:-1]))) if len(two) else np.zeros(0, dtype=np.int64)
+    runs = np.diff(np.append(first, len(two)))
+    w1, w2 = np.divmod(two[first], n)
+    dealt = [_part(hashed[1:], hashed[1:], parts), _part(hashed[w1], hashed[w2], parts)]
+    dealt.append(np.repeat(dealt[1], runs))
+    sorted_by = [np.argsort(x, kind="stable") for x in dealt]
+    ends = [np.searchsorted(x[by], np.arange(parts + 1)) for x, by in zip(dealt, sorted_by, strict=True)]
     for p in range(parts):
-        spans = [slice(ends[p], ends[p + 1]) for _, _, ends in levels]
-        columns = [[c[s] for c in cs] for (cs, _, _), s in zip(levels, spans, strict=True)]
-        used = np.unique(np.concatenate([c for cs in columns for c in cs]))
-        if not len(used):
+        one, two, three = (by[end[p] : end[p + 1]] for by, end in zip(sorted_by, ends, strict=True))
+        one = one[often[one] > 0]
+        if not len(one) and not len(two):
             continue
-        own = np.full(n, 0, dtype=np.uint32)
-        own[used] = np.arange(len(used), dtype=np.uint32)
-        kind = np.uint16 if len(used) <= 1 << 16 else np.uint32
-        counts = [c[s] for (_, c, _), s in zip(levels, spans, strict=True)]
-        wide = np.uint8 if max(int(c.max(initial=0)) for c in counts) < 256 else np.uint32
+        there = np.zeros(n, dtype=bool)
+        there[one + 1] = there[w1[two]] = there[w2[two]] = there[w3[three]] = True
+        there[0] = True
+        own = np.cumsum(there) - 1  # numbers in this part; 0 is no word
+        used = np.flatnonzero(there)[1:] - 1
         text = b" ".join([words[u] for u in used.tolist()])
-        head = np.array([len(text), np.dtype(kind).itemsize, np.dtype(wide).itemsize, *[len(c) for c in counts]], dtype=np.int64)
-        body = b"".join([head.tobytes(), text, *[own[c].astype(kind).tobytes() for cs in columns for c in cs], *[c.astype(wide).tobytes() for c in counts]])
-        yield p, len(body), pa.compress(body, codec="zstd", asbytes=True)
-
-
-def _unpacked(size: int, data: bytes) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """Features (strings) and counts of a part."""
-    body = pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True)
-    at = 8 * (3 + ORDERS)
-    n_text, kind, wide, *lengths = np.frombuffer(body, dtype=np.int64, count=3 + ORDERS).tolist()
-    words = pa.array(body[at : at + n_text].split(b" "), pa.binary())
-    at += n_text
-    features = []
-    for order, n in enumerate(lengths, 1):
-        columns = []
-        for _ in range(order):
-            columns.append(words.take(pa.array(np.frombuffer(body, dtype=f"u{kind}", count=n, offset=at).astype(np.int64))))
-            at += kind * n
-        features.append(columns[0] if order == 1 else pc.binary_join_element_wise(*columns, b" "))
-    for f, n in zip(features, lengths, strict=True):
-        yield f, pa.array(np.frombuffer(body, dtype=f"u{wide}", count=n, offset=at).astype(np.int64))
-        at += wide * n
-
-
-def feature_dictionary(texts: DataFrame, part_bytes: int = 3 << 20, at_once: int = 2 * AT_ONCE) -> DataFrame:
-    """Each distinct feature of ``texts`` (``text``) once, with the number of its places in all of them: ``feature, n``.
-
-    A task counts the features of some million words before they are shuffled, by a hash of the whole feature, so a frequent one is a row for each such
-    group and not for each place. They travel packed, as numbers of words, in parts of about ``part_bytes`` of text; a part is merged in one task and
-    its size doesn't grow with the table, their number does.
-    """
+        alone = np.zeros(len(used), dtype=np.int64)
+        alone[own[one + 1] - 1] = often[one]
+        head = np.array([len(text), len(used), len(two), len(three)], dtype=np.int64)
+        body = b"".join([head.tobytes(), text, *map(_planes, (alone, np.bincount(own[w1[two]], minlength=len(used) + 1), own[w2[two]], runs[two], own[w3[three]], count[three]))])
+        yield p, len(body), _CODEC.compress(body, asbytes=True)
+
+
+_CODEC = pa.Codec("zstd", compression_level=3)
+
+
+def _part(a: np.ndarray, b: np.ndarray, parts: int) -> np.ndarray:
+    mixed = (a * np.uint64(0x9E3779B97F4A7C15) + b + np.uint64(1)) * np.uint64(0xD1342543DE82EF95)
+    return ((mixed >> np.uint64(33)) % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int64)  # 16 bits are sorted by digits
+
+
+class Part:
+    """Distinct features of a part of the dictionary: ``words`` and, for each order, their numbers in columns and how often each feature is there."""
+
+    def __init__(self, sizes: list[int], packed: list[bytes]) -> None:
+        number: defaultdict[bytes, int] = defaultdict()
+        number.default_factory = number.__len__
+        ones, keys, counts = [], [], []
+        read = []
+        for size, data in zip(sizes, packed, strict=True):
+            body = _CODEC.decompress(data, decompressed_size=size, asbytes=True)
+            n_text, n_words, n_two, n_three = np.frombuffer(body, dtype=np.int64, count=4).tolist()
+            spelt = body[32 : 32 + n_text].split(b" ") if n_words else []
+            own = np.fromiter(map(number.__getitem__, spelt), np.int64, n_words)
+            at, columns = 32 + n_text, []
+            for n in (n_words, n_words + 1, n_two, n_two, n_three, n_three):
+                column, at = _number(body, at, n)
+                columns.append(column)
+            read.append((np.concatenate(([-1], own)), columns))
+        self.words = list(number)
+        n = len(self.words) + 1
+        for own, (alone, fan, w2, runs, w3, count) in read:
+            ones.append(np.stack((own[1:], alone)))
+            w1 = np.repeat(own, fan)
+            keys.append((np.repeat(w1 * n + own[w2], runs)) * n + own[w3] + 1)
+            counts.append(count)
+        one = np.concatenate(ones, axis=1) if ones else np.zeros((2, 0), dtype=np.int64)
+        alone = np.bincount(one[0], weights=one[1], minlength=n - 1).astype(np.int64)
+        key, count = _summed(np.concatenate(keys or [one[0]]), np.concatenate(counts or [one[0]]))
+        two, count2 = _summed(key // n, count)
+        whole = key % n > 0
+        three, count3 = key[whole], count[whole]
+        seen = np.flatnonzero(alone)
+        self.columns = [[seen], list(np.divmod(two, n)), [*np.divmod(three // n, n), three % n - 1]]
+        self.counts = [alone[seen], count2, count3]
+
+
+def _summed(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(key, kind="stable")
+    key, count = key[order], count[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, dtype=np.int64)
+    return key[first], np.add.reduceat(count, first) if len(first) else count
+
+
+def _dictionary(texts: DataFrame, part_bytes: int, at_once: int, merge, schema: str) -> DataFrame:
+    """``merge`` of each part of the dictionary.
+
+    A task counts the features of about a million words before they are shuffled, so a frequent one is a row for each such group and not for each place. They
+    travel packed, in parts of about ``part_bytes`` of text; a part is merged in one task and its size doesn't grow with the table, the number of parts does."""
     data = texts.select(text_or_empty().cast("binary").alias("data"))
     parts = max(1, -(-int(data.agg(F.sum(F.length("data"))).first()[0] or 0) // part_bytes))
 
@@ -151,20 +203,39 @@ def feature_dictionary(texts: DataFrame, part_bytes: int = 3 << 20, at_once: int
             rows = list(zip(*_packed(group, parts), strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.binary())], names=["part", "size", "packed"])
 
-    def merge(table: pa.Table) -> pa.Table:
-        found = [x for size, data in zip(table["size"].to_pylist(), table["packed"].to_pylist(), strict=True) for x in _unpacked(size, data)]
-        whole = pa.table({"feature": pa.chunked_array([f for f, _ in found], pa.binary()), "n": pa.chunked_array([n for _, n in found], pa.int64())})
-        summed = whole.group_by("feature").aggregate([("n", "sum")])
-        return pa.table({"feature": summed["feature"].cast(pa.string()), "n": summed["n_sum"]})
+    def merged(table: pa.Table) -> pa.Table:
+        out = merge(Part(table["size"].to_pylist(), table["packed"].to_pylist()))
+        free_worker()
+        return out
 
     packed = data.mapInArrow(tidy(pack), "part int, size long, packed binary")
-    return packed.groupBy("part").applyInArrow(merge, "feature string, n long")
+    return packed.groupBy("part").applyInArrow(merged, schema)
+
+
+def feature_dictionary(texts: DataFrame, part_bytes: int = 8 << 20, at_once: int = 2 * AT_ONCE) -> DataFrame:
+    """Each distinct feature of ``texts`` (``text``) once, with the number of its places in all of them: ``feature, n``."""
+
+    def spelt(part: Part) -> pa.Table:
+        words = pa.array(part.words, pa.binary())
+        found = [[words.take(pa.array(c)) for c in columns] for columns in part.columns]
+        joined = [c[0] if len(c) == 1 else pc.binary_join_element_wise(*c, b" ") for c in found]
+        return pa.table({"feature": pa.chunked_array(joined, pa.binary()).cast(pa.string()), "n": np.concatenate(part.counts)})
 
+    return _dictionary(texts, part_bytes, at_once, spelt, "feature string, n long")
 
-def bucket_counts(texts: DataFrame, buckets: int) -> DataFrame:
-    """``bucket, n``: how many places features of each bucket have; each distinct feature is hashed once."""
-    bucket = F.pmod(F.crc32(F.col("feature").cast("binary")), F.lit(buckets)).alias("bucket")
-    return feature_dictionary(texts).groupBy(bucket).agg(F.sum("n").alias("n"))
+
+def bucket_counts(texts: DataFrame, buckets: int, part_bytes: int = 8 << 20, at_once: int = 2 * AT_ONCE) -> DataFrame:
+    """``bucket, n``: how many places features of each bucket have. Each distinct feature of the dictionary is hashed once; a part's are summed by bucket."""
+
+    def hashed(part: Part) -> pa.Table:
+        bytes_of = Hashes(part.words)
+        n = np.zeros(buckets, dtype=np.int64)
+        for columns, count in zip(part.columns, part.counts, strict=True):
+            np.add.at(n, bytes_of.of(columns) % np.uint32(buckets), count)
+        there = np.flatnonzero(n)
+        return pa.table({"bucket": there, "n": n[there]})
+
+    return _dictionary(texts, part_bytes, at_once, hashed, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 def bucket_gains(docs: DataFrame, target: DataFrame, buckets: int) -> DataFrame:
@@ -218,18 +289,30 @@ def shifted(crc: np.ndarray, by: np.ndarray) -> np.ndarray:
     return out
 
 
+class Hashes:
+    """CRC-32 of runs of words from those of the words, each of which is hashed once."""
+
+    def __init__(self, words: list[bytes]) -> None:
+        self.plain = np.array([zlib.crc32(w) for w in words], dtype=np.uint32)
+        self.spaced = np.array([zlib.crc32(b" ", c) for c in self.plain.tolist()], dtype=np.uint32)
+        self.length = np.array([len(w) for w in words], dtype=np.int64)
+
+    def of(self, columns: list[np.ndarray]) -> np.ndarray:
+        """Of the words numbered in ``columns``, joined by a space."""
+        *before, last = columns
+        if not before:
+            return self.plain[last]
+        crc = self.spaced[before[0]]
+        for w in before[1:]:
+            crc = shifted(crc, self.length[w] + 1) ^ self.spaced[w]
+        return shifted(crc, self.length[last]) ^ self.plain[last]
+
+
 def weights(group: Group, gains: np.ndarray) -> Iterator[np.ndarray]:
-    """For each order, summed gains of the features of each piece of a group. Each distinct word is hashed once; hashes of runs are put together from them."""
-    words = list(group.number)
-    plain = np.array([zlib.crc32(w) for w in words], dtype=np.uint32)
-    spaced = np.array([zlib.crc32(b" ", c) for c in plain.tolist()], dtype=np.uint32)
-    length = np.array([len(w) for w in words], dtype=np.int64)
-    ids = group.ids
+    """For each order, summed gains of the features of each piece of a group."""
+    hashes, ids = Hashes(list(group.number)), group.ids
     for order, start, piece in group.runs():
-        crc = spaced[ids[start]] if order > 1 else plain[ids[start]]
-        for k in range(1, order):
-            w = ids[start + k]
-            crc = shifted(crc, length[w]) ^ plain[w] if k == order - 1 else shifted(crc, length[w] + 1) ^ spaced[w]
+        crc = hashes.of([ids[start + k] for k in range(order)])
         yield np.bincount(piece, weights=gains[crc % np.uint32(len(gains))].astype(np.float64), minlength=len(group.pieces)).astype(np.int64)
 
 
