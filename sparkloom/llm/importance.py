@@ -169,17 +169,27 @@ class Part:
         n = len(self.words) + 1
         for own, (alone, fan, w2, runs, w3, count) in read:
             ones.append(np.stack((own[1:], alone)))
-            w1 = np.repeat(own, fan)
-            keys.append((np.repeat(w1 * n + own[w2], runs)) * n + own[w3] + 1)
+            keys.append((np.repeat(np.repeat(own, fan) * n + own[w2], runs), own[w3] + 1))
             counts.append(count)
-        one = np.concatenate(ones, axis=1) if ones else np.zeros((2, 0), dtype=np.int64)
+        read.clear()
+        none = np.zeros(0, dtype=np.int64)
+        one = np.concatenate(ones, axis=1) if ones else np.stack((none, none))
         alone = np.bincount(one[0], weights=one[1], minlength=n - 1).astype(np.int64)
-        key, count = _summed(np.concatenate(keys or [one[0]]), np.concatenate(counts or [one[0]]))
+        pair, last = (np.concatenate([k[i] for k in keys] or [none]) for i in (0, 1))
+        keys.clear()
+        pairs = None
+        if n > MOST_WORDS:  # three numbers don't fit 63 bits: pairs are numbered
+            pairs, pair = np.unique(pair, return_inverse=True)
+        pair *= n
+        pair += last
+        key, count = _summed(pair, np.concatenate(counts or [none]))
         two, count2 = _summed(key // n, count)
         whole = key % n > 0
         three, count3 = key[whole], count[whole]
+        before = three // n
+        two, before = (two, before) if pairs is None else (pairs[two], pairs[before])
         seen = np.flatnonzero(alone)
-        self.columns = [[seen], list(np.divmod(two, n)), [*np.divmod(three // n, n), three % n - 1]]
+        self.columns = [[seen], list(np.divmod(two, n)), [*np.divmod(before, n), three % n - 1]]
         self.counts = [alone[seen], count2, count3]
 
 
@@ -212,7 +222,7 @@ def _dictionary(texts: DataFrame, part_bytes: int, at_once: int, merge, schema:
     return packed.groupBy("part").applyInArrow(merged, schema)
 
 
-def feature_dictionary(texts: DataFrame, part_bytes: int = 8 << 20, at_once: int = 2 * AT_ONCE) -> DataFrame:
+def feature_dictionary(texts: DataFrame, part_bytes: int = 24 << 20, at_once: int = 2 * AT_ONCE) -> DataFrame:
     """Each distinct feature of ``texts`` (``text``) once, with the number of its places in all of them: ``feature, n``."""
 
     def spelt(part: Part) -> pa.Table:
@@ -224,7 +234,7 @@ def feature_dictionary(texts: DataFrame, part_bytes: int = 8 << 20, at_once: int
     return _dictionary(texts, part_bytes, at_once, spelt, "feature string, n long")
 
 
-def bucket_counts(texts: DataFrame, buckets: int, part_bytes: int = 8 << 20, at_once: int = 2 * AT_ONCE) -> DataFrame:
+def bucket_counts(texts: DataFrame, buckets: int, part_bytes: int = 24 << 20, at_once: int = 2 * AT_ONCE) -> DataFrame:
     """``bucket, n``: how many places features of each bucket have. Each distinct feature of the dictionary is hashed once; a part's are summed by bucket."""
 
     def hashed(part: Part) -> pa.Table:

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sparkloom.llm import importance
 from sparkloom.llm.importance import Group, feature_dictionary, groups, importance_resampling, shifted
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -63,6 +64,18 @@ def test_dictionary(spark):
         assert len(got) == len(want) and {r.feature: r.n for r in got} == want
 
 
+def test_numbered_pairs(monkeypatch):
+    """A part with too many words for three numbers in 63 bits."""
+    texts_ = [x.encode() for x in texts(80, 4)]
+    packed = [x for g in groups(texts_, 300) for x in importance._packed(g, 1)]
+    found = []
+    for most in (importance.MOST_WORDS, 3):
+        monkeypatch.setattr(importance, "MOST_WORDS", most)
+        part = importance.Part([n for _, n, _ in packed], [b for _, _, b in packed])
+        found.append({b" ".join(part.words[w] for w in f): c for cols, counts in zip(part.columns, part.counts, strict=True) for *f, c in zip(*(x.tolist() for x in cols), counts.tolist(), strict=True)})
+    assert found[0] == found[1] == Counter(f.encode() for x in texts(80, 4) for f in features(x)[1])
+
+
 def test_many_different_words():
     """More words than 16 bits number, and a text cut in pieces."""
     words = b" ".join(b"v%d" % i for i in range(150_000))
