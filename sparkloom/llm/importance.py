@@ -20,6 +20,8 @@ from .common import free_worker, text_or_empty, tidy, written
 ORDERS = 3
 #: Words that are worked on at once; a longer text is cut in pieces that overlap by two words.
 AT_ONCE = 1 << 20
+#: So many words are numbered by how frequent they are.
+FREQUENT = 1024
 #: Different words of a group at most, so that three of their numbers fit 63 bits.
 MOST_WORDS = 2_000_000
 
@@ -95,11 +97,12 @@ def _packed(group: Group, parts: int) -> Iterator[tuple[int, int, bytes]]:
     """Distinct features of a group and how often each is there, by part: ``(part, size, zstd bytes)``.
 
     What is written are runs of three words, in order: how many of two begin with each word, the second word and the number of runs of each of these, the third
-    word and the count of each run. A run of two at the end of a text has no third word (number 0), so that runs of two are sums over those of three. Words are
-    numbered by how frequent they are, and spelt once a part. A part has all runs with the same two first words; single words are dealt by themselves."""
+    word and the count of each run. A run of two at the end of a text has no third word (number 0), so that runs of two are sums over those of three. The most
+    frequent words have the smallest numbers, the others are numbered as they are sorted, and all are spelt once a part. A part has all runs with the same two first words; single words are dealt by themselves."""
     spelt, ids = list(group.number), group.ids
     often = np.bincount(ids, minlength=len(spelt))
     order = np.argsort(-often, kind="stable")
+    order = np.concatenate((order[:FREQUENT], np.array(sorted(order[FREQUENT:].tolist(), key=spelt.__getitem__), dtype=np.int64)))
     number = np.empty(len(spelt), dtype=np.int64)
     number[order] = np.arange(1, len(spelt) + 1)
     words, often = [spelt[i] for i in order.tolist()], often[order]
@@ -139,7 +142,7 @@ def _packed(group: Group, parts: int) -> Iterator[tuple[int, int, bytes]]:
         yield p, len(body), _CODEC.compress(body, asbytes=True)
 
 
-_CODEC = pa.Codec("zstd", compression_level=3)
+_CODEC = pa.Codec("zstd", compression_level=6)
 
 
 def _part(a: np.ndarray, b: np.ndarray, parts: int) -> np.ndarray:
@@ -222,7 +225,7 @@ def _dictionary(texts: DataFrame, part_bytes: int, at_once: int, merge, schema:
     return packed.groupBy("part").applyInArrow(merged, schema)
 
 
-def feature_dictionary(texts: DataFrame, part_bytes: int = 24 << 20, at_once: int = 2 * AT_ONCE) -> DataFrame:
+def feature_dictionary(texts: DataFrame, part_bytes: int = 12 << 20, at_once: int = 2 * AT_ONCE) -> DataFrame:
     """Each distinct feature of ``texts`` (``text``) once, with the number of its places in all of them: ``feature, n``."""
 
     def spelt(part: Part) -> pa.Table:
@@ -234,7 +237,7 @@ def feature_dictionary(texts: DataFrame, part_bytes: int = 24 << 20, at_once: in
     return _dictionary(texts, part_bytes, at_once, spelt, "feature string, n long")
 
 
-def bucket_counts(texts: DataFrame, buckets: int, part_bytes: int = 24 << 20, at_once: int = 2 * AT_ONCE) -> DataFrame:
+def bucket_counts(texts: DataFrame, buckets: int, part_bytes: int = 12 << 20, at_once: int = 2 * AT_ONCE) -> DataFrame:
     """``bucket, n``: how many places features of each bucket have. Each distinct feature of the dictionary is hashed once; a part's are summed by bucket."""
 
     def hashed(part: Part) -> pa.Table:
