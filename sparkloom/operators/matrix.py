@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,11 +73,47 @@ def tiles(a: DataFrame, width: int) -> DataFrame:
     return a.groupBy("i", F.floor(F.col("k") / F.lit(width)).alias("tile")).agg(F.min("k").alias("first_k"), F.max("k").alias("last_k"), F.count(F.lit(1)).alias("entries"))
 
 
+def shuffled(n: int, seed: int, rounds: int = 6) -> Callable[[np.ndarray], np.ndarray]:
+    """A seeded permutation of ``range(n)``, number by number: a Feistel network over the smallest even number of bits that holds ``n``; what comes out
+    at ``n`` or above goes through again until it falls below. At most four times ``n`` numbers are walked through."""
+    half = max(1, -(-max(1, (n - 1).bit_length()) // 2))
+    mask = np.uint64((1 << half) - 1)
+    keys = np.random.default_rng(seed).integers(0, 1 << 63, rounds, dtype=np.uint64)
+
+    def once(x: np.ndarray) -> np.ndarray:
+        left, right = x >> np.uint64(half), x & mask
+        for k in keys:
+            h = (right + k) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            left, right = right, left ^ ((h >> np.uint64(32)) & mask)
+        return (left << np.uint64(half)) | right
+
+    def permute(x: np.ndarray) -> np.ndarray:
+        out = once(x.astype(np.uint64))
+        while len(out_of := np.flatnonzero(out >= np.uint64(n))):
+            out[out_of] = once(out[out_of])
+        return out.astype(np.int64)
+
+    return permute
+
+
 def random_sparse(spark: SparkSession, rows: int, columns: int, zeros: float, seed: int) -> DataFrame:
-    """Exactly ``int(rows * columns * (1 - zeros))`` entries at seeded random places, normally distributed."""
+    """Exactly ``int(rows * columns * (1 - zeros))`` entries at seeded random places, each once, normally distributed.
+
+    Places are the first so many of a seeded permutation of all cells, so nothing is sorted, shuffled or drawn twice, and cells that
+    stay zero cost nothing."""
     wanted = int(rows * columns * (1 - zeros))
-    places = spark.range(rows * columns).withColumn("r", F.rand(seed)).orderBy("r", "id").limit(wanted)
-    return places.select(F.floor(F.col("id") / columns).alias("i"), (F.col("id") % columns).alias("k"), F.randn(seed + 1).alias("v"))
+    if wanted == 0:
+        return spark.createDataFrame([], "i long, k long, v double")
+
+    @F.pandas_udf("long")
+    def place(ids: pd.Series) -> pd.Series:
+        return pd.Series(shuffled(rows * columns, seed)(ids.to_numpy()))
+
+    u = [F.xxhash64("id", F.lit(seed), F.lit(part)).bitwiseAND(F.lit((1 << 52) - 1)) for part in (1, 2)]
+    normal = F.sqrt(-2 * F.log((u[0] + 1) / F.lit(float(1 << 52)))) * F.cos(u[1] * F.lit(2 * math.pi / (1 << 52)))
+    at = spark.range(wanted).select(place("id").alias("at"), normal.alias("v"))
+    return at.select(F.floor(F.col("at") / columns).alias("i"), (F.col("at") % columns).alias("k"), "v")
 
 
 def random_dense(spark: SparkSession, rows: int, columns: int, seed: int) -> DataFrame:

@@ -18,6 +18,20 @@ def gaps(events: DataFrame, key: str = "user_id", time: str = "ts", ping_after:
     return known.withColumn("what", what)
 
 
+def deadlines(events: DataFrame, key: str = "user_id", time: str = "ts", ping_after: float = 15, drop_after: float = 30, until: int | None = None) -> DataFrame:
+    """What a server does while clients are silent: ``send ping`` at ``ping_after`` seconds after each sign of life and ``send drop`` at ``drop_after``, if the
+    next one hasn't come by then. ``until`` (microseconds; else the last time of all clients) ends what comes after a client's last sign.
+    Rows without key or time are left out. Returns ``key, us, what``."""
+    us = F.unix_micros(F.col(time).cast("timestamp"))
+    known = events.where(F.col(key).isNotNull() & F.col(time).isNotNull()).select(key, us.alias("us"))
+    after = F.lead("us").over(W.partitionBy(key).orderBy("us"))
+    last = known.agg(F.max("us").alias("end")) if until is None else known.sparkSession.range(1).select(F.lit(until).cast("long").alias("end"))
+    next_ = known.withColumn("next", after).join(F.broadcast(last)).withColumn("before", F.coalesce("next", F.col("end") + 1))
+    whats = F.array(*[F.struct(F.lit(w).alias("what"), F.lit(round(s * 1e6)).cast("long").alias("after")) for w, s in (("send ping", ping_after), ("send drop", drop_after))])
+    each = next_.select(key, "us", "before", F.inline(whats))
+    return each.where(F.col("us") + F.col("after") < F.col("before")).select(key, (F.col("us") + F.col("after")).alias("us"), "what")
+
+
 def sessions(events: DataFrame, key: str = "user_id", time: str = "ts", timeout: str = "30 seconds") -> DataFrame:
     """Runs of events of a client without a gap of ``timeout``: start, end (last event) and number of events."""
     return events.groupBy(key, F.session_window(time, timeout).alias("w")).agg(F.count(F.lit(1)).alias("events"), F.max(time).alias("last")).select(key, F.col("w.start").alias("start"), "last", "events")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbers
-from ..operators import automaton, changes, matrix, nested, packed, quant, sessions, shapes, spatial, tomography, voxel
+from ..operators import automaton, changes, commands, levels, matrix, nested, packed, quant, sessions, shapes, spatial, tomography, voxel
 from ..sources import blocks_gzip
 from ..sources.tables import lookup, table
 
@@ -373,6 +373,31 @@ def fluid_step(spark, d):
     return voxel.fluid_step(_world(spark, d), _SIDE)
 
 
+# Scheduled commands: events enter them, a sign-up clears all of its world
+
+_COMMANDS = (
+    "c AS (SELECT user_id % 20 AS world, event_id // 10 AS entered, event_id AS nth, CASE WHEN event_type = 'signup' AND event_id % 3 = 0 THEN 'clear' ELSE 'sched' END AS verb, event_id // 10 + CAST(floor(value) AS BIGINT) % 40 - 2 AS due FROM events), "
+    "n AS (SELECT *, min(CASE WHEN verb = 'clear' THEN entered END) OVER (PARTITION BY world ORDER BY nth ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS cleared FROM c)"
+)
+
+
+def _commands(spark: SparkSession, d: str) -> DataFrame:
+    e = F.col("event_id")
+    at = F.floor(e / 10)
+    verb = F.when((F.col("event_type") == "signup") & (e % 3 == 0), "clear").otherwise("sched")
+    return table(spark, d, "events").select((F.col("user_id") % 20).alias("world"), at.alias("tick"), e.alias("nth"), verb.alias("verb"), (at + F.floor("value") % 40 - 2).alias("due"))
+
+
+@_query(f"WITH {_COMMANDS} SELECT world, nth, entered, due AS tick FROM n WHERE verb = 'sched' AND due > entered AND (cleared IS NULL OR cleared >= due)")
+def scheduled_commands(spark, d):
+    return commands.firings(_commands(spark, d), ["world"]).select("world", "nth", "entered", "tick")
+
+
+@_query(f"WITH {_COMMANDS} SELECT world, nth, entered AS tick, cleared FROM n WHERE verb = 'sched'")
+def schedule_lifetimes(spark, d):
+    return commands.lifetimes(_commands(spark, d), ["world"]).select("world", "nth", "tick", "cleared")
+
+
 # Snapshots: events as writes of users at ticks
 
 _SERIES = "s AS (SELECT event_id % 30 AS tick, user_id AS cell, max(CAST(floor(value) AS BIGINT) % 5) AS state FROM events GROUP BY 1, 2)"
@@ -492,6 +517,61 @@ def box_union(spark, d):
     return spatial.union_box(_boxes(spark, d).withColumn("part", F.col("id") % 5), ["part"]).withColumn("surface", F.round("surface", 6))
 
 
+# Boxes and spheres from 1 to a million wide
+
+_ANY_SIZE = """
+h AS (SELECT s_suppkey AS id, pow(10.0, s_suppkey % 7) / 2 AS h, s_acctbal AS x, CAST(s_suppkey % 997 AS DOUBLE) * 10 AS y, CAST(s_nationkey AS DOUBLE) AS z FROM supplier),
+w AS (SELECT id, x - h AS lo_x, x + h AS hi_x, y - h AS lo_y, y + h AS hi_y, z - h AS lo_z, z + h AS hi_z FROM h)"""
+_TOUCHING = "a.lo_x < b.hi_x AND b.lo_x < a.hi_x AND a.lo_y < b.hi_y AND b.lo_y < a.hi_y AND a.lo_z < b.hi_z AND b.lo_z < a.hi_z"
+
+
+def _any_size(spark: SparkSession, d: str) -> DataFrame:
+    """Middles and half widths."""
+    k = F.col("s_suppkey")
+    half = (F.pow(F.lit(10.0), k % 7) / 2).alias("h")
+    return table(spark, d, "supplier").select(k.alias("id"), half, F.col("s_acctbal").alias("x"), ((k % 997).cast("double") * 10).alias("y"), F.col("s_nationkey").cast("double").alias("z"))
+
+
+def _wide_boxes(spark: SparkSession, d: str) -> DataFrame:
+    return _any_size(spark, d).select("id", *[e.alias(n) for c in "xyz" for e, n in ((F.col(c) - F.col("h"), f"lo_{c}"), (F.col(c) + F.col("h"), f"hi_{c}"))])
+
+
+@_query(f"WITH {_POINTS}, {_ANY_SIZE} SELECT p.id AS point_id, w.id AS box_id FROM p, w WHERE {_INSIDE} AND z > lo_z AND z < hi_z")
+def boxes_of_any_size(spark, d):
+    return levels.boxes_of_points(_points(spark, d), _wide_boxes(spark, d))
+
+
+@_query(f"WITH {_ANY_SIZE} SELECT a.id AS a_id, b.id AS b_id FROM w a, w b WHERE {_TOUCHING}")
+def touching_of_any_size(spark, d):
+    boxes = _wide_boxes(spark, d)
+    return levels.touching_boxes(boxes, boxes)
+
+
+@_query(f"WITH {_POINTS}, {_ANY_SIZE} SELECT p.id AS point_id, h.id AS sphere_id FROM p, h WHERE (p.x - h.x) * (p.x - h.x) + (p.y - h.y) * (p.y - h.y) + (p.z - h.z) * (p.z - h.z) < h * h")
+def spheres_of_any_size(spark, d):
+    return levels.spheres_of_points(_points(spark, d), _any_size(spark, d).withColumnRenamed("h", "r"))
+
+
+_D2 = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)"
+_BOTH = f"WITH {_ANY_SIZE}, t AS (SELECT a.id AS a_id, b.id AS b_id, a.x AS ax, a.y AS ay, a.z AS az, a.h AS r, b.x AS bx, b.y AS by_, b.z AS bz, b.h AS s, sqrt({_D2}) AS d FROM h a, h b WHERE a.id < b.id AND {_D2} < (a.h + b.h) * (a.h + b.h))"
+
+
+def _touching_spheres(spark: SparkSession, d: str) -> DataFrame:
+    spheres = _any_size(spark, d).withColumnRenamed("h", "r")
+    return levels.touching_spheres(spheres, spheres).where("a_id < b_id")
+
+
+@_query(f"{_BOTH}, g AS (SELECT *, (d + r + s) / 2 AS g FROM t) SELECT a_id, b_id, " + ", ".join(f"round(CASE WHEN d + s <= r THEN a{c} WHEN d + r <= s THEN b{q} ELSE a{c} + (b{q} - a{c}) * ((g - r) / d) END, 6) AS {c}" for c, q in (("x", "x"), ("y", "y_"), ("z", "z"))) + ", round(CASE WHEN d + s <= r THEN r WHEN d + r <= s THEN s ELSE g END, 6) AS r FROM g")
+def sphere_union(spark, d):
+    return _touching_spheres(spark, d).select("a_id", "b_id", *[F.round(c, 6).alias(n) for c, n in zip(levels.union_sphere(), "xyzr", strict=True)])
+
+
+@_query(f"{_BOTH} SELECT a_id, b_id, " + ", ".join(f"round(CASE WHEN d > 0 THEN a{c} * (1 + (r - s) / d) + b{q} * (1 - (r - s) / d) END, 3) AS {c}" for c, q in (("x", "x"), ("y", "y_"), ("z", "z"))) + ", CASE WHEN d > 0 THEN round(d + r + s, 6) END AS r FROM t")
+def sphere_joined(spark, d):
+    x, y, z, r = levels.joined_sphere()
+    return _touching_spheres(spark, d).select("a_id", "b_id", *[F.round(c, 3).alias(n) for c, n in ((x, "x"), (y, "y"), (z, "z"))], F.round(r, 6).alias("r"))
+
+
 _VIEWERS = "v AS (SELECT s_suppkey AS viewer, CAST(s_suppkey % 50 AS INT) AS vx, s_nationkey AS vz, CAST(2 + s_suppkey % 5 AS INT) AS r FROM supplier), l AS (SELECT DISTINCT c_custkey % 100 + 1 AS viewer, CAST(c_custkey % 61 AS INT) AS cx, c_nationkey AS cz FROM customer)"
 
 
@@ -621,6 +701,14 @@ def keep_alive(spark, d):
     return out.select("user_id", F.unix_micros("ts").alias("us"), F.round("gap", 6).alias("gap"), "what")
 
 
+@_query(
+    "WITH g AS (SELECT user_id, epoch_us(ts) AS us, coalesce(lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts), (SELECT max(epoch_us(ts)) FROM events) + 1) AS before FROM events), "
+    "w(what, after) AS (VALUES ('send ping', 15000000000), ('send drop', 30000000000)) SELECT user_id, us + after AS us, what FROM g, w WHERE us + after < before"
+)
+def keep_alive_deadlines(spark, d):
+    return sessions.deadlines(_timed(spark, d), ping_after=15_000, drop_after=30_000)
+
+
 @_query(
     f"WITH {_GAP}, n AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= 7200 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM g) "
     "SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS last_us, count(*) AS events FROM n GROUP BY user_id, s"
