@@ -225,7 +225,7 @@ def _dictionary(texts: DataFrame, part_bytes: int, at_once: int, merge, schema:
     return packed.groupBy("part").applyInArrow(merged, schema)
 
 
-def feature_dictionary(texts: DataFrame, part_bytes: int = 12 << 20, at_once: int = 2 * AT_ONCE) -> DataFrame:
+def feature_dictionary(texts: DataFrame, part_bytes: int = 16 << 20, at_once: int = 2 * AT_ONCE) -> DataFrame:
     """Each distinct feature of ``texts`` (``text``) once, with the number of its places in all of them: ``feature, n``."""
 
     def spelt(part: Part) -> pa.Table:
@@ -237,7 +237,7 @@ def feature_dictionary(texts: DataFrame, part_bytes: int = 12 << 20, at_once: in
     return _dictionary(texts, part_bytes, at_once, spelt, "feature string, n long")
 
 
-def bucket_counts(texts: DataFrame, buckets: int, part_bytes: int = 12 << 20, at_once: int = 2 * AT_ONCE) -> DataFrame:
+def bucket_counts(texts: DataFrame, buckets: int, part_bytes: int = 16 << 20, at_once: int = 2 * AT_ONCE) -> DataFrame:
     """``bucket, n``: how many places features of each bucket have. Each distinct feature of the dictionary is hashed once; a part's are summed by bucket."""
 
     def hashed(part: Part) -> pa.Table:
