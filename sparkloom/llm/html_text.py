@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 
 from .common import short_batches
 
-#: Tags that don't end a block, tags without content, tags whose content is no text. Fixed values of HTML.
-INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+#: Tags that don't end a block (those of formulas and drawings too), tags without content, tags whose content is no text: scripts, styles and what is
+#: typed into a form. Fixed values of HTML.
+INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr "
+                   "math mi mn mo ms mtext mrow msub msup msubsup mfrac msqrt mroot semantics annotation svg g tspan object canvas".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea svg math object canvas noframes xmp".split())
+RAW = frozenset("script style textarea".split())
 #: Which open elements a start tag ends.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 FENCE = frozenset("html body table ul ol dl select article section div nav aside main header footer form blockquote".split())
@@ -98,10 +100,12 @@ def blocks(page: str) -> list[Block]:
             continue
         tag = tag.lower()
         if tag in RAW and not closing:
-            if not attributes.endswith("/"):
-                e = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
+            if attributes.endswith("/"):
+                continue
+            e = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
+            if e or tag != "textarea":  # a script or style without an end goes on to the end of the page
                 at = e.end() if e else end
-            continue
+                continue
         if tag in INLINE:
             if tag in ("br", "img", "wbr"):
                 text.append(" " if tag == "br" else "")

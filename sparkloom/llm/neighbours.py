@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import short_batches, written
+from .common import short_batches, small, written
 
 
 class Forest:
@@ -92,8 +92,9 @@ def distinct_vectors(rows: DataFrame, keep: int, n: int) -> DataFrame:
     kept = rows
     while salts >= 1:
         salt = F.pmod(F.xxhash64("vec_id"), F.lit(salts))
-        rank = F.row_number().over(W.partitionBy("vector", "salt").orderBy("vec_id"))
-        kept = kept.withColumn("salt", salt).withColumn("rank", rank).where(F.col("rank") <= keep).select("vec_id", "vector")
+        along = W.partitionBy("vector", "salt").orderBy("vec_id")
+        kept = kept.withColumn("salt", salt).withColumn("new", F.coalesce(F.lag("vec_id").over(along) != F.col("vec_id"), F.lit(True)).cast("int"))  # repeated rows aren't
+        kept = kept.withColumn("rank", F.sum("new").over(along)).where((F.col("new") == 1) & (F.col("rank") <= keep)).select("vec_id", "vector")
         salts //= 8
     ids = F.sort_array(F.collect_list("vec_id"))
     return kept.groupBy("vector").agg(ids.alias("ids")).select(F.element_at("ids", 1).alias("uid"), "ids", "vector")
@@ -111,20 +112,26 @@ def visits_for(forest: Forest, sample: np.ndarray, k: int, recall: float, querie
     nearest = np.argpartition(-scores, k - 1, axis=1)[:, :k]
     leaves = forest.leaves(sample)
     n_leaves = forest.nodes + 1
-    met, opened = [], []
-    for q, near in zip(some, nearest, strict=True):
-        order = np.full((forest.trees, n_leaves), forest.trees * n_leaves, dtype=np.int64)
-        for at, (t, leaf) in enumerate(forest.search(sample[q], 2 * n_leaves)):
-            order[t, leaf] = at
-        first = order[np.arange(forest.trees), leaves].min(axis=1)  # when each vector is met
-        met.append(first[near])
-        opened.append(first)
-    visits = int(np.sort(np.concatenate(met))[min(len(some) * k - 1, int(np.ceil(recall * len(some) * k)) - 1)]) + 1
-    visits = min(visits, 2 * n_leaves)
+    all_leaves = forest.trees * n_leaves
+    for most in (2 * n_leaves, all_leaves):  # mostly the first is enough
+        met, opened = [], []
+        for q, near in zip(some, nearest, strict=True):
+            order = np.full((forest.trees, n_leaves), all_leaves, dtype=np.int64)
+            for at, (t, leaf) in enumerate(forest.search(sample[q], most)):
+                order[t, leaf] = at
+            first = order[np.arange(forest.trees), leaves].min(axis=1)  # when each vector is met
+            met.append(first[near])
+            opened.append(first)
+        visits = int(np.sort(np.concatenate(met))[min(len(some) * k - 1, int(np.ceil(recall * len(some) * k)) - 1)]) + 1
+        if visits <= most:
+            break
+    visits = min(visits, all_leaves)
     return visits, float(np.mean([np.mean(x < visits) for x in opened]))
 
 
-def _place(forest, level: int, slices: int, q_slices: int):
+def _place(forest, level: int, slices: int):
+    """Each vector once a tree, in its region of it."""
+
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trees: Forest = forest.value
         for pdf in batches:
@@ -132,14 +139,14 @@ def _place(forest, level: int, slices: int, q_slices: int):
                 continue
             leaves = trees.leaves(np.stack(pdf["vector"].to_numpy()).astype(np.float64))
             for t in range(trees.trees):
-                region = leaves[:, t] >> (trees.depth - level)
-                for q in range(q_slices):
-                    yield pdf.assign(leaf=leaves[:, t], region=(t << level) | region, slice=(pdf["uid"] % slices) * q_slices + q)
+                yield pdf.assign(leaf=leaves[:, t], region=(t << level) | (leaves[:, t] >> (trees.depth - level)), slice=pdf["uid"] % slices)
 
     return place
 
 
-def _visit(forest, level: int, slices: int, q_slices: int, visits: int):
+def _visit(forest, level: int, slices: int, visits: int):
+    """Each query once for each region that it visits, with the leaves that it opens there."""
+
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trees: Forest = forest.value
         for pdf in batches:
@@ -148,43 +155,57 @@ def _visit(forest, level: int, slices: int, q_slices: int, visits: int):
                 by_region: dict[int, list[int]] = {}
                 for t, leaf in trees.search(np.asarray(vector, dtype=np.float64), visits):
                     by_region.setdefault((t << level) | (leaf >> (trees.depth - level)), []).append(leaf)
-                rows += [(uid, vector, leaves, region, s * q_slices + uid % q_slices) for region, leaves in by_region.items() for s in range(slices)]
+                rows += [(uid, vector, leaves, region, s) for region, leaves in by_region.items() for s in range(slices)]
             yield pd.DataFrame(rows, columns=["q_uid", "q_vector", "leaves", "region", "slice"])
 
     return visit
 
 
 FOUND = "q_uid long, uids array<long>, scores array<double>"
+#: Products that are looked at together.
+PAIRS = 1 << 17
+NONE = np.iinfo(np.int64).max
 
 
-def best_of_leaves(V: np.ndarray, leaf: np.ndarray, Q: np.ndarray, opened: list[np.ndarray], some: int) -> np.ndarray:
-    """For each query, places (-1: none) in ``V`` (sorted by ``leaf``) of ``some`` vectors with the largest products, of those in its ``opened`` leaves
-    and of no others. A leaf's vectors are multiplied at once with the queries that open it, in single precision."""
+def best_of_leaves(V: np.ndarray, uid: np.ndarray, leaf: np.ndarray, Q: np.ndarray, opened: list[np.ndarray], keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each query, ``uid`` (NONE: none) and score of the ``keep`` vectors of ``V`` (sorted by ``leaf``) with the largest products, of those in its
+    ``opened`` leaves and of no others; of equal products, those with the smallest uid. A leaf's vectors are multiplied at once with the queries that open
+    it; whatever comes as near to a query's last place as rounding could move it is multiplied again by itself, and that product decides."""
     of = np.repeat(np.arange(len(Q)), [len(x) for x in opened])
     at = np.concatenate(opened) if len(opened) else np.zeros(0, dtype=np.int64)
     order = np.argsort(at, kind="stable")
     of, at = of[order], at[order]
-    best = np.full((len(Q), some), -np.inf, dtype=np.float32)
-    place = np.full((len(Q), some), -1, dtype=np.int64)
-    floor = np.full(len(Q), -np.inf, dtype=np.float32)
-    v32, q32 = V.astype(np.float32), Q.astype(np.float32)
-    for x in np.unique(at):
-        lo, hi = np.searchsorted(leaf, [x, x + 1])
-        if lo == hi:
-            continue
-        rows = of[np.searchsorted(at, x) : np.searchsorted(at, x + 1)]
-        S = q32[rows] @ v32[lo:hi].T
-        up = S.max(axis=1) > floor[rows]
-        rows, S = rows[up], np.concatenate((best[rows[up]], S[up]), axis=1)
-        places = np.concatenate((place[rows], np.broadcast_to(np.arange(lo, hi), (len(rows), hi - lo))), axis=1)
-        top = np.argpartition(S, S.shape[1] - some, axis=1)[:, S.shape[1] - some :]
-        best[rows], place[rows] = np.take_along_axis(S, top, axis=1), np.take_along_axis(places, top, axis=1)
-        floor[rows] = best[rows].min(axis=1)
-    return place
+    best = np.full((len(Q), keep), -np.inf)
+    name = np.full((len(Q), keep), NONE, dtype=np.int64)
+    with np.errstate(over="ignore", invalid="ignore"):
+        unsure = 8 * V.shape[1] * np.finfo(np.float64).eps * np.sqrt((Q * Q).sum(axis=1))
+        length = np.sqrt((V * V).sum(axis=1))
+        for x in np.unique(at):
+            lo, hi = np.searchsorted(leaf, [x, x + 1])
+            every = of[np.searchsorted(at, x) : np.searchsorted(at, x + 1)]
+            wide = min(hi - lo, PAIRS)
+            for begin in range(lo, hi, PAIRS):
+                part = slice(begin, min(begin + PAIRS, hi))
+                for some in range(0, len(every), max(1, PAIRS // wide)):
+                    rows = every[some : some + max(1, PAIRS // wide)]
+                    S = Q[rows] @ V[part].T
+                    near = ~(S < (best[rows, -1] - unsure[rows] * length[part].max())[:, None])
+                    up = near.any(axis=1)
+                    rows, near = rows[up], near[up]
+                    if not len(rows):
+                        continue
+                    r, c = np.nonzero(near)
+                    exact = np.full(near.shape, -np.inf)
+                    exact[r, c] = np.nan_to_num((V[part][c] * Q[rows[r]]).sum(axis=1), nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+                    scores = np.concatenate((best[rows], exact), axis=1)
+                    names = np.concatenate((name[rows], np.where(near, uid[part][None, :], NONE)), axis=1)
+                    top = np.lexsort((names, -scores), axis=1)[:, :keep]
+                    best[rows], name[rows] = np.take_along_axis(scores, top, axis=1), np.take_along_axis(names, top, axis=1)
+    return name, best
 
 
 def _rank(keep: int):
-    """Exact products, in double precision, of the candidates of each query in a region; the ``keep`` largest."""
+    """The ``keep`` largest products, in double precision, of each query with the vectors of a region that it opens."""
 
     def rank(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -192,13 +213,8 @@ def _rank(keep: int):
             vectors = vectors.sort_values(["leaf", "uid"], kind="stable")
             V = np.stack(vectors["vector"].to_numpy()).astype(np.float64)
             Q = np.stack(queries["q_vector"].to_numpy()).astype(np.float64)
-            uid = vectors["uid"].to_numpy()
-            found = best_of_leaves(V, vectors["leaf"].to_numpy(), Q, [np.asarray(x, dtype=np.int64) for x in queries["leaves"]], keep + 8)
-            for q, vector, c in zip(queries["q_uid"], Q, found, strict=True):
-                c = c[c >= 0]
-                exact = (V[c] * vector).sum(axis=1)
-                best = np.lexsort((uid[c], -exact))[:keep]
-                out.append((q, uid[c][best], exact[best]))
+            names, scores = best_of_leaves(V, vectors["uid"].to_numpy(), vectors["leaf"].to_numpy(), Q, [np.asarray(x, dtype=np.int64) for x in queries["leaves"]], keep)
+            out = [(q, n[n != NONE], s[n != NONE]) for q, n, s in zip(queries["q_uid"], names, scores, strict=True)]
         return pd.DataFrame(out, columns=["q_uid", "uids", "scores"])
 
     return rank
@@ -224,9 +240,10 @@ def neighbours(
     Equal vectors are taken together (only their ``k + 1`` smallest ids can ever be returned). A forest is
     fitted to at most ``sample`` vectors, chosen by hash; every vector is put in a leaf of each tree. A query
     visits the leaves that come first in the queue that its trees share, as many as ``recall`` asks for: that number is measured on the sample before the
-    search (``visits_for``), ``least_visits`` at least and twice the leaves of a tree at most. Only vectors in open leaves are multiplied, and candidates are reranked by
-    their exact product. Isotropic vectors need most of a tree's leaves; clustered ones few. Leaves are searched by region: about ``region`` vectors
-    and at most about ``query_block`` queries.
+    search (``visits_for``), ``least_visits`` at least. Only vectors in open leaves are multiplied, and candidates are reranked by their exact product in
+    double precision, so with all leaves open the result is that of brute force, ties included. Isotropic vectors need most of a tree's leaves; clustered
+    ones few. Leaves are searched by region: about ``region`` vectors and at most about ``query_block`` of the queries that visit it; a region's vectors
+    are copied only for the blocks of its own queries, which grow with how many regions a query visits and not with the table.
 
     Vectors null, zero, with a null or non-finite component, or not of the most common length take no
     part. Rows with equal vec_id and equal vectors count once. Empty tables give an empty result.
@@ -256,13 +273,17 @@ def neighbours(
     q_uid = usable.where("is_query").select("vec_id", "vector").join(vectors.select("uid", "vector"), "vector").select(F.col("vec_id").alias("query_id"), F.col("uid").alias("q_uid"))
     q_uid = written(q_uid.distinct(), "ann-queries")
     queries = vectors.join(q_uid.select(F.col("q_uid").alias("uid")).distinct(), "uid", "left_semi").select("uid", "vector")
-    q_slices = max(1, -(-queries.count() // query_block))
     kind = usable.schema["vector"].dataType.simpleString()
-    placed = vectors.select("uid", "vector").mapInPandas(_place(forest, level, slices, q_slices), f"uid long, vector {kind}, leaf long, region long, slice long")
     visited = queries.repartition(4 * spark.sparkContext.defaultParallelism, "uid").mapInPandas(
-        _visit(forest, level, slices, q_slices, visits), f"q_uid long, q_vector {kind}, leaves array<long>, region long, slice long"
+        _visit(forest, level, slices, visits), f"q_uid long, q_vector {kind}, leaves array<long>, region long, slice long"
     )
-    found = placed.groupBy("region", "slice").cogroup(visited.groupBy("region", "slice")).applyInPandas(_rank(keep), FOUND)
+    visited = written(visited, "ann-visits")
+    blocks = written(visited.where("slice = 0").groupBy("region").agg(F.ceil(F.count(F.lit(1)) / query_block).cast("int").alias("blocks")), "ann-blocks")
+    blocks = F.broadcast(blocks) if small(blocks, 200_000) else blocks  # at most trees * 2**level rows
+    placed = vectors.select("uid", "vector").mapInPandas(_place(forest, level, slices), f"uid long, vector {kind}, leaf long, region long, slice long")
+    placed = placed.join(blocks, "region").select("uid", "vector", "leaf", "region", "slice", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    asked = visited.join(blocks, "region").select("q_uid", "q_vector", "leaves", "region", "slice", F.pmod(F.xxhash64("q_uid"), F.col("blocks")).cast("int").alias("block"))
+    found = placed.groupBy("region", "slice", "block").cogroup(asked.groupBy("region", "slice", "block")).applyInPandas(_rank(keep), FOUND)
     found = written(found, "ann-found")
     one = found.select("q_uid", F.explode(F.arrays_zip("uids", "scores")).alias("x")).select("q_uid", F.col("x.uids").alias("uid"), F.col("x.scores").alias("score")).distinct()
     first = W.partitionBy("q_uid").orderBy(F.desc("score"), "uid")
