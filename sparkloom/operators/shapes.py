@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.iterate import broadcast_if_small
+from . import twister
 
 
 def _cube(spark: SparkSession, reach: tuple[int, int, int]) -> DataFrame:
@@ -42,16 +40,8 @@ def rectangle(spark: SparkSession, width: int, height: int, filled: bool = True)
 
 
 def random_cells(spark: SparkSession, lo: tuple[int, int, int], hi: tuple[int, int, int], count: int, seed: int) -> DataFrame:
-    """``count`` distinct cells of a box (ends included), as a 32-bit Mersenne twister draws them: each coordinate is the remainder of two
-    draws, the first of which is the high half. At most the whole box."""
-    size = [b - a + 1 for a, b in zip(lo, hi, strict=True)]
-    count = min(count, math.prod(size))
-    raw = np.random.RandomState(seed)
-    seen: dict[tuple[int, ...], None] = {}
-    while len(seen) < count:
-        draws = raw.randint(0, 1 << 32, 6, dtype=np.uint32).tolist()
-        seen[tuple(a + ((draws[2 * k] << 32) | draws[2 * k + 1]) % n for k, (a, n) in enumerate(zip(lo, size, strict=True)))] = None
-    return spark.createDataFrame([(*c,) for c in seen], "x int, y int, z int")
+    """``count`` distinct cells of a box (ends included), as a 32-bit Mersenne twister draws them; at most the whole box. Tasks draw parts of its stream."""
+    return twister.random_cells(spark, lo, hi, count, seed).select("x", "y", "z")
 
 
 #: Schema of a table of shapes. ``cells`` are offsets; a shape is gone from ``destroy`` on (null: never).

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbers
-from ..operators import automaton, changes, commands, levels, matrix, nested, packed, quant, sessions, shapes, spatial, tomography, voxel
+from ..operators import automaton, changes, commands, levels, matrix, nested, packed, quant, sessions, shapes, spatial, tomography, trees, voxel
 from ..sources import blocks_gzip
 from ..sources.tables import lookup, table
 
@@ -469,6 +469,20 @@ def first_difference(spark, d):
     return changes.first_difference(*_two(spark, d), ["tick", "cell"], ["state"])
 
 
+@_query(f"WITH {_TWO} {_DIFFER}")
+def digest_compare(spark, d):
+    a, b = (x.withColumn("part", F.floor(F.col("cell") / 16)) for x in _two(spark, d))
+    return trees.differences_by_digest(a, b, ["tick", "part"], ["tick", "cell"], ["state"])
+
+
+@_query(f"WITH {_SERIES} SELECT tick AS at, cell, state FROM s WHERE tick IN (0, 1, 7, 16, 21, 29)")
+def states_at_ticks(spark, d):
+    s = _series(spark, d)
+    merged = trees.merged_changes(changes.series_diffs(s, ["cell"], 29), ["cell"], 29)
+    ticks = spark.createDataFrame([(t,) for t in (0, 1, 7, 16, 21, 29)], "at long")
+    return trees.states_at(s.where("tick = 0").select("cell", "state"), merged, ticks, ["cell"], 29)
+
+
 # Space: customers as points, suppliers as boxes
 
 _POINTS = "p AS (SELECT c_custkey AS id, c_acctbal AS x, CAST(c_custkey % 997 AS DOUBLE) * 10 AS y, CAST(c_nationkey AS DOUBLE) AS z FROM customer)"
