@@ -21,7 +21,10 @@ def shared_dir(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if master != "local" and not master.startswith("local["):
         raise ValueError(f"spark.checkpoint.dir has to name a folder that all executors of {master} share")
-    return _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="sparkloom-"))
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="sparkloom-")
+    return _own[app]
 
 
 def cut(df: DataFrame, name: str = "step") -> DataFrame:

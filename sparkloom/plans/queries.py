@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers
 from ..operators import automaton, changes, commands, levels, matrix, nested, packed, quant, sessions, shapes, spatial, tomography, trees, voxel
-from ..sources import blocks_gzip
+from ..sources import blocks_gzip, patterns, scripts
 from ..sources.tables import lookup, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -792,6 +792,36 @@ def shape_blocks(spark, d):
     return shapes.blocks_at(_moving(spark, d), spark.range(12).withColumnRenamed("id", "tick"))
 
 
+# Patterns and scripts: an order is a file, its items are the lines
+
+
+def _files(spark: SparkSession, d: str, head: str, line) -> DataFrame:
+    """``file, text``: lines of an order in the order of its items."""
+    lines = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", line.alias("line"))))
+    texts = F.concat(F.lit(head), F.array_join(F.transform(lines, lambda s: s["line"]), "\n"))
+    return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("file")).agg(texts.alias("text"))
+
+
+@_query("""
+WITH r AS (SELECT l_orderkey, CAST(l_quantity AS BIGINT) AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) - 1 AS y FROM lineitem)
+SELECT CAST(l_orderkey AS VARCHAR) AS file, CAST(sum(n) AS BIGINT) AS cells, CAST(sum(n * y) AS BIGINT) AS y_sum, CAST(sum(n * (n + 1) // 2) AS BIGINT) AS x_sum FROM r GROUP BY 1""")
+def pattern_cells(spark, d):
+    files = _files(spark, d, "# an order\nx = 60, y = 99, rule = B3/S23\n", F.concat(F.lit("b"), F.col("l_quantity").cast("int"), F.lit("o$")))
+    live = patterns.parse_patterns(files)
+    return live.groupBy("file").agg(F.count(F.lit(1)).alias("cells"), F.sum("y").alias("y_sum"), F.sum("x").alias("x_sum"))
+
+
+@_query("""
+WITH e AS (SELECT CAST(l_orderkey AS VARCHAR) AS file, CASE WHEN l_linenumber % 2 = 1 THEN 1 ELSE 3 * (l_linenumber + 1) END AS cells, l_partkey % 50 AS x, l_linenumber AS n FROM lineitem)
+SELECT file, CAST(sum(cells) AS BIGINT) AS cells, CAST(sum(CASE WHEN n % 2 = 1 THEN x ELSE 3 * (x + 1) * (n + 1) END) AS BIGINT) AS x_sum, CAST(sum(cells * CASE WHEN n % 2 = 1 THEN n ELSE 5 END) AS BIGINT) AS states FROM e GROUP BY 1""")
+def script_blocks(spark, d):
+    n, x = F.col("l_linenumber"), F.col("l_partkey") % 50
+    one = F.concat_ws(" ", F.lit("setblock"), x, F.lit("-4 3"), n)
+    box = F.concat_ws("\t", F.lit("fill"), x + 2, n + 1, F.lit("2"), x, F.lit("1 2 5"))
+    edits = scripts.block_edits(scripts.parse_commands(_files(spark, d, "# an order\n\n", F.when(n % 2 == 1, one).otherwise(box))))
+    return edits.groupBy("file").agg(F.count(F.lit(1)).alias("cells"), F.sum("x").alias("x_sum"), F.sum("state").alias("states"))
+
+
 # Compressed files: a document is a file
 
 

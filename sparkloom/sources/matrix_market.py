@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.iterate import broadcast_if_small
+from ..plans.iterate import broadcast_if_small, cut
 
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
@@ -14,7 +14,9 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     ``skew-symmetric``. Files of other formats give nothing. Repeated entries are kept: they add up in products.
 
     A file's first lines tell its kind, found as minima over its lines; the entries themselves are never gathered."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("nth"), F.trim("value").alias("line")).where("line <> ''")
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), place.alias("nth"), F.trim("value").alias("line")).where("line <> ''")
+    lines = cut(lines, "matrix-lines")  # places are those of one scan, read twice
     kinds = lines.where("line like '%\\%\\%MatrixMarket%'").groupBy("file").agg(F.lower(F.first("line")).alias("kind"))
     body = lines.where("not startswith(line, '%')")
     size_line = body.groupBy("file").agg(F.min("nth").alias("size_nth"))
