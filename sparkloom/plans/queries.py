@@ -190,6 +190,11 @@ def life_5(spark, d):
     return automaton.life(_live(spark, d), 5)
 
 
+@_query(_generations(5))
+def life_tiles_5(spark, d):
+    return automaton.life_in_tiles(_live(spark, d), 5, size=64, each=5)
+
+
 @_query(f"SELECT min(y) AS min_y, min(x) AS min_x, max(y) AS max_y, max(x) AS max_x FROM ({_LIFE})")
 def life_bounds(spark, d):
     return automaton.bounds(_live(spark, d))
