@@ -147,6 +147,7 @@ def due(work: DataFrame, now: int) -> DataFrame:
 def priority(kind: Column) -> Column:
     """Rank of scheduled work on one cell, the least first: edits, other blocks, lava that ends, lava that flows, water that ends,
     water that flows, air. Fluids rank by level."""
+    # The ranks are fixed values.
     level = lambda base: ((kind - base) % 8) * 2 + F.floor((kind - base) / 8).cast("int") + 1
     return (
         F.when(kind == -1, -1)

@@ -39,6 +39,7 @@ def test_to_half_truncates(spark):
 
 
 def test_varint_golden(spark):
+    # Fixed values of the variable-length form.
     golden = [(0, "00"), (1, "01"), (2, "02"), (127, "7f"), (128, "8001"), (255, "ff01"), (25565, "ddc701"), (2097151, "ffff7f"), (2147483647, "ffffffff07"), (-1, "ffffffff0f"), (-2147483648, "8080808008")]
     df = spark.createDataFrame([(x,) for x, _ in golden], "x long")
     got = df.select(numbers.varint_hex(F.col("x")).alias("h"), numbers.varint_length(F.col("x")).alias("n")).collect()
@@ -57,6 +58,7 @@ def test_position_round_trip(spark):
 
 
 def test_unpack_golden(spark):
+    # Fixed values of the packed form.
     words = [0x0020863148418841, 0x01018A7260F68C87]
     got = spark.range(1).select(packed.unpack(F.array(*[F.lit(w) for w in words]), 5, 24).alias("v")).first().v
     assert got == [1, 2, 2, 3, 4, 4, 5, 6, 6, 4, 8, 0, 7, 4, 3, 13, 15, 16, 9, 14, 10, 12, 0, 2]
