@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbers
-from ..operators import automaton, changes, commands, levels, matrix, nested, packed, quant, sessions, shapes, spatial, tomography, trees, voxel
+from ..operators import automaton, changes, commands, heavy, levels, lighting, matrix, nested, packed, quant, sessions, shapes, spatial, tomography, trees, voxel
 from ..sources import blocks_gzip, patterns, scripts
 from ..sources.tables import lookup, table
 
@@ -54,6 +54,16 @@ def spmm_rows(spark, d):
     return out.select("i", F.col("j").cast("long").alias("j"), F.round("c", 6).alias("c"))
 
 
+_HOT = "a AS (SELECT l_suppkey AS i, CASE WHEN l_linenumber % 2 = 0 THEN 7 ELSE l_partkey % 500 END AS k, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2)"
+
+
+@_query(f"WITH {_HOT}, {_B} SELECT i, CAST(j AS BIGINT) AS j, round(sum(v * b), 6) AS c FROM a JOIN b USING (k) GROUP BY 1, 2")
+def spmm_split(spark, d):
+    k = F.when(F.col("l_linenumber") % 2 == 0, 7).otherwise(F.col("l_partkey") % 500).cast("long")
+    a = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("i"), k.alias("k"), F.col("l_quantity").alias("v"))
+    return heavy.spmm_split(a, _b(spark, d)).select("i", F.col("j").cast("long").alias("j"), F.round("c", 6).alias("c"))
+
+
 @_query(
     "SELECT i, CAST(coalesce(sum(entries) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, entries "
     "FROM (SELECT l_orderkey AS i, count(*) AS entries FROM lineitem GROUP BY 1)"
@@ -283,19 +293,46 @@ def _world(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").groupBy(*cell).agg(F.max(state).alias("state"))
 
 
-@_query(f"""
-WITH RECURSIVE {_WORLD},
+def _flooded(worlds: str, last: str) -> str:
+    """SQL of the light of the table ``last`` of ``worlds``."""
+    return f"""
+WITH RECURSIVE {worlds},
 m(dx, dy, dz) AS (VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)),
 l AS (
-  SELECT x, y, z, CASE WHEN state = 6027 THEN 10 ELSE 15 END AS level, true AS passes FROM w WHERE state IN (6027, 103)
+  SELECT x, y, z, CASE WHEN state = 6027 THEN 10 ELSE 15 END AS level, true AS passes FROM {last} WHERE state IN (6027, 103)
   UNION
-  SELECT l.x + dx, l.y + dy, l.z + dz, l.level - 1, coalesce(w.state = 86, true) FROM l CROSS JOIN m LEFT JOIN w ON w.x = l.x + dx AND w.y = l.y + dy AND w.z = l.z + dz
+  SELECT l.x + dx, l.y + dy, l.z + dz, l.level - 1, coalesce(w.state = 86, true) FROM l CROSS JOIN m LEFT JOIN {last} w ON w.x = l.x + dx AND w.y = l.y + dy AND w.z = l.z + dz
   WHERE l.passes AND l.level > 1 AND l.x + dx BETWEEN 0 AND 63 AND l.y + dy BETWEEN 0 AND 63 AND l.z + dz BETWEEN 0 AND 63 AND (w.state IS NULL OR w.state = 86 OR dy = -1))
-SELECT x, y, z, max(level) AS level FROM l GROUP BY 1, 2, 3""")
+SELECT x, y, z, max(level) AS level FROM l GROUP BY 1, 2, 3"""
+
+
+@_query(_flooded(_WORLD, "w"))
 def light_flood(spark, d):
     return voxel.flood_light(_world(spark, d), _SIDE)
 
 
+@_query(_flooded(_WORLD, "w"))
+def light_tiles(spark, d):
+    return lighting.light_in_tiles(_world(spark, d), _SIDE, 32)
+
+
+#: Edits from orders: the largest state that an order puts in a cell (air, stone, glowing, lava).
+_EDITS = (
+    "e AS (SELECT CAST(o_orderkey % 64 AS INT) AS x, CAST(o_custkey % 64 AS INT) AS y, CAST(o_orderkey // 64 % 64 AS INT) AS z, "
+    "max(CASE o_custkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 6027 WHEN 2 THEN 103 ELSE 0 END) AS state FROM orders GROUP BY 1, 2, 3), "
+    "n AS (SELECT x, y, z, coalesce(e.state, w.state) AS state FROM w FULL JOIN e USING (x, y, z) WHERE coalesce(e.state, w.state) <> 0)"
+)
+
+
+@_query(_flooded(f"{_WORLD}, {_EDITS}", "n"))
+def light_after_edits(spark, d):
+    key, c = F.col("o_orderkey"), F.col("o_custkey") % 4
+    cell = [v.cast("int").alias(n) for n, v in (("x", key % 64), ("y", F.col("o_custkey") % 64), ("z", F.floor(key / 64) % 64))]
+    edits = table(spark, d, "orders").groupBy(*cell).agg(F.max(F.when(c == 0, 1).when(c == 1, 6027).when(c == 2, 103).otherwise(0)).alias("state"))
+    world = _world(spark, d)
+    return lighting.relight(lighting.light_in_tiles(world, _SIDE, 32), world, edits, _SIDE, 32)
+
+
 @_query(f"WITH {_WORLD} SELECT x // 16 AS sx, y // 16 AS sy, z // 16 AS sz, count(*) AS blocks FROM w GROUP BY 1, 2, 3")
 def non_air(spark, d):
     return voxel.non_air(_world(spark, d))
