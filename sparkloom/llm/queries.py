@@ -13,7 +13,7 @@ from .html_text import extract
 from .importance import importance_resampling
 from .infill import fill_in_middle, restored
 from .jaccard_join import jaccard_join
-from .licenses import licenses
+from .licenses import NOTICES, PHRASES, licenses, needed
 from .mixing import mix
 from .neighbours import neighbours
 from .packing import pack
@@ -98,6 +98,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_licenses": op13_licenses,
 }
 
+
+
+def _runs(unit: str, sizes: list[int]) -> str:
+    """SQL of ``runs (r, p, h, whole)``: a hash of the run of as many units as ``sizes`` (powers of two) add up to that starts at ``p`` in row ``r`` of ``u (r, p, <unit>)``. Hashes of runs are
+    put together from those of their halves."""
+    steps, width = [f"h1 AS (SELECT r, p, hash({unit}) AS h1 FROM u)"], 1
+    while width < max(sizes):
+        steps.append(f"h{2 * width} AS (SELECT *, hash(h{width}, lead(h{width}, {width}) OVER o) AS h{2 * width} FROM h{width} WINDOW o AS (PARTITION BY r ORDER BY p))")
+        width *= 2
+    parts = [f"lead(h{n}, {sum(sizes[:i])}) OVER o" for i, n in enumerate(sizes)]
+    return ",\n".join(steps) + f",\nruns AS (SELECT r, p, hash({', '.join(parts)}) AS h, lead(p, {sum(sizes) - 1}) OVER o IS NOT NULL AS whole FROM h{width} WINDOW o AS (PARTITION BY r ORDER BY p))"
+
+
+def _templates() -> str:
+    """SQL rows ``(template, label, base, k, words, needed, gram list)`` of the phrases and notices."""
+    rows = []
+    for nth, (label, text) in enumerate((*PHRASES, *NOTICES)):
+        words, base = text.split(), nth < len(PHRASES)
+        k = 2 if base else min(3, len(words))
+        grams = ", ".join(f"'{' '.join(words[i : i + k])}'" for i in range(len(words) - k + 1))
+        rows.append(f"({nth}, '{label}', {base}, {k}, {len(words)}, {needed(len(words))}, [{grams}])")
+    return ",\n".join(rows)
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_mix": r"""
 WITH d AS (
@@ -165,4 +189,64 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT)
        sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
        sha256(p || m || s) AS restored_sha256
 FROM p""",
+    "op3_substring_dedup": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+u AS (SELECT r, doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+{_runs("word", [32, 16, 2])},
+f AS (SELECT h, min(doc_id) AS first FROM runs JOIN d USING (r) WHERE whole GROUP BY h),
+s AS (SELECT u.r, u.p, u.word, max(CASE WHEN whole AND first < doc_id THEN u.p END) OVER (PARTITION BY u.r ORDER BY u.p ROWS UNBOUNDED PRECEDING) AS last FROM u JOIN runs USING (r, p) LEFT JOIN f USING (h)),
+k AS (
+  SELECT r, count(*) FILTER (last > p - 50) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (last IS NULL OR last <= p - 50) AS kept FROM s GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)""",
+    "op9_jaccard_join": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM d),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS n, b.n AS m, count(*) AS shared FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY ALL),
+l AS (SELECT a, b FROM c WHERE 100 * shared >= 90 * (n + m - shared) UNION ALL SELECT b, a FROM c WHERE 100 * shared >= 90 * (n + m - shared)),
+t(doc_id, root) AS (SELECT doc_id, doc_id FROM d UNION SELECT l.b, t.root FROM t JOIN l ON l.a = t.doc_id)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, min(root) AS component_id FROM s JOIN t USING (doc_id) GROUP BY ALL""",
+    "op10_suffix_dedup": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+b AS (SELECT r, regexp_extract_all(x, '..') AS bytes FROM d),
+u AS (SELECT r, unnest(bytes) AS byte, generate_subscripts(bytes, 1) AS p FROM b),
+{_runs("byte", [256, 128, 16])},
+f AS (SELECT h FROM runs WHERE whole GROUP BY h HAVING count(*) > 1),
+s AS (SELECT r, p, whole AND f.h IS NOT NULL AS dup FROM runs LEFT JOIN f USING (h)),
+g AS (SELECT r, p, coalesce(max(CASE WHEN dup THEN p END) OVER (PARTITION BY r ORDER BY p ROWS UNBOUNDED PRECEDING) > p - 400, false) AS gone FROM s),
+n AS (SELECT r, p, gone, gone IS DISTINCT FROM lag(gone) OVER (PARTITION BY r ORDER BY p) AS turn FROM g),
+t AS (SELECT r, p, gone, lead(p) OVER (PARTITION BY r ORDER BY p) AS stop FROM n WHERE turn),
+k AS (
+  SELECT d.r, sum(coalesce(stop, length(x) // 2 + 1) - p) FILTER (gone) AS n_removed, count(*) FILTER (gone) AS n_spans,
+         string_agg(substr(x, 2 * p - 1, 2 * (coalesce(stop, length(x) // 2 + 1) - p)), '' ORDER BY p) FILTER (NOT gone) AS kept
+  FROM d JOIN t USING (r) GROUP BY d.r)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN k USING (r)""",
+    "op13_licenses": rf"""
+WITH t(template, label, base, k, words, needed, grams) AS (VALUES {_templates()}),
+a AS (SELECT template, unnest(grams) AS gram, generate_subscripts(grams, 1) - 1 AS spot FROM t),
+d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+u AS (SELECT r, unnest(w) AS a, unnest(w[2:]) AS b, unnest(w[3:]) AS c, generate_subscripts(w, 1) - 1 AS pos FROM d),
+g AS (SELECT r, pos, a || ' ' || b AS gram FROM u WHERE b IS NOT NULL UNION ALL SELECT r, pos, a || ' ' || b || ' ' || c FROM u WHERE c IS NOT NULL),
+h AS (SELECT r, template, pos - spot AS diag, spot FROM g JOIN a USING (gram)),
+v AS (SELECT r, template, diag, count(*) AS votes FROM h GROUP BY ALL),
+b AS (SELECT r, label, diag AS start FROM v JOIN t USING (template) WHERE base AND votes = len(grams)),
+f AS (SELECT r, template, diag, CASE WHEN diag - lag(diag) OVER o <= 3 THEN 0 ELSE 1 END AS far FROM v JOIN t USING (template) WHERE NOT base WINDOW o AS (PARTITION BY r, template ORDER BY diag)),
+s AS (SELECT r, template, diag, sum(far) OVER (PARTITION BY r, template ORDER BY diag) AS span FROM f),
+n AS (
+  SELECT r, label, words, needed, count(DISTINCT spot + j) AS found, max(diag + spot + k) - min(diag + spot) AS long
+  FROM s JOIN h USING (r, template, diag) JOIN t USING (template) JOIN range(3) j(j) ON j < k GROUP BY r, template, label, words, needed, span),
+e AS (
+  SELECT r, label, start, 1.0::DOUBLE AS share, true AS base FROM b
+  UNION ALL SELECT r, CASE WHEN found >= needed AND (words >= 10 OR long = words) THEN label END, NULL, found / words, false FROM n),
+z AS (
+  SELECT r, count(*) FILTER (base) AS n_base, min(start) AS first_word, max(start) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
+         string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM e GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score
+FROM d LEFT JOIN z USING (r)""",
 }
