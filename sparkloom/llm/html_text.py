@@ -351,7 +351,8 @@ def extract(pages: DataFrame, field: Field | None = None) -> DataFrame:
 
     A null or empty page, and one without main text, gives an empty text. Cut-off pages and tags without
     end are read as far as they go. Rows with equal page_id are pages of their own; an empty table gives
-    an empty result; other columns are not read. Returns ``page_id, url, text, n_chars``.
+    an empty result; other columns are not read. A page is read whole, whatever its length, by one call in one task: memory grows with the
+    longest page and not with the table. Returns ``page_id, url, text, n_chars``.
     """
     spark = pages.sparkSession
     short_batches(spark)

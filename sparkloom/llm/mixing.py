@@ -94,7 +94,7 @@ def mix(
     are decided where they stand: neither they nor their texts are shuffled. Sources (one row each) are ordered in one task, which is
     meant for up to some hundred thousand of them.
 
-    Null text has size 0 and is taken 0 words; an empty table gives an empty result; rows with equal or without
+    Null text has size 0 and is taken 0 words; texts of any length are counted whole; an empty table gives an empty result; rows with equal or without
     doc_id are decided each, by their texts, and of wholly equal rows a rerun takes as many. Returns ``doc_id, source, size, source_size, target, repeats, taken``, or with ``payload``
     (names other than these) ``doc_id, source, payload, repeats``. With ``row``, a column that tells the rows apart in every job, payload is read again
     and not written.

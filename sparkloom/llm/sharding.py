@@ -67,7 +67,8 @@ def shard(docs: DataFrame, shards: int = 24, cells: int = 65536, slices: int = 4
     a cell with many rows (a group of copies) is dealt into slices, about ``slices`` for the whole
     table, and each slice is numbered alone.
 
-    Size is UTF-8 bytes plus 8; null text counts as none and is grouped with empty text. An empty table
+    Size is UTF-8 bytes plus 8; null text counts as none and is grouped with empty text. Texts of any length are read once, whole, and not
+    shuffled; one larger than a mean shard is a group like any other. Other columns are not read. An empty table
     gives an empty result; rows with equal doc_id are rows of their own.
     Returns ``doc_id, size, text_crc32, law, shard, slot, grown_shard``.
     """
