@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbers
-from ..operators import automaton, changes, commands, heavy, levels, lighting, matrix, nested, packed, quant, sessions, shapes, spatial, tomography, trees, voxel
+from ..operators import automaton, changes, commands, heavy, levels, lighting, matrix, nested, packed, quant, sections, sessions, shapes, spatial, tomography, trees, voxel
 from ..sources import blocks_gzip, patterns, scripts
 from ..sources.tables import lookup, table
 
@@ -697,6 +697,26 @@ def palette_sizes(spark, d):
     return packed.palettes(table(spark, d, "lineitem"), "l_suppkey", "l_partkey")
 
 
+@_query(f"""
+WITH {_WORLD},
+c AS (
+  SELECT x, y, z, state, NULL AS level FROM w
+  UNION ALL SELECT l_orderkey % 64, l_partkey % 64, l_suppkey % 64, NULL, max(l_linenumber) FROM lineitem GROUP BY 1, 2, 3),
+i AS (SELECT x // 16 AS sx, y // 16 AS sy, z // 16 AS sz, (y % 16 * 16 + z % 16) * 16 + x % 16 AS spot, state, level FROM c),
+a AS (
+  SELECT sx, sy, sz, count(*) FILTER (state <= 5000) AS blocks, count(*) FILTER (state > 5000) AS invalid, list(DISTINCT state) FILTER (state <= 5000) AS states FROM i GROUP BY 1, 2, 3),
+p AS (SELECT *, list_sort(CASE WHEN blocks < 4096 THEN list_prepend(0, coalesce(states, [])) ELSE states END) AS palette FROM a),
+g AS (SELECT sx, sy, sz, spot // 16 AS word, coalesce(bit_or(CAST(level AS BIGINT) << CAST(spot % 16 * 4 AS BIGINT)), 0) AS packed FROM i GROUP BY 1, 2, 3, 4),
+f AS (SELECT p.sx, p.sy, p.sz, string_agg(coalesce(packed, 0), ',' ORDER BY n.word) AS light FROM p CROSS JOIN range(256) n(word) LEFT JOIN g ON g.sx = p.sx AND g.sy = p.sy AND g.sz = p.sz AND g.word = n.word GROUP BY 1, 2, 3)
+SELECT CAST(sx AS INT) AS sx, CAST(sy AS INT) AS sy, CAST(sz AS INT) AS sz, blocks, invalid, array_to_string(palette, ',') AS palette,
+       CASE WHEN len(palette) <= 1 THEN 0 ELSE 4 END AS bits, CASE WHEN len(palette) <= 1 THEN 0 ELSE 256 END AS words, light FROM p JOIN f USING (sx, sy, sz)""")
+def world_sections(spark, d):
+    cell = [(F.col(c) % 64).cast("int").alias(n) for c, n in (("l_orderkey", "x"), ("l_partkey", "y"), ("l_suppkey", "z"))]
+    light = table(spark, d, "lineitem").groupBy(*cell).agg(F.max("l_linenumber").alias("level"))
+    texts = [F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("palette", "light")]
+    return sections.sections(_world(spark, d), light, 5000).select("sx", "sy", "sz", "blocks", "invalid", "bits", "words", *texts)
+
+
 # Numbers, names, nested data
 
 
