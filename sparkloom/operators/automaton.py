@@ -76,6 +76,23 @@ def same_pattern(a: DataFrame, b: DataFrame) -> bool:
     return digest(trimmed(a)) == digest(trimmed(b))
 
 
+def same_patterns(a: DataFrame, b: DataFrame, key: str = "file") -> DataFrame:
+    """``key, cells, same`` for the grids ``(key, y, x)`` of many keys: live cells of ``a`` and whether the grid of that key in ``b`` is equal but for a
+    shift. A key of ``b`` alone has no cells and isn't the same; cells with a null don't count and repeated ones count once. No grid is gathered: equal grids have
+    equal counts and equal order-free sums of the hashes of their moved cells."""
+
+    def summed(cells: DataFrame, n: str, h: str) -> DataFrame:
+        cells = cells.select(key, "y", "x").dropna().distinct()
+        corner = cells.groupBy(key).agg(F.min("y").alias("y0"), F.min("x").alias("x0"))
+        at = [F.col("y").cast("long") - F.col("y0"), F.col("x").cast("long") - F.col("x0")]
+        sums = F.struct(F.bit_xor(F.xxhash64(*at)), F.sum(F.xxhash64(*at, F.lit(1)).cast("decimal(38,0)")))
+        return cells.join(corner, key).groupBy(key).agg(F.count(F.lit(1)).alias(n), sums.alias(h))
+
+    both = summed(a, "n_a", "h_a").join(summed(b, "n_b", "h_b"), key, "full")
+    same = F.coalesce((F.col("n_a") == F.col("n_b")) & (F.col("h_a") == F.col("h_b")), F.lit(False))
+    return both.select(key, F.coalesce("n_a", F.lit(0)).cast("long").alias("cells"), same.alias("same"))
+
+
 def window(cells: DataFrame, y0: int, x0: int, height: int, width: int) -> DataFrame:
     """The part of a grid that a viewer sees."""
     return cells.where(F.col("y").between(y0, y0 + height - 1) & F.col("x").between(x0, x0 + width - 1))

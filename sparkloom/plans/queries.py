@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers
 from ..operators import automaton, changes, commands, heavy, levels, lighting, matrix, nested, packed, quant, sections, sessions, shapes, spatial, tomography, trees, voxel
-from ..sources import blocks_gzip, patterns, scripts
+from ..sources import blocks_gzip, matrix_market, patterns, scripts
 from ..sources.tables import lookup, table
+from .iterate import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -215,6 +217,21 @@ def life_trimmed(spark, d):
     return automaton.trimmed(_live(spark, d).distinct())
 
 
+_ORDER_GRID = "SELECT DISTINCT l_orderkey AS file, l_partkey {0} AS y, l_suppkey {1} AS x FROM lineitem {2}"
+
+
+@_query(f"""
+WITH a AS ({_ORDER_GRID.format("", "", "")}), b AS ({_ORDER_GRID.format("+ 7", "- 2", "WHERE l_linenumber < 5 OR l_quantity < 25")}),
+s AS (SELECT file, y - min(y) OVER (PARTITION BY file) AS y, x - min(x) OVER (PARTITION BY file) AS x FROM a),
+t AS (SELECT file, y - min(y) OVER (PARTITION BY file) AS y, x - min(x) OVER (PARTITION BY file) AS x FROM b),
+u AS ((FROM s EXCEPT FROM t) UNION ALL (FROM t EXCEPT FROM s))
+SELECT file, count(*) AS cells, file NOT IN (SELECT file FROM u) AS same FROM s GROUP BY file""")
+def patterns_compared(spark, d):
+    items = table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "file")
+    moved = items.where("l_linenumber < 5 OR l_quantity < 25").select("file", (F.col("l_partkey") + 7).alias("y"), (F.col("l_suppkey") - 2).alias("x"))
+    return automaton.same_patterns(items.select("file", F.col("l_partkey").alias("y"), F.col("l_suppkey").alias("x")), moved)
+
+
 # Tomography: embeddings as rows of 64 detectors, one slice a label
 
 _RAYS = "e AS (SELECT label AS slice, vec_id AS angle, unnest(range(64)) AS k, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), n AS (SELECT count(*) AS n FROM embeddings)"
@@ -753,6 +770,23 @@ def quoted_names(spark, d):
     return table(spark, d, "part").select("p_partkey", nested.quoted(F.col("p_name")).alias("quoted"))
 
 
+@_query("SELECT event_id, CASE event_type WHEN 'view' THEN event_id ELSE NULL END AS viewed, CASE event_type WHEN 'click' THEN -1 ELSE event_id END AS own, CAST(CASE event_type WHEN 'click' THEN 2 ELSE 3 END AS INT) AS n FROM events")
+def fields_any_case(spark, d):
+    fields = F.create_map(F.initcap("event_type"), F.col("event_id"), F.lit("User"), F.col("user_id"))
+    changed = nested.put(fields, "Click", F.lit(-1).cast("long"))
+    events = table(spark, d, "events").select("event_id", "event_type", fields.alias("f"), changed.alias("g"))
+    own = F.element_at("g", F.initcap("event_type"))
+    return events.select("event_id", nested.get_any_case(F.col("f"), "vIEW").alias("viewed"), own.alias("own"), F.size("g").alias("n"))
+
+
+@_query("""
+SELECT l_orderkey, l_linenumber, l_partkey, CASE (l_linenumber + l_partkey) % 8 WHEN 0 THEN 'byte' WHEN 1 THEN 'short' WHEN 2 THEN 'long' WHEN 3 THEN 'int' WHEN 4 THEN 'float' WHEN 7 THEN 'string' ELSE 'double' END AS kind FROM lineitem""")
+def literal_kinds(spark, d):
+    number, n = (F.col("l_partkey") - 50).cast("string"), (F.col("l_linenumber") + F.col("l_partkey")) % 8 + 1
+    ends = F.element_at(F.array(*map(F.lit, ["b", "S", "L", "", ".5f", "e3", ".25D", "x"])), n.cast("int"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", nested.literal_kind(F.concat(number, ends)).alias("kind"))
+
+
 @_query("SELECT event_id, coalesce(n.id, -1) AS id FROM (SELECT event_id, event_type AS key FROM events) e LEFT JOIN (VALUES ('view', 0), ('click', 1), ('purchase', 2)) n(key, id) USING (key)")
 def registry_lookup(spark, d):
     names = spark.createDataFrame([("view", 0), ("click", 1), ("purchase", 2)], "key string, id int")
@@ -884,6 +918,17 @@ def script_blocks(spark, d):
     return edits.groupBy("file").agg(F.count(F.lit(1)).alias("cells"), F.sum("x").alias("x_sum"), F.sum("state").alias("states"))
 
 
+# Matrices as coordinate files, one a partition, written and read
+
+
+@_query(f"WITH {_A} SELECT i, k, CAST(v AS DOUBLE) AS v FROM a")
+def matrix_files(spark, d):
+    a, path = _a(spark, d), f"{shared_dir(spark)}/sparkloom/matrix-{uuid.uuid4().hex}"
+    size = a.agg(F.max("i"), F.max("k")).first()
+    matrix_market.write_matrix(a, path, (size[0] or 0) + 1, (size[1] or 0) + 1)
+    return matrix_market.read_matrix(spark, f"{path}/*/*.txt").select("i", "k", "v")
+
+
 # Compressed files: a document is a file
 
 

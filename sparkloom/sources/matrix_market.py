@@ -32,7 +32,7 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
 def write_matrix(a: DataFrame, path: str, rows: int, columns: int) -> None:
     """``(i, k, v)`` as one general coordinate file for each partition, each with its own head."""
     head = "%%MatrixMarket matrix coordinate real general"
-    with_part = a.withColumn("part", F.spark_partition_id())
+    with_part = cut(a.withColumn("part", F.spark_partition_id()), "matrix-parts")  # heads and entries have to see the same partitions
     sizes = with_part.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     heads = sizes.select("part", F.explode(F.array(F.struct(F.lit(0).alias("o"), F.lit(head).alias("value")), F.struct(F.lit(1).alias("o"), F.concat_ws(" ", F.lit(rows), F.lit(columns), "n").alias("value")))).alias("h")).select("part", "h.o", "h.value")
     body = with_part.select("part", F.lit(2).alias("o"), F.concat_ws(" ", F.col("i") + 1, F.col("k") + 1, "v").alias("value"))

@@ -171,6 +171,28 @@ def test_glider_moves(spark):
     assert automaton.same_pattern(glider, after)
 
 
+def test_many_patterns_compared(spark):
+    r = random.Random(6)
+    grids = {k: {(r.randrange(9), r.randrange(9)) for _ in range(r.randrange(1, 20))} for k in range(30)}
+    shifted = {k: {(y - 5 * k, x + 3) for y, x in g} for k, g in grids.items()}
+    for k in range(0, 30, 4):
+        shifted[k].add((max(shifted[k])[0] + 1, 0))  # one cell more, below all others
+    for k in range(1, 30, 4):
+        shifted[k] = {(x, y) for y, x in shifted[k]}
+    del shifted[2], grids[3]
+    a, b = ([(k, y, x) for k, g in side.items() for y, x in sorted(g)] for side in (grids, shifted))
+
+    def moved(g):
+        y0, x0 = (min(c[i] for c in g) for i in (0, 1))
+        return {(y - y0, x - x0) for y, x in g}
+
+    want = [(k, len(grids.get(k, ())), k in grids and k in shifted and moved(grids[k]) == moved(shifted[k])) for k in range(30)]
+    one, other = (spark.createDataFrame(c + c[:5] + [(2, None, 1), (40, 1, None)], "file int, y int, x int") for c in (a, b))
+    assert rows(automaton.same_patterns(one, other)) == want
+    assert sum(w[2] for w in want) > 10
+    assert rows(automaton.same_patterns(one, other.limit(0))) == [(k, len(g), False) for k, g in sorted(grids.items())]
+
+
 def test_life_ends(spark):
     block = spark.createDataFrame([(0, 0), (0, 1), (1, 0), (1, 1)], "y long, x long")
     assert rows(automaton.life(block, 50)) == [(0, 0), (0, 1), (1, 0), (1, 1)]
