@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import BASE, OTHER_BASE, Rolling, mix, word_bounds, word_symbols
-from .common import dropped, likely, numbered, semi, short_batches, small, text_or_empty, tidy, written
+from .common import dropped, likely, numbered, semi, short_batches, small, text_or_empty, tidy, tidy_groups, written
 
 #: Ratio of the sizes at the ends of a band. Linked sets differ less in size, so each set stands in two bands at most.
 BAND = 1.2
@@ -21,8 +21,8 @@ BAND = 1.2
 FEW, LEAST = 64, 3
 #: Ways to cut the universe that are tried before single elements become cells.
 CUTS = 4
-#: Numbers that are counted at once.
-AT_ONCE = 4_000_000
+#: Numbers that are counted at once: some six arrays of them are held.
+AT_ONCE = 500_000
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:
@@ -142,10 +142,11 @@ def _sets(width: int, least: int, frequent=None):
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
     """For a few sets of ``left`` at a time: the first one's index, and how many elements each shares with each of ``right``."""
-    of_right = np.repeat(np.arange(len(right)), [len(x) for x in right])
+    of_right = np.repeat(np.arange(len(right), dtype=np.int32), [len(x) for x in right])
     flat = np.concatenate(right) if right else np.zeros(0, dtype=np.uint64)
     order = np.argsort(flat, kind="stable")
     flat, of_right = flat[order], of_right[order]
+    del order
     at = 0
     while at < len(left):
         to, work, part = at, 0, []
@@ -157,8 +158,16 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[tuple[
         lo = np.concatenate([x for x, _ in part])
         many = np.concatenate([x for _, x in part])
         row = np.repeat(np.arange(to - at), [len(x) for x, _ in part])
-        place = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-        counts = np.bincount(np.repeat(row, many) * len(right) + of_right[place], minlength=(to - at) * len(right))
+        met = np.cumsum(many)
+        counts = np.zeros((to - at) * len(right), dtype=np.int64)
+        done = 0
+        while done < len(many):  # a set that shares very much is counted piece by piece
+            before = int(met[done - 1]) if done else 0
+            stop = max(done + 1, int(np.searchsorted(met, before + AT_ONCE, side="right")))
+            n = many[done:stop]
+            place = np.repeat(lo[done:stop] - (met[done:stop] - before - n), n) + np.arange(int(n.sum()))
+            counts += np.bincount(np.repeat(row[done:stop], n) * len(right) + of_right[place], minlength=len(counts))
+            done = stop
         yield at, counts.reshape(to - at, len(right))
         at = to
 
@@ -173,6 +182,7 @@ LINKS = "a long, b long"
 def _join_regions(width: int, least: int):
     """Links of the regions of a bundle, as one star for each component of a region."""
 
+    @tidy_groups
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int]] = []
         for _, region in pdf.groupby("region", sort=False):
@@ -201,6 +211,7 @@ def _assign(width: int, least: int):
     by more than twice the radius: else the triangle inequality says that no linked set has that pivot as its nearest."""
     radius = 1 - least / 100
 
+    @tidy_groups
     def assign(members: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
         out = []
         if not len(pivots):  # none was drawn: the region stays as it is
@@ -388,6 +399,7 @@ def near_pairs(n: np.ndarray, counts: np.ndarray, least: int, apart_from: np.nda
 def _may_be_linked(least: int):
     """Members of the regions of a bundle that, by their counts, may be linked to another member that they aren't connected with."""
 
+    @tidy_groups
     def near(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for name, region in pdf.groupby("region", sort=False):

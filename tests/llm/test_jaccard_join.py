@@ -1,8 +1,12 @@
 import random
+import tracemalloc
 
+import numpy as np
+import pandas as pd
 import pytest
 
-from sparkloom.llm.jaccard_join import Cells, components, jaccard_join, shingles
+from sparkloom.llm import common
+from sparkloom.llm.jaccard_join import Cells, _assign, _join_regions, _may_be_linked, bucket_counts, components, jaccard_join, overlaps, shingles
 
 SCHEMA = "doc_id long, text string, class string, cell int"
 
@@ -142,3 +146,31 @@ def test_near_pairs_lose_no_link():
             for j, b in enumerate(sets):
                 if root[i] != root[j] and 100 * len(a & b) >= least * len(a | b):
                     assert marked[i] and marked[j]
+
+
+def test_overlaps_count_piece_by_piece():
+    """Sets that share nearly everything: what is held at once doesn't grow with what they share (36 MB; when whole sets were counted at once, 140 MB)."""
+    universe = np.unique(np.random.default_rng(5).integers(0, 1 << 63, 20_200).astype(np.uint64))
+    right = [universe[i : i + 20_000] for i in range(60)]
+    left = [*right[::7], np.zeros(0, dtype=np.uint64), universe[:1], universe[-50:] + np.uint64(1)]
+    tracemalloc.start()
+    found = [row for _, counts in overlaps(left, right) for row in counts]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [list(row) for row in found] == [[len(np.intersect1d(x, y)) for y in right] for x in left]
+    assert most < 80 << 20
+
+
+def test_region_tasks_give_memory_back(monkeypatch):
+    """Workers stay beside the heap of their executor, so each of a region's functions empties its caches at its end."""
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
+    texts = [b"a b c d e f g h i j", b"a b c d e f g h i j k"]
+    rows = pd.DataFrame({"region": [1, 1], "member": [1, 2], "data": texts})
+    assert _join_regions(1, 80)(rows).to_numpy().tolist() == [[2, 1]]
+    pivots = pd.DataFrame({"region": [1], "pivot": [1], "data": texts[:1]})
+    assert _assign(1, 80)(rows, pivots)["star"].tolist() == [1, 1]
+    counts = [bucket_counts(shingles(t, 1)) for t in texts]
+    near = pd.DataFrame({"region": [1, 1], "member": [1, 2], "hits": [1, 1], "root": [1, 2], "n": [10, 11], "counts": counts})
+    assert sorted(_may_be_linked(80)(near)["member"]) == [1, 2]
+    assert len(calls) == 3
