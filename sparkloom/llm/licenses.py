@@ -56,8 +56,10 @@ def _templates(spark: SparkSession, phrases: tuple[tuple[str, str], ...], notice
 
 
 def words_of(text: Column) -> Column:
-    """Words of a text with A-Z in lower case."""
-    return F.regexp_extract_all(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(WORD), F.lit(0))
+    """Words of a text with A-Z in lower case. ``lower`` is the faster one and the same for ASCII; elsewhere it changes more than A-Z."""
+    plain = F.octet_length(text) == F.length(text)
+    lowered = F.when(plain, F.lower(text)).otherwise(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    return F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))
 
 
 def _grams(words: str, k: int) -> Column:
@@ -68,8 +70,9 @@ def _grams(words: str, k: int) -> Column:
     return F.when(F.size(words) >= k, runs).otherwise(F.array().cast("array<struct<size:int,pos:int,gram:string>>"))
 
 
-def license_spans(rows: DataFrame, k: int = 3, slack: int = 3, phrases=PHRASES, notices=NOTICES) -> DataFrame:
-    """Places of templates in ``rows`` (``rid, text``; ``rid`` tells rows apart): ``rid, template, label, base, first_word, last_word, share``.
+def license_spans(rows: DataFrame, k: int = 3, slack: int = 3, phrases=PHRASES, notices=NOTICES) -> tuple[DataFrame, DataFrame]:
+    """Places of templates in ``rows`` (``rid, text``; ``rid`` tells rows apart): ``rid, template, label, base, first_word, last_word, share``. And
+    ``rid, n_words`` of each row, from the same scan: a text is cut into words once.
 
     Every run of two and of ``k`` words is joined by its hash to the places of templates that have it, and equal hashes are held against the words
     themselves. A hit votes for its diagonal (its place in the text less that in the template), on which an unchanged copy has all its votes. A phrase
@@ -79,9 +82,12 @@ def license_spans(rows: DataFrame, k: int = 3, slack: int = 3, phrases=PHRASES,
     spark = rows.sparkSession
     templates = _templates(spark, phrases, notices, k)
     sizes = sorted({2} | {r.k for r in templates.select("k").distinct().collect()})  # of a fixed list
-    templates = templates.withColumn("hash", F.xxhash64("template_gram"))
+    # a run of no words stands for the text itself, whose number of words is its place
+    whole_text = spark.createDataFrame([("", 0, -1, 0, 0, 0, 0, None, False)], templates.schema)
+    templates = templates.unionByName(whole_text).withColumn("hash", F.xxhash64("template_gram"))
     tokens = rows.select("rid", words_of(F.col("text")).alias("w"))
-    every = tokens.select("rid", F.inline(F.concat(*[_grams("w", size) for size in sizes])))
+    itself = F.array(F.struct(F.lit(0).alias("size"), F.size("w").alias("pos"), F.lit("").alias("gram")))
+    every = tokens.select("rid", F.inline(F.concat(itself, *[_grams("w", size) for size in sizes])))
     hits = (
         every.withColumn("hash", F.xxhash64("gram"))
         .join(F.broadcast(templates), "hash")  # some hundred rows: the fixed list
@@ -89,7 +95,9 @@ def license_spans(rows: DataFrame, k: int = 3, slack: int = 3, phrases=PHRASES,
     )
     same = ["template", "label", "base", "grams", "words", "needed", "k"]
     votes = hits.groupBy("rid", *same, (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.count(F.lit(1)).alias("votes"), F.sort_array(F.collect_set("at")).alias("at"))
-    votes = written(votes, "license-votes")  # few; texts are scanned once for both kinds of template
+    votes = written(votes, "license-votes")  # few; texts are scanned once for both kinds of template, and for the number of words
+    counted = votes.where("template = -1").select("rid", F.col("diagonal").cast("long").alias("n_words"))
+    votes = votes.where("template >= 0")
     whole = votes.where("base AND votes = grams").select("rid", "template", "label", "base", F.col("diagonal").cast("long").alias("first_word"), (F.col("diagonal") + F.col("words") - 1).cast("long").alias("last_word"), F.lit(1.0).alias("share"))
     along = W.partitionBy("rid", "template").orderBy("diagonal")
     far = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > slack, F.lit(True)).cast("int")
@@ -102,7 +110,7 @@ def license_spans(rows: DataFrame, k: int = 3, slack: int = 3, phrases=PHRASES,
     )
     unbroken = (F.col("words") >= 10) | (F.col("last_word") - F.col("first_word") + 1 == F.col("words"))
     long = merged.select("rid", "template", F.when((F.col("found") >= F.col("needed")) & unbroken, F.col("label")).alias("label"), "base", "first_word", "last_word", (F.col("found") / F.col("words")).alias("share"))
-    return whole.unionByName(long)
+    return whole.unionByName(long), counted
 
 
 def licenses(docs: DataFrame, k: int = 3, slack: int = 3) -> DataFrame:
@@ -117,15 +125,14 @@ def licenses(docs: DataFrame, k: int = 3, slack: int = 3) -> DataFrame:
     Returns ``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score``.
     """
     rows = named(docs, "licenses", "doc_id", text_or_empty().alias("text"))
-    spans = license_spans(rows.select("rid", "text"), k, slack)
+    spans, counted = license_spans(rows.select("rid", "text"), k, slack)
     start = F.when(F.col("base"), F.col("first_word"))
     found = spans.groupBy("rid").agg(
         F.count_if("base").alias("n_base"), F.min(start).alias("first_word"), F.max(start).alias("last_word"),
         F.array_join(F.sort_array(F.collect_set(F.when(F.col("base"), F.col("label")))), ",").alias("base_labels"),
         F.array_join(F.sort_array(F.collect_set("label")), ",").alias("labels"), F.max("share").alias("score"),
     )
-    counted = rows.select("rid", "doc_id", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
-    return counted.join(found, "rid", "left").select(
+    return rows.select("rid", "doc_id").join(counted, "rid").join(found, "rid", "left").select(
         "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
         F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"),
     )

@@ -64,3 +64,13 @@ def test_near_notices_have_no_label(spark):
 
 def test_empty_table(spark):
     assert licenses(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_texts_are_cut_into_words_once(spark):
+    """The number of words comes from the scan for runs: the result's plan cuts no text again. Case outside ASCII stays as it is."""
+    rows = [(1, "KELVIN MIT LICENSE"), (2, "ÀPACHE APACHE License Éa"), (3, "İ CC By"), (4, "Apache LICENSE"), (5, ""), (6, None), (7, "one"), (8, "MİT LICENSE K"), (8, "mit LICENſE")]
+    found = licenses(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((x.doc_id, x.n_words, x.n_base, str(x.first_word), str(x.last_word), x.base_labels) for x in found.collect())
+    want = [(d, *base(t)) for d, t in rows]
+    assert got == sorted((d, n, b, str(f), str(last), labels) for d, n, b, f, last, labels in want)
