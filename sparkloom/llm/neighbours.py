@@ -11,7 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import short_batches, small, written
+from .common import give_back, short_batches, small, written
+
+#: Products that are looked at together.
+PAIRS = 1 << 17
 
 
 class Forest:
@@ -48,14 +51,17 @@ class Forest:
         return cls(directions, thresholds)
 
     def leaves(self, vectors: np.ndarray) -> np.ndarray:
-        """Leaf of each vector in each tree."""
+        """Leaf of each vector in each tree. Vectors are multiplied with a tree's directions block by block, so that memory does not grow with both."""
         out = np.zeros((len(vectors), self.trees), dtype=np.int64)
+        rows = max(1, PAIRS // max(1, self.nodes))
         for t in range(self.trees):
-            side = vectors @ self.directions[t].T.astype(np.float64) >= self.thresholds[t]
-            node = np.zeros(len(vectors), dtype=np.int64)
-            for _ in range(self.depth):
-                node = 2 * node + 1 + side[np.arange(len(vectors)), node]
-            out[:, t] = node - self.nodes
+            directions = self.directions[t].T.astype(np.float64)
+            for begin in range(0, len(vectors), rows):
+                side = vectors[begin : begin + rows] @ directions >= self.thresholds[t]
+                node = np.zeros(len(side), dtype=np.int64)
+                for _ in range(self.depth):
+                    node = 2 * node + 1 + side[np.arange(len(side)), node]
+                out[begin : begin + rows, t] = node - self.nodes
         return out
 
     def search(self, q: np.ndarray, visits: int) -> list[tuple[int, int]]:
@@ -162,8 +168,6 @@ def _visit(forest, level: int, slices: int, visits: int):
 
 
 FOUND = "q_uid long, uids array<long>, scores array<double>"
-#: Products that are looked at together.
-PAIRS = 1 << 17
 NONE = np.iinfo(np.int64).max
 
 
@@ -263,11 +267,13 @@ def neighbours(
     keep = k + 1
     vectors = written(distinct_vectors(usable.select("vec_id", "vector"), keep, n), "ann-vectors")
     n = vectors.count()
-    chosen = vectors.orderBy(F.xxhash64("uid"), "uid").limit(sample).select("vector").toPandas()["vector"]
+    chosen = np.stack(vectors.orderBy(F.xxhash64("uid"), "uid").limit(sample).select("vector").toPandas()["vector"].to_numpy()).astype(np.float64)
     depth = max(0, min(most_depth, int(np.ceil(np.log2(max(1, n / leaf)))), int(np.log2(max(1, len(chosen) / 4)))))
-    fitted = Forest.fit(np.stack(chosen.to_numpy()).astype(np.float64), trees, depth, seed)
+    fitted = Forest.fit(chosen, trees, depth, seed)
     forest = spark.sparkContext.broadcast(fitted)  # trees * 2**most_depth directions at most
-    visits = max(least_visits, visits_for(fitted, np.stack(chosen.to_numpy()).astype(np.float64), k, recall)[0])
+    visits = max(least_visits, visits_for(fitted, chosen, k, recall)[0])
+    del chosen
+    give_back()
     level = max(0, min(depth, int(np.round(np.log2(max(1, n / region))))))
     slices = max(1, round(n / (1 << level) / region))
     q_uid = usable.where("is_query").select("vec_id", "vector").join(vectors.select("uid", "vector"), "vector").select(F.col("vec_id").alias("query_id"), F.col("uid").alias("q_uid"))

@@ -1,9 +1,11 @@
 """Neighbours against brute force where products are large, near each other or equal."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
-from sparkloom.llm.neighbours import neighbours
+from sparkloom.llm.neighbours import Forest, neighbours
 
 SCHEMA = "vec_id long, embedding array<double>"
 
@@ -74,3 +76,21 @@ def test_regions_blocks_and_slices(spark):
     twice = spark.createDataFrame([(i, v.tolist(), 1, "x") for i, v in enumerate(x)] * 2, SCHEMA + ", region int, uid string")
     again = neighbours(twice, twice.vec_id % 20 == 0, k=7, least_visits=10**9).collect()
     assert {(a.query_id, a.rank, a.vec_id) for a in again} == {(q, n + 1, i) for q, v in want.items() for n, (i, _) in enumerate(v)} and len(again) == 7 * 25
+
+
+def test_memory_of_the_measured_sample():
+    """Leaves of a sample take memory for a block of vectors, not for all of them times all nodes; and they are those of a walk by single products."""
+    r = np.random.default_rng(3)
+    x = r.standard_normal((8192, 16))
+    forest = Forest.fit(x, 2, 11, 5)
+    tracemalloc.start()
+    leaves = forest.leaves(x)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 16e6  # all at once: 8192 * 2047 products, 134 MB
+    for i in range(0, len(x), 97):
+        for t in range(2):
+            node = 0
+            for _ in range(11):
+                node = 2 * node + 1 + int(x[i] @ forest.directions[t, node].astype(np.float64) >= forest.thresholds[t, node])
+            assert leaves[i, t] == node - forest.nodes
