@@ -7,18 +7,22 @@ from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORKER_CACHES, give_back, short_batches, text_or_empty, written
 
-#: Words, and parts of words, whose ids a Python worker remembers at most.
-REMEMBERED = 250_000
+#: Parts of words whose ids a Python worker remembers in each of two generations.
+REMEMBERED = 200_000
 #: The split that the tokenizer file names; it never crosses white space. Fixed value.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Stands between the ids of two words. No id is as large, so the ids of a word never hold it.
+LINE = b"\xff" * 4
 #: Below this code point there is no combining mark, and lower case is the same everywhere.
 PLAIN = 0x130
 
@@ -32,9 +36,26 @@ def _byte_letters() -> dict[int, str]:
     return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(PLAIN)}
 
 
+class Recent:
+    """Bytes by key, in two generations: when the younger has ``most`` keys it becomes the older, whose
+    keys are forgotten unless they were met meanwhile. So what is frequent stays."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.young, self.old = most, {}, {}
+
+    def missing(self, met: set) -> list:
+        """Those of ``met`` that aren't known; the others are in ``young`` from then on."""
+        if len(self.young) >= self.most:
+            self.young, self.old = {}, self.young
+        new = met.difference(self.young)
+        again = self.old.keys() & new
+        self.young.update(zip(again, map(self.old.__getitem__, again), strict=True))
+        return list(new - again)
+
+
 class WordIds:
     """Ids of whole texts from the ids of their words, for tokenizers that split at white space: no id
-    depends on what stands beyond it. Words of plain characters are lower-cased and split here and
+    depends on what stands beyond it. Words of plain characters are lower-cased and split together and
     their parts given to the tokenizer's model; all other words go through the whole tokenizer."""
 
     def __init__(self, path: str) -> None:
@@ -43,39 +64,50 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenize = self.tokenizer.model.tokenize
         self.letters = _byte_letters()
-        self.split = regex.compile(SPLIT)
-        self.known: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.split = regex.compile(rf"{SPLIT}|\n")
+        self.spelt = [i.to_bytes(4, "little") for i in range(max(self.tokenizer.get_vocab().values()) + 1)]
+        self.known = Recent(REMEMBERED)
+
+    def odd(self, w: str) -> bool:
+        return "<|" in w or not w.isascii() and ord(max(w)) >= PLAIN
 
     def part(self, p: str) -> bytes:
-        ids = self.parts.get(p)
-        if ids is None:
-            if len(self.parts) >= REMEMBERED:
-                self.parts.clear()
-            ids = self.parts[p] = b"".join([t.id.to_bytes(4, "little") for t in self.tokenize(p.translate(self.letters))])
-        return ids
-
-    def word(self, w: bytes) -> bytes:
-        s = w.decode()
-        if b"<|" in w or ord(max(s)) >= PLAIN:
-            return b"".join([i.to_bytes(4, "little") for i in self.tokenizer.encode(s, add_special_tokens=False).ids])
-        s = s.lower()
-        return self.part(s) if s.isalpha() else b"".join([self.part(p) for p in self.split.findall(s)])
-
-    def __call__(self, text: bytes) -> bytes:
-        """Ids of UTF-8 text as little-endian unsigned 32-bit numbers."""
-        words = text.split()  # of bytes: at ASCII white space only
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            pass
-        if len(known) >= REMEMBERED:
-            known.clear()
-        for w in set(words):
-            if w not in known:
-                known[w] = self.word(w)
-        return b"".join(map(known.__getitem__, words))
+        """Ids of a part of a plain word, or of an odd word."""
+        if self.odd(p):
+            return b"".join([self.spelt[i] for i in self.tokenizer.encode(p, add_special_tokens=False).ids])
+        letters = p if p.isascii() and p.isprintable() else p.translate(self.letters)
+        return b"".join([self.spelt[t.id] for t in self.tokenize(letters)])
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word as little-endian unsigned 32-bit numbers. There is no ASCII white space in ``words``."""
+        lines, odd = "\n".join(words), set()
+        if "<|" in lines or not lines.isascii():
+            odd = {w for w in words if self.odd(w)}
+            lines = "\n".join([w for w in words if w not in odd]) if odd else lines
+        parts = self.split.findall(lines.lower())
+        for p in self.known.missing({*parts, *odd, "\n"}):
+            self.known.young[p] = LINE if p == "\n" else self.part(p)
+        of = self.known.young
+        ids = b"".join(map(of.__getitem__, parts)).split(LINE)
+        if not odd:
+            return ids
+        plain = iter(ids)
+        return [of[w] if w in odd else next(plain) for w in words]
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all ``texts`` one after the other, and where those of each begin, with their end. Each
+        distinct word is looked at once."""
+        words = pc.ascii_split_whitespace(texts)
+        each = words.flatten().dictionary_encode()
+        if not len(each):
+            return np.zeros(0, dtype="<u4"), np.zeros(len(texts) + 1, dtype=np.int64)
+        known = self.words(each.dictionary.to_pylist())
+        lengths = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        of = each.indices.to_numpy()
+        ends = np.concatenate(([0], np.cumsum(lengths[of])))
+        place = np.repeat((np.cumsum(lengths) - lengths)[of] - ends[:-1], lengths[of])
+        place += np.arange(len(place))
+        return np.frombuffer(b"".join(known), dtype="<u4")[place], ends[words.offsets.to_numpy()]
 
 
 @lru_cache(maxsize=1)
@@ -96,8 +128,9 @@ def _pieces(path: str, size: int, end: int):
         last = end.to_bytes(4, "little")
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = ids_of(text) + last
+            found, begin = ids_of(batch.column(1))
+            for doc, a, b in zip(batch.column(0).to_pylist(), begin[:-1], begin[1:], strict=True):
+                ids = found[a:b].tobytes() + last
                 for k, at in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[at : at + 4 * size]
                     rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
@@ -110,8 +143,8 @@ def _pieces(path: str, size: int, end: int):
 
 def token_pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end: int = 0) -> DataFrame:
     """Each document's ids followed by ``end``, cut into pieces of ``size`` (the last may be shorter)."""
-    short_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text")).mapInArrow(_pieces(tokenizer, size, end), PIECES)
+    short_batches(docs.sparkSession, 2048)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(_pieces(tokenizer, size, end), PIECES)
 
 
 def best_fit(lengths: list[int], size: int) -> list[list[int]]:

@@ -5,11 +5,13 @@ import zlib
 from collections import defaultdict
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from sparkloom.llm import packing
 from sparkloom.llm.mixing import mix
-from sparkloom.llm.packing import best_fit, local_search, pack
+from sparkloom.llm.packing import WordIds, best_fit, local_search, pack
 from sparkloom.llm.sharding import shard
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -64,6 +66,30 @@ def test_pack_documents(spark, sf_dir):
     assert pack(docs.where("doc_id < 0"), PATH).count() == 0
 
 
+def test_words_are_tokenized_once(monkeypatch):
+    """Ids are those of the tokenizer on whole texts; frequent words aren't tokenized again when others have filled the memory of words."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "REMEMBERED", 40)
+    whole, ids, asked = Tokenizer.from_file(PATH), WordIds(PATH), defaultdict(int)
+    model = ids.tokenize
+
+    def tokenize(p):
+        asked[p] += 1
+        return model(p)
+
+    ids.tokenize = tokenize
+    often = [f"Often{chr(97 + i)}" for i in range(20)]
+    strange = ["", " ", "\x0b\x0c", "\x85 a\xa0b\x1f", " lead trail ", "ÀÉ ſ Ā ĳ İ", "日本 ok 日本", "<|endoftext|> <|ENDOFTEXT|> x<|y", "a\u0301 É", "\x00 \x7f"]
+    for k in range(30):
+        texts = [" ".join([*often, *(f"rare{chr(97 + k)}{chr(97 + i)}," for i in range(26))]), *strange, *often]
+        got, begin = ids(pa.array(texts))
+        assert [got[a:b].tolist() for a, b in zip(begin[:-1], begin[1:], strict=True)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert all(asked[w.lower()] == 1 for w in often)
+    assert max(asked.values()) == 1
+    assert [len(x) for x in ids(pa.array(["", ""]))] == [0, 3] and [len(x) for x in ids(pa.array([], pa.string()))] == [0, 1]
+
+
 def test_local_search_empties_bins():
     r = random.Random(2)
     for _ in range(30):
