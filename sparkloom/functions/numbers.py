@@ -73,3 +73,13 @@ def offline_uuid(name: Column) -> Column:
     h = F.md5(F.concat(F.lit("OfflinePlayer:"), name).cast("binary"))
     variant = F.element_at(F.split(F.lit("8 9 a b"), " "), F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4 + 1)
     return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-3"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
+
+
+def rounded(value: Column, digits: int) -> Column:
+    """``F.round(value, digits)`` of a double, bit for bit. That goes through decimals, one object a value; here only values do that are large or lie near the middle between two results.
+
+    Below 2**44 units of the last digit, scaling is off by less than 1/256 of a unit, so whatever lies 1/64 or more from the middle has a sure whole number, and its quotient is the double nearest to the decimal."""
+    scale = F.lit(10.0**digits)
+    units = value * scale
+    sure = (F.abs(units) < F.lit(2.0**44)) & (F.abs(units - F.floor(units) - F.lit(0.5)) > F.lit(1 / 64))
+    return F.when(sure, F.floor(units + F.lit(0.5)) / scale).otherwise(F.round(value, digits))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spatial import AXES
+from .spatial import AXES, first_cells, join_in_tiles
 
 #: Finest and coarsest level. Smaller boxes lie on the finest; places are cut at a width of the coarsest, so infinite boxes have a level too.
 LEAST, MOST = -20, 60
@@ -57,58 +57,66 @@ def on_grid(boxes: DataFrame, dims: int = 3) -> DataFrame:
     return out
 
 
+def _of_points(points: DataFrame, laid: DataFrame, dims: int) -> DataFrame:
+    """Points (as ``point_id, x, y, z``) with the rows of ``laid`` (boxes with ``level``) whose boxes meet one of their cells."""
+    up = points.select(F.col("id").alias("point_id"), *[F.col(c).cast("double").alias(c) for c in AXES[:dims]]).dropna(subset=list(AXES[:dims]))
+    up = up.join(F.broadcast(_levels(laid))).withColumn("level", F.explode("levels")).drop("levels")
+    for c in AXES[:dims]:
+        up = up.where(~F.isnan(c)).withColumn(f"g{c}", _cell(F.col(c), F.col("level")))
+    return join_in_tiles(up, on_grid(laid, dims), ["level", *[f"g{c}" for c in AXES[:dims]]])
+
+
 def boxes_of_points(points: DataFrame, boxes: DataFrame, dims: int = 3) -> DataFrame:
     """Pairs ``(point_id, box_id)`` of points (``id, x, y, z``) inside boxes (``id, lo_x .. hi_z``), ends excluded; ``dims=2`` doesn't look at z.
 
-    Each point looks up one cell on every level that has boxes. Points with a null or undefined place lie in none. The join is one on equal cells, so it
-    is shuffled, or a small side is broadcast, and crowded cells are split."""
+    Each point looks up one cell on every level that has boxes. Points with a null or undefined place lie in none. The join is one on equal cells, and
+    crowded cells, as those of boxes that hold nearly all points, are cut in tiles (``join_in_tiles``)."""
     bounds = [f"{e}_{c}" for c in AXES[:dims] for e in ("lo", "hi")]
     laid = _with_level(usable(boxes, dims).select(F.col("id").alias("box_id"), *[F.col(b).cast("double").alias(b) for b in bounds]), dims)
-    at = points.select(F.col("id").alias("point_id"), *[F.col(c).cast("double").alias(c) for c in AXES[:dims]]).dropna(subset=list(AXES[:dims]))
-    up = at.join(F.broadcast(_levels(laid))).withColumn("level", F.explode("levels")).drop("levels")
-    for c in AXES[:dims]:
-        up = up.where(~F.isnan(c)).withColumn(f"g{c}", _cell(F.col(c), F.col("level")))
     inside = F.lit(True)
     for c in AXES[:dims]:
         inside = inside & (F.col(c) > F.col(f"lo_{c}")) & (F.col(c) < F.col(f"hi_{c}"))
-    return up.join(on_grid(laid, dims), ["level", *[f"g{c}" for c in AXES[:dims]]]).where(inside).select("point_id", "box_id")
+    return _of_points(points, laid, dims).where(inside).select("point_id", "box_id")
 
 
-def touching_boxes(a: DataFrame, b: DataFrame, dims: int = 3) -> DataFrame:
-    """Pairs ``(a_id, b_id)`` of boxes that overlap, mere contact excluded.
+def _sharing(left: DataFrame, right: DataFrame, dims: int, a_columns: list[str], b_columns: list[str]) -> DataFrame:
+    """Rows of ``left`` and ``right`` (boxes ``lo_x .. hi_z``) whose boxes share a cell of the larger one's level, each pair once, with ``a_columns`` and ``b_columns``.
 
-    A pair meets on the level of its larger box: the larger one lies there, the smaller one looks up that level, with at most eight cells. Of the
-    cells that both meet, only the one with the pair's common lower corner gives the pair, so each is returned once."""
-    sides = []
-    for df, p in ((a, "a"), (b, "b")):
-        whole = usable(df, dims).select("id", *[F.col(f"{e}_{c}").cast("double").alias(f"{e}_{c}") for c in AXES[:dims] for e in ("lo", "hi")])
-        sides.append((p, _with_level(whole, dims)))
-    (_, left), (_, right) = sides
-
-    def laid(df: DataFrame, p: str) -> DataFrame:
-        named = df.select(F.col("id").alias(f"{p}_id"), "level", *[F.col(f"g{c}") for c in AXES[:dims]], *[F.col(f"{e}_{c}").alias(f"{p}_{e}_{c}") for c in AXES[:dims] for e in ("lo", "hi")])
-        return named
+    The larger box of a pair lies on its level, the smaller one looks that level up, with at most eight cells. Of the cells that both meet, they are joined only in
+    the one with the pair's common lower corner."""
+    left, right = _with_level(left, dims), _with_level(right, dims)
+    cells = [f"g{c}" for c in AXES[:dims]]
 
     def looking_up(df: DataFrame, other: DataFrame, above: bool) -> DataFrame:
         """``df`` on the levels of ``other`` from its own up; ``above``: only those higher than its own."""
         least = F.col("own") + 1 if above else F.col("own")
         up = df.withColumnRenamed("level", "own").join(F.broadcast(_levels(other))).withColumn("level", F.explode(F.filter("levels", lambda n: n >= least)))
-        return on_grid(up.drop("levels", "own"), dims)
+        return up.drop("levels", "own")
+
+    def laid(df: DataFrame, columns: list[str], looked_for: bool) -> DataFrame:
+        firsts = [_cell(F.col(f"lo_{c}"), F.col("level")) for c in AXES[:dims]]
+        return first_cells(on_grid(df, dims), cells, firsts, "_first", looked_for).select("level", *cells, "_first", *columns)
+
+    keys = ["level", *cells, "_first"]
+    small_a = join_in_tiles(laid(looking_up(left, right, False), a_columns, True), laid(right, b_columns, False), keys)
+    small_b = join_in_tiles(laid(left, a_columns, True), laid(looking_up(right, left, True), b_columns, False), keys)
+    return small_a.select(*a_columns, *b_columns).unionByName(small_b.select(*a_columns, *b_columns))
 
-    keys = ["level", *[f"g{c}" for c in AXES[:dims]]]
-    small_a = laid(looking_up(left, right, False), "a").join(laid(on_grid(right, dims), "b"), keys)
-    small_b = laid(on_grid(left, dims), "a").join(laid(looking_up(right, left, True), "b"), keys)
+
+def touching_boxes(a: DataFrame, b: DataFrame, dims: int = 3) -> DataFrame:
+    """Pairs ``(a_id, b_id)`` of boxes that overlap, mere contact excluded: each pair meets in one cell (``_sharing``)."""
+    bounds = [f"{e}_{c}" for c in AXES[:dims] for e in ("lo", "hi")]
+    left, right = (usable(df, dims).select(F.col("id").alias(f"{p}_id"), *[F.col(n).cast("double").alias(n) for n in bounds], *[F.col(n).cast("double").alias(f"{p}_{n}") for n in bounds]) for df, p in ((a, "a"), (b, "b")))
     meet = F.lit(True)
     for c in AXES[:dims]:
         meet = meet & (F.col(f"a_lo_{c}") < F.col(f"b_hi_{c}")) & (F.col(f"b_lo_{c}") < F.col(f"a_hi_{c}"))
-        meet = meet & (F.col(f"g{c}") == _cell(F.greatest(f"a_lo_{c}", f"b_lo_{c}"), F.col("level")))
-    return small_a.unionByName(small_b.select(*small_a.columns)).where(meet).select("a_id", "b_id")
+    return _sharing(left, right, dims, *[[f"{p}_{n}" for n in ("id", *bounds)] for p in "ab"]).where(meet).select("a_id", "b_id")
 
 
-def _around(spheres: DataFrame) -> DataFrame:
-    """Boxes around spheres (``id, x, y, z, r``), a little wider than they are, so that rounding loses none; those without a size are left out."""
+def _around(spheres: DataFrame, *columns: Column) -> DataFrame:
+    """Boxes around spheres (``x, y, z, r``), a little wider than they are, so that rounding loses none, with further ``columns``; spheres without a size are left out."""
     wide = F.col("r") + F.greatest(F.abs("x"), F.abs("y"), F.abs("z"), F.col("r")) * F.lit(1e-12)
-    return spheres.where("r > 0").select("id", *[(F.col(c) - wide).alias(f"lo_{c}") for c in AXES], *[(F.col(c) + wide).alias(f"hi_{c}") for c in AXES])
+    return usable(spheres.where("r > 0").select(*columns, *[(F.col(c) - wide).alias(f"lo_{c}") for c in AXES], *[(F.col(c) + wide).alias(f"hi_{c}") for c in AXES]))
 
 
 def _distance2(p: str, q: str) -> Column:
@@ -116,18 +124,15 @@ def _distance2(p: str, q: str) -> Column:
 
 
 def spheres_of_points(points: DataFrame, spheres: DataFrame) -> DataFrame:
-    """Pairs ``(point_id, sphere_id)`` of points inside spheres, the surface excluded."""
-    near = boxes_of_points(points, _around(spheres)).withColumnRenamed("box_id", "sphere_id")
-    named = spheres.select(F.col("id").alias("sphere_id"), *[F.col(c).alias(f"s{c}") for c in AXES], "r")
-    at = points.select(F.col("id").alias("point_id"), *[F.col(c).alias(f"p{c}") for c in AXES])
-    return near.join(at, "point_id").join(named, "sphere_id").where(_distance2("p", "s") < F.col("r") * F.col("r")).select("point_id", "sphere_id")
+    """Pairs ``(point_id, sphere_id)`` of points inside spheres, the surface excluded. Places and radii go through the join on cells, so pairs aren't joined again."""
+    laid = _with_level(_around(spheres, F.col("id").alias("sphere_id"), *[F.col(c).cast("double").alias(f"s{c}") for c in AXES], F.col("r").cast("double").alias("r")), 3)
+    return _of_points(points, laid, 3).where(_distance2("", "s") < F.col("r") * F.col("r")).select("point_id", "sphere_id")
 
 
 def touching_spheres(a: DataFrame, b: DataFrame) -> DataFrame:
     """Pairs ``(a_id, b_id)`` of spheres that overlap: their middles are nearer than the sum of their radii, with their places and radii (``a_x .. b_r``)."""
-    near = touching_boxes(_around(a), _around(b))
-    for df, p in ((a, "a"), (b, "b")):
-        near = near.join(df.select(F.col("id").alias(f"{p}_id"), *[F.col(c).cast("double").alias(f"{p}_{c}") for c in (*AXES, "r")]), f"{p}_id")
+    left, right = (_around(df, F.col("id").alias(f"{p}_id"), *[F.col(c).cast("double").alias(f"{p}_{c}") for c in (*AXES, "r")]) for df, p in ((a, "a"), (b, "b")))
+    near = _sharing(left, right, 3, *[[f"{p}_{n}" for n in ("id", *AXES, "r")] for p in "ab"])
     return near.where(_distance2("a_", "b_") < (F.col("a_r") + F.col("b_r")) * (F.col("a_r") + F.col("b_r")))
 
 
