@@ -21,11 +21,11 @@ def _asof(left: DataFrame, right: DataFrame, by: list[str], order: list[str], ca
     both = sides.unionByName(hits).select("*", tie)
     sorted_ = cut(both.orderBy(*by, *order, "_tie").withColumn("_range", F.spark_partition_id()), name)
     pick = F.min if forward else F.max
-    inside = W.partitionBy("_range", *by).orderBy(*order, "_tie")
-    near = pick("_hit").over(inside.rowsBetween(0, W.unboundedFollowing) if forward else inside.rowsBetween(W.unboundedPreceding, 0))
+    # frames begin at the first row: one that ends at the last row would be summed up anew for each row, so what comes next is found in the reverse order
+    turned = lambda c: F.col(c).desc() if forward else F.col(c).asc()
+    near = pick("_hit").over(W.partitionBy("_range", *by).orderBy(*[turned(c) for c in (*order, "_tie")]).rowsBetween(W.unboundedPreceding, 0))
     summary = sorted_.groupBy("_range", *by).agg(pick("_hit").alias("_edge"))
-    along = W.partitionBy(*by).orderBy("_range")
-    beyond = pick("_edge").over(along.rowsBetween(1, W.unboundedFollowing) if forward else along.rowsBetween(W.unboundedPreceding, -1))
+    beyond = pick("_edge").over(W.partitionBy(*by).orderBy(turned("_range")).rowsBetween(W.unboundedPreceding, -1))
     edges = summary.select("_range", *[F.col(c).alias(f"_by_{c}") for c in by], beyond.alias("_beyond")).where("_beyond is not null")
     here = sorted_.withColumn("_near", near).where("_row is not null").withColumnRenamed("_range", "_at")
     same: Column = F.col("_at") == F.col("_range")
