@@ -636,13 +636,13 @@ def _touching_spheres(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"{_BOTH}, g AS (SELECT *, (d + r + s) / 2 AS g FROM t) SELECT a_id, b_id, " + ", ".join(f"round(CASE WHEN d + s <= r THEN a{c} WHEN d + r <= s THEN b{q} ELSE a{c} + (b{q} - a{c}) * ((g - r) / d) END, 6) AS {c}" for c, q in (("x", "x"), ("y", "y_"), ("z", "z"))) + ", round(CASE WHEN d + s <= r THEN r WHEN d + r <= s THEN s ELSE g END, 6) AS r FROM g")
 def sphere_union(spark, d):
-    return _touching_spheres(spark, d).select("a_id", "b_id", *[F.round(c, 6).alias(n) for c, n in zip(levels.union_sphere(), "xyzr", strict=True)])
+    return _touching_spheres(spark, d).select("a_id", "b_id", *[numbers.rounded(c, 6).alias(n) for c, n in zip(levels.union_sphere(), "xyzr", strict=True)])
 
 
 @_query(f"{_BOTH} SELECT a_id, b_id, " + ", ".join(f"round(CASE WHEN d > 0 THEN a{c} * (1 + (r - s) / d) + b{q} * (1 - (r - s) / d) END, 3) AS {c}" for c, q in (("x", "x"), ("y", "y_"), ("z", "z"))) + ", CASE WHEN d > 0 THEN round(d + r + s, 6) END AS r FROM t")
 def sphere_joined(spark, d):
     x, y, z, r = levels.joined_sphere()
-    return _touching_spheres(spark, d).select("a_id", "b_id", *[F.round(c, 3).alias(n) for c, n in ((x, "x"), (y, "y"), (z, "z"))], F.round(r, 6).alias("r"))
+    return _touching_spheres(spark, d).select("a_id", "b_id", *[numbers.rounded(c, 3).alias(n) for c, n in ((x, "x"), (y, "y"), (z, "z"))], numbers.rounded(r, 6).alias("r"))
 
 
 _VIEWERS = "v AS (SELECT s_suppkey AS viewer, CAST(s_suppkey % 50 AS INT) AS vx, s_nationkey AS vz, CAST(2 + s_suppkey % 5 AS INT) AS r FROM supplier), l AS (SELECT DISTINCT c_custkey % 100 + 1 AS viewer, CAST(c_custkey % 61 AS INT) AS cx, c_nationkey AS cz FROM customer)"
