@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .matrix import spmm
+
 #: Keys that a sketch names at most, those that it follows at the same time, and those that a tile takes together.
 MOST, FOLLOWED, TOGETHER = 1024, 8192, 64
 
@@ -40,7 +42,7 @@ def _tile(left: pa.Table, right: pa.Table) -> pa.Table:
 def spmm_split(a: DataFrame, b: DataFrame, share: float = 1 / 64, area: int = 1 << 20) -> DataFrame:
     """As ``matrix.spmm``, for matrices in which single ``k`` have more than ``share`` of all entries of A or of B: ``(i, j, c)``.
 
-    Light ``k`` are joined by hash. Heavy ones are found by a sketch, their repeated coordinates are added up, and their products are cut in two dimensions: tiles of about ``area``
+    Light ``k`` are multiplied as in ``matrix.spmm``. Heavy ones are found by a sketch, their repeated coordinates are added up, and their products are cut in two dimensions: tiles of about ``area``
     cells by hashes of ``i`` and ``j``, each with up to ``TOGETHER`` keys. A tile takes few enough rows of both sides for one task, whatever share a ``k`` has,
     and returns one partial sum a cell; all partial sums are added once more by ``(i, j)``. Which ``k`` are heavy decides how a product is made, never whether. Entries
     without place or value are left out."""
@@ -50,7 +52,7 @@ def spmm_split(a: DataFrame, b: DataFrame, share: float = 1 / 64, area: int = 1
     heavy = sorted(heavy_a | heavy_b)
     named = [(k, n // TOGETHER) for n, k in enumerate(heavy)]  # at most 2 * MOST rows
     parts = lambda: F.broadcast(a.sparkSession.createDataFrame(named, f"k {a.schema['k'].dataType.simpleString()}, part int"))
-    light = a.join(parts(), "k", "left_anti").join(b.join(parts(), "k", "left_anti"), "k").select("i", "j", (F.col("v") * F.col("b")).alias("c"))
+    light = spmm(a.join(parts(), "k", "left_anti"), b.join(parts(), "k", "left_anti"))
 
     across = max(1, min(columns, math.isqrt(area)))
     high, broad = max(1, math.ceil(rows * across / area)), max(1, math.ceil(columns / across))

@@ -15,25 +15,58 @@ from ..plans.iterate import broadcast_if_small, prefix_sums
 #: Rows of a right-hand matrix that is sent to every executor; a larger one is shuffled on ``k``.
 BROADCAST_ROWS = 100_000
 
+#: Columns of a right-hand matrix whose rows are multiplied whole.
+WIDEST = 256
+
 
 def from_dense(rows: DataFrame) -> DataFrame:
     """``(i, row array)`` as ``(i, k, v)`` without exact zeros. Null rows and null entries give nothing."""
     return rows.select("i", F.posexplode("row").alias("k", "v")).where("v <> 0")
 
 
+def by_rows(a: DataFrame) -> DataFrame:
+    """``a`` with the entries of a row in one task, so that its sums need neither a large table of partial ones nor another shuffle."""
+    return a.repartition("i")
+
+
+def _row_sums(a: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """``(i, c0, c1, ...)`` of ``a`` and B as ``(k, row array)``: one joined row for each entry of ``a``, one accumulator for each column."""
+    return a.join(rows, "k").groupBy("i").agg(*[F.sum(F.col("v").cast("double") * F.col("row")[n]).alias(f"c{n}") for n in range(width)])
+
+
+def _columns(b: DataFrame) -> list | None:
+    """The ``j`` of a small ``b`` (each cell once) in order, if it is dense: every ``k`` has every ``j``, without nulls, and there are few."""
+    counts = [F.count(F.lit(1)), F.count("j"), F.count("b"), F.count_distinct("k"), F.count_distinct("j")]
+    cells, named, filled, ks, js = b.agg(*counts).first()
+    if not cells == named == filled == ks * js or not 0 < js <= WIDEST:
+        return None
+    return [r.j for r in b.select("j").distinct().orderBy("j").collect()]
+
+
 def spmm(a: DataFrame, b: DataFrame) -> DataFrame:
-    """``C[i, j] = sum of A[i, k] * B[k, j]``, as ``(i, j, c)``; repeated coordinates of ``a`` add up. Rows of A that meet no row of
-    B have no result (see ``with_all_rows``). Sums are in double precision. The join on ``k`` is split where a ``k`` is
-    frequent, and products are summed before they are shuffled on ``(i, j)``."""
-    product = (F.col("v") * F.col("b")).cast("double")
-    return a.join(broadcast_if_small(b, BROADCAST_ROWS), "k").groupBy("i", "j").agg(F.sum(product).alias("c"))
+    """``C[i, j] = sum of A[i, k] * B[k, j]``, as ``(i, j, c)``; repeated coordinates add up, those of ``b`` before the join, so they make no products of their own. Rows of A that meet no row of
+    B have no result (see ``with_all_rows``). Products and sums are in double precision.
+
+    A B that is small once added up goes to all tasks, and each sums whole rows of A; if it is dense, too, it goes by rows, with one accumulator for each column. For a larger one the join on ``k``
+    is split where a ``k`` is frequent, and products are summed before they are shuffled on ``(i, j)``."""
+    added = b.where("k IS NOT NULL").groupBy("k", "j").agg(F.sum(F.col("b").cast("double")).alias("b"))
+    small = broadcast_if_small(added, BROADCAST_ROWS)
+    if small is not added:
+        a = by_rows(a)
+        if columns := _columns(added):
+            rows = added.groupBy("k").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "b"))), lambda s: s["b"]).alias("row"))
+            cells = F.array(*[F.struct(F.lit(j).cast(b.schema["j"].dataType).alias("j"), F.col(f"c{n}").alias("c")) for n, j in enumerate(columns)])
+            return _row_sums(a, F.broadcast(rows), len(columns)).select("i", F.inline(cells))
+    return a.join(small, "k").groupBy("i", "j").agg(F.sum(F.col("v").cast("double") * F.col("b")).alias("c"))
 
 
 def spmm_rows(a: DataFrame, b: DataFrame, width: int) -> DataFrame:
-    """The same product from B as ``(k, row array)`` of ``width``, row by row: one joined row for each non-zero of A,
+    """The same product from B as ``(k, row array)`` of ``width``, row by row: rows of B with one ``k`` are added up, and there is one joined row for each non-zero of A,
     and one accumulator for each column. Returns ``(i, row array)``."""
-    sums = [F.sum(F.col("v") * F.col("row")[j].cast("double")).alias(f"c{j}") for j in range(width)]
-    return a.join(broadcast_if_small(b, BROADCAST_ROWS // max(1, width)), "k").groupBy("i").agg(*sums).select("i", F.array(*[F.col(f"c{j}") for j in range(width)]).alias("row"))
+    added = b.groupBy("k").agg(F.array(*[F.sum(F.col("row")[j].cast("double")) for j in range(width)]).alias("row"))
+    if (small := broadcast_if_small(added, BROADCAST_ROWS // max(1, width))) is not added:
+        a = by_rows(a)
+    return _row_sums(a, small, width).select("i", F.array(*[F.col(f"c{j}") for j in range(width)]).alias("row"))
 
 
 def with_all_rows(c: DataFrame, rows: DataFrame, columns: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from ..functions import numbers
 from ..operators import automaton, changes, commands, heavy, levels, lighting, matrix, nested, packed, quant, sections, sessions, shapes, spatial, tomography, trees, voxel
 from ..sources import blocks_gzip, matrix_market, patterns, scripts
 from ..sources.tables import lookup, table
-from .iterate import shared_dir
+from .iterate import cut, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -35,9 +35,13 @@ _B = "b AS (SELECT vec_id % 500 AS k, unnest(range(len(embedding))) AS j, CAST(u
 _C = f"WITH {_A}, {_B}, c AS (SELECT i, j, sum(v * b) AS c FROM a JOIN b USING (k) GROUP BY 1, 2)"
 
 
+def _entries(spark: SparkSession, d: str) -> DataFrame:
+    """Entries of A with repeated coordinates, which products add up themselves."""
+    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("i"), (F.col("l_partkey") % 500).alias("k"), F.col("l_quantity").alias("v"))
+
+
 def _a(spark: SparkSession, d: str) -> DataFrame:
-    items = table(spark, d, "lineitem")
-    return items.groupBy(F.col("l_suppkey").alias("i"), (F.col("l_partkey") % 500).alias("k")).agg(F.sum("l_quantity").alias("v"))
+    return _entries(spark, d).groupBy("i", "k").agg(F.sum("v").alias("v"))
 
 
 def _b(spark: SparkSession, d: str) -> DataFrame:
@@ -46,13 +50,13 @@ def _b(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(_C + " SELECT i, CAST(j AS BIGINT) AS j, round(c, 6) AS c FROM c")
 def spmm(spark, d):
-    return matrix.spmm(_a(spark, d), _b(spark, d)).select("i", F.col("j").cast("long").alias("j"), F.round("c", 6).alias("c"))
+    return matrix.spmm(_entries(spark, d), _b(spark, d)).select("i", F.col("j").cast("long").alias("j"), F.round("c", 6).alias("c"))
 
 
 @_query(_C + " SELECT i, CAST(j AS BIGINT) AS j, round(c, 6) AS c FROM c")
 def spmm_rows(spark, d):
     rows = table(spark, d, "embeddings").select((F.col("vec_id") % 500).alias("k"), F.col("embedding").alias("row"))
-    out = matrix.spmm_rows(_a(spark, d), rows, 64).select("i", F.posexplode("row").alias("j", "c"))
+    out = matrix.spmm_rows(_entries(spark, d), rows, 64).select("i", F.posexplode("row").alias("j", "c"))
     return out.select("i", F.col("j").cast("long").alias("j"), F.round("c", 6).alias("c"))
 
 
@@ -90,7 +94,7 @@ def inf_norm(spark, d):
 )
 def scaled_residual(spark, d):
     a, b = _a(spark, d), _b(spark, d)
-    c = matrix.spmm(a, b)
+    c = cut(matrix.spmm(_entries(spark, d), b), "product")  # read twice
     coarse = c.withColumn("c", F.round("c", 2))
     return matrix.scaled_residual(c, coarse, a, b).select(F.round("residual", 3).alias("residual"))
 
