@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +11,9 @@ from pyspark.sql import functions as F
 
 from ..plans.iterate import digest, offsets, repeat
 
+#: Cells of the grids that a task works on at the same time.
+STACKED = 1 << 18
+
 NINE = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
 
 
@@ -31,34 +36,61 @@ def life_in_tiles(cells: DataFrame, generations: int, size: int = 64, each: int
 
     The plane is cut in tiles of ``size`` cells a side. A tile is sent its cells and those up to ``each`` outside it, a border that is as wide as anything can
     travel in so many generations, and goes on by itself; what it knows of its border is left out again. A cell goes to four tiles at most (``each`` is at most
-    half of ``size``), most to one, and a tile never has more cells than fit it. Cells with a null place are left out."""
+    half of ``size``), most to one. A task takes its tiles in order and many at once, as a stack of grids, however few cells they have; it keeps one stack, and repeated cells
+    only mark theirs again. Cells with a null place are left out."""
     if not 1 <= each <= size // 2:
         raise ValueError("a border is at least one cell wide and at most half a tile")
     wide = size + 2 * each
+    stack = max(1, STACKED // (wide + 2) ** 2)
 
     def rounds(steps: int):
-        def tile(table: pa.Table) -> pa.Table:
-            y0, x0 = (table[c][0].as_py() * size - each for c in ("ty", "tx"))
-            grid = np.zeros((wide + 2, wide + 2), dtype=np.uint8)
-            grid[table["y"].to_numpy() - y0 + 1, table["x"].to_numpy() - x0 + 1] = 1
+        def aged(grids: np.ndarray, corners: np.ndarray) -> pa.RecordBatch:
             for _ in range(steps):
-                rows = grid[:, :-2] + grid[:, 1:-1] + grid[:, 2:]
-                near = rows[:-2] + rows[1:-1] + rows[2:]  # with the cell itself
-                grid[1:-1, 1:-1] = (near == 3) | ((near == 4) & (grid[1:-1, 1:-1] == 1))
-            y, x = np.nonzero(grid[1 + each : -1 - each, 1 + each : -1 - each])
-            return pa.table({"y": y + y0 + each, "x": x + x0 + each})
+                rows = grids[:, :, :-2] + grids[:, :, 1:-1] + grids[:, :, 2:]
+                near = rows[:, :-2] + rows[:, 1:-1] + rows[:, 2:]  # with the cell itself
+                grids[:, 1:-1, 1:-1] = (near == 3) | ((near == 4) & (grids[:, 1:-1, 1:-1] == 1))
+            tile, y, x = np.nonzero(grids[:, 1 + each : -1 - each, 1 + each : -1 - each])
+            return pa.RecordBatch.from_arrays([pa.array(y + corners[tile, 0] + each), pa.array(x + corners[tile, 1] + each)], names=["y", "x"])
+
+        def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Rows come by tiles; the last tile of a batch may go on in the next one."""
+            grids, corners, used = np.zeros((stack, wide + 2, wide + 2), dtype=np.uint8), np.zeros((stack, 2), dtype=np.int64), 0
+            for batch in batches:
+                y, x, ty, tx = (batch.column(c).to_numpy() for c in ("y", "x", "ty", "tx"))
+                if not len(y):
+                    continue
+                at = np.stack([ty * size - each, tx * size - each], axis=1)
+                starts = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]).any(axis=1)])
+                ends = np.r_[starts[1:], len(y)]
+                if used and (corners[used - 1] == at[0]).all():
+                    used -= 1  # goes on: its cells stay marked
+                first = 0
+                while first < len(starts):
+                    if used == stack:
+                        yield aged(grids, corners)
+                        grids[:], used = 0, 0
+                    upto = min(len(starts), first + stack - used)
+                    here = slice(starts[first], ends[upto - 1])
+                    slot = used + np.repeat(np.arange(upto - first), (ends - starts)[first:upto])
+                    corners[used : used + upto - first] = at[starts[first:upto]]
+                    grids[slot, y[here] - at[here, 0] + 1, x[here] - at[here, 1] + 1] = 1
+                    used, first = used + upto - first, upto
+            if used:
+                yield aged(grids[:used], corners[:used])
 
         def step(state: DataFrame) -> DataFrame:
-            tiles = lambda c: F.sequence(F.floor((F.col(c) - each) / size), F.floor((F.col(c) + each) / size))
-            sent = state.select("y", "x", F.explode(tiles("y")).alias("ty")).select("y", "x", "ty", F.explode(tiles("x")).alias("tx"))
-            return sent.groupBy("ty", "tx").applyInArrow(tile, "y long, x long")
+            near = lambda c: F.sequence(F.floor((F.col(c) - each) / size), F.floor((F.col(c) + each) / size))
+            sent = state.select("y", "x", F.explode(near("y")).alias("ty")).select("y", "x", "ty", F.explode(near("x")).alias("tx"))
+            return sent.repartition("ty", "tx").sortWithinPartitions("ty", "tx").mapInArrow(tiles, "y long, x long")
 
         return step
 
-    start = cells.select(F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x")).dropna().distinct()
+    start = cells.select(F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x")).dropna()
+    if not generations:
+        return start.distinct()
     whole, rest = divmod(generations, each)
     state = repeat(start, rounds(each), whole)  # ends early where ``each`` generations change nothing; so does any number of times ``each``
-    return repeat(state, rounds(rest), 1, until_still=False) if rest else state
+    return repeat(state, rounds(rest), 1) if rest else state
 
 
 def bounds(cells: DataFrame) -> DataFrame:
